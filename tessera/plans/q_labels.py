@@ -136,7 +136,7 @@ WITH codes AS (SELECT tags AS label, CAST(row_number() OVER (ORDER BY tags) - 1
      k AS (SELECT count(*) AS k FROM codes)
 SELECT s.seq_id, c.code AS num_label,
        array_to_string(list_transform(range(0, (SELECT k FROM k)),
-                                      i -> CAST(i = c.code AS INT)), ',') AS one_hot
+                                      lambda i: CAST(i = c.code AS INT)), ',') AS one_hot
 FROM split s JOIN codes c ON s.tags = c.label""", "split"))
 def one_hot(spark, sf):
     sp = split_seq(spark, sf)
