@@ -27,11 +27,11 @@ def balanced_sample(df: DataFrame, label_col: str, key: str = "h") -> DataFrame:
 
 
 def batch_assign(df: DataFrame, batch_size: int, key: str = "h", batch_col: str = "batch_id",
-                 index_col: str = "row_index") -> DataFrame:
+                 index_col: str = "row_index", by: list[str] | tuple = ()) -> DataFrame:
     """Batch number of each row in seeded order (key = md5 column) or natural key order."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    x = global_index(df, key, index_col=index_col)
+    x = global_index(df, key, by=by, index_col=index_col)
     return x.withColumn(batch_col, F.floor((F.col(index_col) - 1) / F.lit(batch_size)).cast("long"))
 
 
