@@ -9,6 +9,7 @@ from ..operators import metrics as M
 from ..operators import perturb as X
 from ..operators import sampling as S
 from ..operators import scoring as SC
+from ..operators import tokens as K
 from ..sources import tables as T
 from ..sources.tables import LABEL_NAMES
 from .q_labels import arr_str, seq, split_seq
@@ -54,9 +55,18 @@ add_view("model_scores", ("logits", "split"), """
 
 # ---------------------------------------------------------------- Spark helpers
 def model(spark, sf) -> SC.LogOddsModel:
-    v = vocab(spark, sf)
-    train = split_seq(spark, sf).where(F.col("split") == "train")
-    return SC.fit_log_odds(train, SC.spark_symbols(spark, v))
+    """Vocabulary + log-odds weights fitted on the train split.
+
+    The train rows feed three small jobs (vocabulary, weights, priors), so they are
+    cached for the fit only; losing a cached block just recomputes it from lineage.
+    """
+    train = split_seq(spark, sf).where(F.col("split") == "train") \
+        .select("seq_id", "chain_a", "chain_b", "is_q", "is_t", "is_x").persist()
+    try:
+        v = K.vocab_dict(K.fit_wl_vocab(spark, K.token_counts(train)))
+        return SC.fit_log_odds(train, SC.spark_symbols(spark, v))
+    finally:
+        train.unpersist()
 
 
 def model_scores(spark, sf, m=None):

@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition ``df`` on ``key`` only when its source ``scan`` yields fewer
+    partitions than the session can run at once (a single-file table); a large input
+    already arrives in many splits and is left alone (no extra shuffle)."""
+    target = df.sparkSession.sparkContext.defaultParallelism * 2
+    n = scan.rdd.getNumPartitions()          # file-split count: planning only, no job
+    return df.repartition(target, key) if n < target else df
+
+
 def seeded_key(key: Column | str, seed: int = SEED) -> Column:
     """Repeatable random order: md5 of ``seed-key``; same string in Spark and DuckDB."""
     k = F.col(key) if isinstance(key, str) else key
@@ -63,6 +72,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     Row-local (explode of an array built per row): no shuffle beyond the label join.
     """
     w = labelled_words(spark, sf_dir)
+    docs_scan = table(spark, sf_dir, "documents").select("doc_id")
     pairs = F.expr(
         "CASE WHEN size(words) > 0 THEN transform("
         "sequence(0, cast(ceil(size(words) / 2) AS INT) - 1), "
@@ -70,7 +80,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'b', coalesce(try_element_at(words, 2 * k + 2), ''))) END")
     p = w.select("doc_id", "is_q", "is_t", "is_x", F.explode(pairs).alias("p"))
     seq_id = F.col("doc_id") * F.lit(PAIR_KEY_STRIDE) + F.col("p.k")
-    return p.select(
+    out = p.select(
         seq_id.alias("seq_id"),
         "doc_id",
         F.upper("p.a").alias("chain_a"),
@@ -79,6 +89,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "is_q", "is_t", "is_x",
         seeded_key(seq_id).alias("h"),
     )
+    return spread(out, docs_scan, "seq_id")
 
 
 def scored(spark: SparkSession, sf_dir: str, seq: DataFrame | None = None) -> DataFrame:
