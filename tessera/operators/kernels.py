@@ -100,3 +100,12 @@ def _combine(how: str, a: Column, b: Column) -> Column:
             F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     f = F.greatest if how == "max" else F.least
     return f(a, b)  # greatest/least skip nulls
+
+
+def row_index(df: DataFrame, order_col: str, by: Sequence[str] = (), index_col: str = "idx",
+              buckets: int = 4096) -> DataFrame:
+    """1-based position of each row in numeric ``order_col`` order (unique values), via
+    a K2 running count: a positional row number without a one-partition window."""
+    x = df.withColumn("_one", F.lit(1).cast("long"))
+    c = prefix_aggregate(x, list(by), order_col, ["_one"], "sum", buckets)
+    return c.withColumnRenamed("_one_cum", index_col).drop("_one", "_one_prev")

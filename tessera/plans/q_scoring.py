@@ -505,3 +505,19 @@ FROM (SELECT chain, grp, prob, aa, position, round(avg(d), 6) + 0.0E0 AS v
 GROUP BY chain, grp, prob, aa""", "scan_d"))
 def delta_pivot(spark, sf):
     return X.delta_pivot(mean_delta(spark, sf), PIVOT_POSITIONS)
+
+
+@query("zip_rows", with_views("""
+SELECT l.idx, l.seq_id, l.tags, r.seq_id AS pred_seq_id, r.pred
+FROM (SELECT seq_id, tags, row_number() OVER (ORDER BY seq_id) AS idx FROM split WHERE split = 'test') l
+JOIN (SELECT seq_id, row_number() OVER (ORDER BY seq_id) AS idx,
+             string_agg(CAST(CAST(prob > 0.5E0 AS INT) AS VARCHAR), ',' ORDER BY label) AS pred
+      FROM model_scores WHERE split = 'test' GROUP BY seq_id) r ON l.idx = r.idx""", "split", "model_scores"))
+def zip_rows(spark, sf):
+    """Pair the rows of two tables by position (test rows with their predictions)."""
+    from ..operators.kernels import row_index
+    left = row_index(split_seq(spark, sf).where(F.col("split") == "test").select("seq_id", "tags"), "seq_id")
+    preds = M.predict(model_scores(spark, sf).where(F.col("split") == "test"), 0.5) \
+        .select(F.col("seq_id").alias("pred_seq_id"), arr_str("pred").alias("pred"))
+    right = row_index(preds, "pred_seq_id")
+    return left.join(right, "idx").select("idx", "seq_id", "tags", "pred_seq_id", "pred")
