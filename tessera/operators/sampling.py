@@ -12,7 +12,7 @@ def split_exact(df: DataFrame, train_fraction: float = 0.7, key: str = "h",
                 split_col: str = "split") -> DataFrame:
     """Exact-size seeded split: the first ceil(f * n) rows in seeded order are 'train'.
 
-    ``f * n`` is a double product, as in the reference library (so 0.7 * 10 -> 8).
+    ``f * n`` is a double product, as in the reference library (so 0.55 * 100 -> 56).
     """
     x = global_index(df, key, index_col="_i", total_col="_n")
     n_train = F.ceil(F.lit(float(train_fraction)) * F.col("_n").cast("double"))
