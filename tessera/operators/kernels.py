@@ -9,7 +9,7 @@ spread over all its buckets, so no task gets the hot group whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,3 +109,40 @@ def row_index(df: DataFrame, order_col: str, by: Sequence[str] = (), index_col:
     x = df.withColumn("_one", F.lit(1).cast("long"))
     c = prefix_aggregate(x, list(by), order_col, ["_one"], "sum", buckets)
     return c.withColumnRenamed("_one_cum", index_col).drop("_one", "_one_prev")
+
+
+def rank_threshold(df: DataFrame, order_key: str, k: int | Callable[[int], int], digits: int = 3,
+                   max_boundary_rows: int = 200_000) -> tuple[str | None, int]:
+    """The k-th smallest value of the hex string ``order_key`` (1-based), exactly, and n.
+
+    Counts rows per leading-hex bucket (a partial aggregate; at most 16**digits numbers
+    reach the driver), walks the cumulative counts to the bucket holding rank k, and
+    repeats inside that bucket with longer prefixes until it holds at most
+    ``max_boundary_rows`` rows; the exact value is then taken from that bucket alone.
+    ``k`` may be a function of the row count n (known after the first pass). Returns
+    (None, n) when k <= 0 and (largest key + '~', n) when k >= n. Each pass is a
+    filtered scan plus a tiny aggregate; no row is shuffled, no window spans the data.
+    """
+    prefix, offset, n = "", 0, None
+    while True:
+        part = df if not prefix else df.where(F.substring(order_key, 1, len(prefix)) == F.lit(prefix))
+        cnt = sorted(part.groupBy(F.substring(order_key, 1, len(prefix) + digits).alias("b"))
+                     .agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["b"])
+        if n is None:
+            n = sum(r["n"] for r in cnt)
+            k = k(n) if callable(k) else k
+            if k <= 0:
+                return None, n
+            if k >= n:
+                return (cnt[-1]["b"] + "~" if cnt else None), n
+        cum, chosen = offset, None
+        for r in cnt:
+            if cum + r["n"] >= k:
+                chosen = r
+                break
+            cum += r["n"]
+        prefix, offset = chosen["b"], cum
+        if chosen["n"] <= max_boundary_rows or len(prefix) >= 32:
+            row = df.where(F.substring(order_key, 1, len(prefix)) == F.lit(prefix)) \
+                .select(order_key).orderBy(order_key).offset(k - offset - 1).limit(1).collect()
+            return row[0][0], n

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import global_index
+from .kernels import global_index, rank_threshold
 
 
 def split_exact(df: DataFrame, train_fraction: float = 0.7, key: str = "h",
@@ -13,7 +15,18 @@ def split_exact(df: DataFrame, train_fraction: float = 0.7, key: str = "h",
     """Exact-size seeded split: the first ceil(f * n) rows in seeded order are 'train'.
 
     ``f * n`` is a double product, as in the reference library (so 0.55 * 100 -> 56).
+    The boundary key value is found with a few small aggregates (``rank_threshold``);
+    the split itself is then a row-local predicate ``key <= boundary`` (no shuffle, and
+    a filter on it pushes down like any other).
     """
+    h, _ = rank_threshold(df, key, lambda n: math.ceil(float(train_fraction) * float(n)))
+    cond = F.lit(False) if h is None else (F.col(key) <= F.lit(h))
+    return df.withColumn(split_col, F.when(cond, F.lit("train")).otherwise(F.lit("test")))
+
+
+def split_exact_ranked(df: DataFrame, train_fraction: float = 0.7, key: str = "h",
+                       split_col: str = "split") -> DataFrame:
+    """The same split through the K1 rank (one pass, but shuffles every row)."""
     x = global_index(df, key, index_col="_i", total_col="_n")
     n_train = F.ceil(F.lit(float(train_fraction)) * F.col("_n").cast("double"))
     return x.withColumn(split_col, F.when(F.col("_i") <= n_train, F.lit("train"))

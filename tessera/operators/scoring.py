@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import chars, clamped_log, sigmoid
+from ..functions.exprs import SPECIAL_TOKENS, chars, clamped_log, sigmoid
 from ..sources.tables import LABEL_NAMES
 from .tokens import CHAINS, map_literal, tokens_long
 
@@ -96,6 +96,48 @@ def fit_log_odds(train: DataFrame, symbols: Sequence[str],
     return LogOddsModel(tuple(labels), w, pr, tuple(symbols))
 
 
+def fit_vocab_and_model(train: DataFrame, labels: Sequence[str] = LABEL_NAMES,
+                        specials: Sequence[str] = SPECIAL_TOKENS,
+                        vocab_size: int | None = None) -> tuple[dict[str, int], LogOddsModel]:
+    """Word-level vocabulary and log-odds weights from ONE aggregate over the train
+    tokens, grouped by (chain, token) -- chains x alphabet rows reach the driver -- plus
+    one row of label counts. Same numbers as ``fit_wl_vocab`` + ``fit_log_odds``."""
+    import math
+
+    flags = [FLAG_OF_LABEL[lb] for lb in labels]
+    tok = tokens_long(train, extra=flags)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(f)).alias(f"p_{lb}") for lb, f in zip(labels, flags)]
+    stats = tok.groupBy("chain", "token").agg(*aggs).collect()
+    pri = train.agg(F.count(F.lit(1)).alias("n"),
+                    *[F.sum(F.col(f)).alias(f"p_{lb}") for lb, f in zip(labels, flags)]).first()
+    totals: dict[str, int] = {}
+    for r in stats:
+        totals[r["token"]] = totals.get(r["token"], 0) + r["n"]
+    ranked = sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))
+    if vocab_size is not None:
+        ranked = ranked[:max(0, vocab_size - len(specials))]
+    vocab = {t: i for i, t in enumerate(specials)}
+    for t, _ in ranked:
+        vocab[t] = len(vocab)
+    symbols = [t for t, _ in sorted(vocab.items(), key=lambda kv: kv[1]) if "[" not in t]
+    V = float(len(symbols))
+    by = {(r["chain"], r["token"]): r for r in stats}
+    weights: dict[str, dict[str, dict[str, float]]] = {}
+    for ch, _ in CHAINS:
+        weights[ch] = {}
+        for lb in labels:
+            pos = {t: (by[(ch, t)][f"p_{lb}"] if (ch, t) in by else 0) for t in symbols}
+            neg = {t: ((by[(ch, t)]["n"] - by[(ch, t)][f"p_{lb}"]) if (ch, t) in by else 0) for t in symbols}
+            NP, NN = float(sum(pos.values())), float(sum(neg.values()))
+            weights[ch][lb] = {t: math.log((pos[t] + 1.0) / (NP + V)) - math.log((neg[t] + 1.0) / (NN + V))
+                               for t in symbols}
+    prior = {}
+    for lb in labels:
+        p, n = float(pri[f"p_{lb}"] or 0), float(pri["n"])
+        prior[lb] = max(math.log(p / (n - p)), -100.0) if p > 0 and n > p else (-100.0 if p == 0 else 100.0)
+    return vocab, LogOddsModel(tuple(labels), weights, prior, tuple(symbols))
+
+
 def score_log_odds(df: DataFrame, model: LogOddsModel, a: str = "chain_a", b: str = "chain_b",
                    out: str = "prob", logit_out: str | None = None) -> DataFrame:
     """Adds ``prob`` = ARRAY<DOUBLE> of per-label probabilities (label order of the model)."""

@@ -57,16 +57,11 @@ add_view("model_scores", ("logits", "split"), """
 def model(spark, sf) -> SC.LogOddsModel:
     """Vocabulary + log-odds weights fitted on the train split.
 
-    The train rows feed three small jobs (vocabulary, weights, priors), so they are
-    cached for the fit only; losing a cached block just recomputes it from lineage.
+    One grouped aggregate over the train tokens (chains x alphabet rows) and one row
+    of label counts; the weight arithmetic runs on those bounded tables.
     """
-    train = split_seq(spark, sf).where(F.col("split") == "train") \
-        .select("seq_id", "chain_a", "chain_b", "is_q", "is_t", "is_x").persist()
-    try:
-        v = K.vocab_dict(K.fit_wl_vocab(spark, K.token_counts(train)))
-        return SC.fit_log_odds(train, SC.spark_symbols(spark, v))
-    finally:
-        train.unpersist()
+    train = split_seq(spark, sf).where(F.col("split") == "train")
+    return SC.fit_vocab_and_model(train)[1]
 
 
 def model_scores(spark, sf, m=None):

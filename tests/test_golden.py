@@ -284,3 +284,14 @@ def test_softmax_sigmoid_argmax(spark):
                   X.sigmoid(F.lit(0.0)).alias("g")).first()
     e = np.exp([1.0, 2.0, 3.0])
     assert r["s"] == pytest.approx(list(e / e.sum())) and r["a"] == 2 and r["g"] == 0.5
+
+
+def test_rank_threshold_refines_and_is_exact(spark):
+    df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("h"))
+    hs = sorted(r["h"] for r in df.collect())
+    for k in (1, 77, 2500, 4999):
+        got, n = KN.rank_threshold(df, "h", k, digits=1, max_boundary_rows=50)
+        assert n == 5000 and got == hs[k - 1]
+    assert KN.rank_threshold(df, "h", 0)[0] is None
+    top, _ = KN.rank_threshold(df, "h", 5000)
+    assert top > hs[-1]
