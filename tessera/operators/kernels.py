@@ -11,18 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hex_prefix_value
 
 
-def global_index(df: DataFrame, order_key: str, by: Sequence[str] = (), digits: int = 3,
+def global_index(df: DataFrame, order_key: str, by: Sequence[str] = (), digits: int = 5,
                  index_col: str = "idx", total_col: str | None = None,
                  min_total_col: str | None = None) -> DataFrame:
     """1-based rank of each row by the hex string ``order_key`` (md5), within ``by``.
 
-    Buckets are the first ``digits`` hex characters (16**digits buckets per group).
+    Buckets are the first ``digits`` hex characters (16**digits buckets per group; the
+    default 16**5 keeps a bucket near 1e6 rows even at 1e12 rows, while the bucket table
+    -- one row per non-empty bucket -- stays bounded by about a million rows per group).
     Optional outputs: ``total_col`` = rows in the group, ``min_total_col`` = smallest
     group size over all groups (for balanced sampling).
     """
@@ -54,27 +57,24 @@ def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: S
     """Running ``sum``/``max``/``min`` of ``values`` ordered by the numeric ``order_col``
     within ``by`` (inclusive of the current row, ties broken by nothing: give a unique order).
 
-    Buckets are equal-width ranges of ``order_col`` per group (min/max from a grouped
-    aggregate). Output: input columns + ``<value><suffix>`` for each value and ``_prev``
-    versions (the running value *before* the row; null on the first row of a group).
+    Buckets are approximate-quantile ranges of ``order_col`` (``approxQuantile``: one
+    pass, at most ``buckets`` boundaries reach the driver), assigned with the ML
+    ``Bucketizer`` (binary search in the JVM). Quantile ranges keep buckets balanced when
+    the values crowd into a narrow range, where equal-width ranges would put most rows
+    into one bucket (one task). Output: input columns + ``<value><suffix>`` for each value
+    and ``<value>_prev`` (the running value *before* the row; null on a group's first row).
     """
     by = list(by)
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    rng = df.groupBy(*by).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-    if by:
-        x = df.join(rng, by)          # one row per group; AQE broadcasts it when small
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:                             # two scalars, fetched as literals (no cross join)
-        r = rng.first()
-        x, lo, hi = df, F.lit(r["_lo"]), F.lit(r["_hi"])
-    o = F.col(order_col).cast("double")
-    width = (hi - lo).cast("double")
-    raw = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((o - lo) / width * F.lit(buckets)), F.lit(buckets - 1)))
-    bkt = (F.lit(buckets - 1) - raw) if descending else raw
-    x = x.withColumn("_bkt", bkt.cast("int"))
-    if by:
-        x = x.drop("_lo", "_hi")
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.approxQuantile(order_col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
+    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    nb = len(splits) - 1
+    x = df.withColumn("_o", F.col(order_col).cast("double"))
+    x = Bucketizer(splits=splits, inputCol="_o", outputCol="_bd", handleInvalid="keep").transform(x)
+    raw = F.col("_bd").cast("int")
+    bkt = (F.lit(nb - 1) - raw) if descending else raw
+    x = x.withColumn("_bkt", bkt).drop("_o", "_bd")
     per = x.groupBy(*by, "_bkt").agg(*[agg(v).alias(f"_b_{v}") for v in values])
     grp = Window.partitionBy(*by) if by else Window.partitionBy()
     before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
