@@ -9,6 +9,7 @@ spread over all its buckets, so no task gets the hot group whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -51,14 +52,18 @@ def global_index(df: DataFrame, order_key: str, by: Sequence[str] = (), digits:
     return out.drop("_bkt", "_off", "_tot", "_mintot")
 
 
+ROWS_PER_BUCKET = 200_000
+
+
 def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: Sequence[str],
-                     how: str = "sum", buckets: int = 4096, descending: bool = False,
+                     how: str = "sum", buckets: int | None = None, descending: bool = False,
                      suffix: str = "_cum") -> DataFrame:
     """Running ``sum``/``max``/``min`` of ``values`` ordered by the numeric ``order_col``
     within ``by`` (inclusive of the current row, ties broken by nothing: give a unique order).
 
     Buckets are approximate-quantile ranges of ``order_col`` (``approxQuantile``: one
-    pass, at most ``buckets`` boundaries reach the driver), assigned with the ML
+    pass, at most ``buckets`` boundaries reach the driver; by default the count sets
+    about 200,000 rows per bucket), assigned with the ML
     ``Bucketizer`` (binary search in the JVM). Quantile ranges keep buckets balanced when
     the values crowd into a narrow range, where equal-width ranges would put most rows
     into one bucket (one task). Output: input columns + ``<value><suffix>`` for each value
@@ -66,8 +71,10 @@ def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: S
     """
     by = list(by)
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    if buckets is None:              # about ROWS_PER_BUCKET rows per bucket, 16..16384
+        buckets = int(min(16384, max(16, math.ceil(df.count() / ROWS_PER_BUCKET))))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(order_col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
+    cuts = df.approxQuantile(order_col, probs, 1.0 / (2 * buckets)) if buckets > 1 else []
     splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     nb = len(splits) - 1
     x = df.withColumn("_o", F.col(order_col).cast("double"))
@@ -103,7 +110,7 @@ def _combine(how: str, a: Column, b: Column) -> Column:
 
 
 def row_index(df: DataFrame, order_col: str, by: Sequence[str] = (), index_col: str = "idx",
-              buckets: int = 4096) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """1-based position of each row in numeric ``order_col`` order (unique values), via
     a K2 running count: a positional row number without a one-partition window."""
     x = df.withColumn("_one", F.lit(1).cast("long"))

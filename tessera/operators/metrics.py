@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import argmax, bce, check_threshold, round_even, safe_ratio
+from ..session import materialize
 from .kernels import prefix_aggregate
 
 
@@ -81,13 +82,16 @@ def correct_count(df: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
 
 
 def roc_curve(long: DataFrame, by: Sequence[str] = ("label",), score: str = "prob",
-              target: str = "target", buckets: int = 4096) -> DataFrame:
+              target: str = "target", buckets: int | None = None) -> DataFrame:
     """ROC points per group: one row per distinct score (descending) with cumulative
-    fpr/tpr, plus the previous point (for the trapezoid). Ties share one point."""
+    fpr/tpr, plus the previous point (for the trapezoid). Ties share one point.
+
+    The per-score table feeds four consumers (totals, quantiles, bucket sums, the final
+    pass), so it is written once to the shared checkpoint folder and read back."""
     by = list(by)
-    per_score = long.groupBy(*by, score).agg(
+    per_score = materialize(long.groupBy(*by, score).agg(
         F.sum(F.col(target)).cast("long").alias("pos"),
-        F.sum(F.lit(1) - F.col(target)).cast("long").alias("neg"))
+        F.sum(F.lit(1) - F.col(target)).cast("long").alias("neg")), "roc-per-score")
     tot = per_score.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     cum = prefix_aggregate(per_score, by, score, ["pos", "neg"], "sum", buckets, descending=True)
     x = cum.join(tot, by)
@@ -100,7 +104,7 @@ def roc_curve(long: DataFrame, by: Sequence[str] = ("label",), score: str = "pro
 
 
 def roc_auc(long: DataFrame, by: Sequence[str] = ("label",), score: str = "prob",
-            target: str = "target", buckets: int = 4096) -> DataFrame:
+            target: str = "target", buckets: int | None = None) -> DataFrame:
     pts = roc_curve(long, by, score, target, buckets)
     area = (F.col("fpr") - F.col("fpr_prev")) * (F.col("tpr") + F.col("tpr_prev")) / 2.0
     return pts.groupBy(*by).agg(F.round(F.sum(area), 6).alias("auc"))

@@ -22,7 +22,7 @@ TRIAL_SEED = 1964
 
 
 def running_mean(log: DataFrame, by: Sequence[str] = ("run", "tag"), order: str = "step",
-                 value: str = "value", buckets: int = 1024,
+                 value: str = "value", buckets: int | None = None,
                  fixed_scale: int | None = None) -> DataFrame:
     """Mean of all values up to and including each row, in ``order`` within ``by``.
 
@@ -43,7 +43,7 @@ def running_mean(log: DataFrame, by: Sequence[str] = ("run", "tag"), order: str
 
 
 def records(log: DataFrame, by: Sequence[str] = ("run", "tag"), order: str = "step",
-            value: str = "value", minimise: bool = True, buckets: int = 1024) -> DataFrame:
+            value: str = "value", minimise: bool = True, buckets: int | None = None) -> DataFrame:
     """Best value so far and a 'record broken' flag (strictly better than all earlier)."""
     how = "min" if minimise else "max"
     c = prefix_aggregate(log, list(by), order, [value], how, buckets)

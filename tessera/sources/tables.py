@@ -54,7 +54,7 @@ def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, is_q, is_t, is_x, words) for every labelled document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = docs.join(labels, "doc_id")
+    j = spread(docs.join(labels, "doc_id"), docs, "doc_id")
     return j.select(
         "doc_id",
         F.when(F.col("quality") == 1, 1).otherwise(0).alias("is_q"),
@@ -69,10 +69,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: seq_id, doc_id, chain_a, chain_b (upper case; chain_b is '' for the
     last word of an odd-length text), tags, is_q, is_t, is_x, h (seeded order key).
-    Row-local (explode of an array built per row): no shuffle beyond the label join.
+    Row-local (explode of an array built per row): no shuffle beyond the label join. A
+    text has at most ~20,000 words, so the pairs of one document are a bounded unit.
     """
     w = labelled_words(spark, sf_dir)
-    docs_scan = table(spark, sf_dir, "documents").select("doc_id")
     pairs = F.expr(
         "CASE WHEN size(words) > 0 THEN transform("
         "sequence(0, cast(ceil(size(words) / 2) AS INT) - 1), "
@@ -89,7 +89,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "is_q", "is_t", "is_x",
         seeded_key(seq_id).alias("h"),
     )
-    return spread(out, docs_scan, "seq_id")
+    return out
 
 
 def scored(spark: SparkSession, sf_dir: str, seq: DataFrame | None = None) -> DataFrame:
