@@ -172,12 +172,13 @@ def peek_predictions(spark, sf):
                                            .cast("array<string>"), ",").alias("probs"))
 
 
-@query("score_mapinpandas")
+@query("score_mapinpandas", with_views("""
+SELECT seq_id, label, round(prob, 6) AS prob FROM model_scores WHERE split = 'test'""", "model_scores"))
 def score_mapinpandas(spark, sf):
     m = model(spark, sf)
     s = split_seq(spark, sf).where(F.col("split") == "test")
     out = SC.score_with_model(s, SC.python_log_odds(m))
-    return out.select("seq_id", F.transform("prob", lambda p: F.round(p, 6)).alias("prob"))
+    return M.to_long(out, LABEL_NAMES, arrays=["prob"]).select("seq_id", "label", F.round("prob", 6).alias("prob"))
 
 
 @query("linear_score", with_views("""
