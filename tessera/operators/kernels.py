@@ -119,13 +119,16 @@ def row_index(df: DataFrame, order_col: str, by: Sequence[str] = (), index_col:
 
 
 def rank_threshold(df: DataFrame, order_key: str, k: int | Callable[[int], int], digits: int = 3,
-                   max_boundary_rows: int = 200_000) -> tuple[str | None, int]:
+                   max_boundary_rows: int = 1_000_000,
+                   first_digits: int = 3) -> tuple[str | None, int]:
     """The k-th smallest value of the hex string ``order_key`` (1-based), exactly, and n.
 
-    Counts rows per leading-hex bucket (a partial aggregate; at most 16**digits numbers
-    reach the driver), walks the cumulative counts to the bucket holding rank k, and
-    repeats inside that bucket with longer prefixes until it holds at most
-    ``max_boundary_rows`` rows; the exact value is then taken from that bucket alone.
+    Counts rows per leading-hex bucket (a partial aggregate; at most 16**3 = 4096 small
+    rows reach the driver per pass), walks the cumulative counts to the bucket holding
+    rank k, and repeats inside that bucket with ``digits`` more hex characters until it
+    holds at most ``max_boundary_rows`` rows; the exact value is then taken from that
+    bucket alone. That is two passes over the input up to ~4e9 rows (4096 buckets of at
+    most 1e6), three up to ~1.6e13.
     ``k`` may be a function of the row count n (known after the first pass). Returns
     (None, n) when k <= 0 and (largest key + '~', n) when k >= n. Each pass is a
     filtered scan plus a tiny aggregate; no row is shuffled, no window spans the data.
@@ -133,7 +136,8 @@ def rank_threshold(df: DataFrame, order_key: str, k: int | Callable[[int], int],
     prefix, offset, n = "", 0, None
     while True:
         part = df if not prefix else df.where(F.substring(order_key, 1, len(prefix)) == F.lit(prefix))
-        cnt = sorted(part.groupBy(F.substring(order_key, 1, len(prefix) + digits).alias("b"))
+        step = first_digits if not prefix else digits
+        cnt = sorted(part.groupBy(F.substring(order_key, 1, len(prefix) + step).alias("b"))
                      .agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["b"])
         if n is None:
             n = sum(r["n"] for r in cnt)

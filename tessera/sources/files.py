@@ -46,7 +46,9 @@ def write_corpus(lines: DataFrame, path: str) -> None:
 
 def vocab_to_json(vocab: DataFrame) -> DataFrame:
     """One row holding the tokenizer-style JSON document of a (bounded) vocabulary."""
-    m = F.map_from_entries(F.collect_list(F.struct("token", "id")))
+    # entries in id order, so the document is the same however the rows were partitioned
+    entries = F.array_sort(F.collect_list(F.struct("id", "token")))
+    m = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["token"], e["id"])))
     doc = F.to_json(F.struct(F.struct(F.lit("WordLevel").alias("type"), m.alias("vocab"),
                                       F.lit("<unk>").alias("unk_token")).alias("model")))
     return vocab.agg(doc.alias("json"))

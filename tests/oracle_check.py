@@ -80,9 +80,18 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
     return not msgs, msgs
 
 
+def plain_session():
+    """A session configured like the driver's: nothing but master and shuffle partitions."""
+    from pyspark.sql import SparkSession
+    s = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8") \
+        .config("spark.ui.enabled", "false").getOrCreate()
+    s.sparkContext.setLogLevel("ERROR")
+    return s
+
+
 def run(sf_dir: str, keys: list[str] | None = None, spark=None) -> dict:
     from tessera.session import build_session
-    spark = spark or build_session()
+    spark = spark or (plain_session() if os.environ.get("PLAIN_SESSION") else build_session())
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     out = {}

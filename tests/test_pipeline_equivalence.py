@@ -58,3 +58,29 @@ def test_scan_aggregates_before_the_shuffle(spark, small_dir):
     p = _plan(df)
     # partial aggregate below the exchange, final above it
     assert p.count("HashAggregate") >= 2
+
+
+def test_pca_matches_centred_svd_with_fixed_signs(spark, small_dir):
+    import numpy as np
+
+    from tessera.operators import reps as RP
+    from tessera.sources import tables as T
+    v = T.vectors(spark, small_dir)
+    got = {r["vec_id"]: [r["pc1"], r["pc2"], r["pc3"]] for r in RP.pca_project(v, "vec", 3).collect()}
+    rows = sorted(v.select("vec_id", "vec").collect())
+    X = np.array([r["vec"] for r in rows])
+    Xc = X - X.mean(axis=0)
+    _, _, vt = np.linalg.svd(Xc, full_matrices=False)
+    comps = vt[:3]
+    for c in range(3):
+        if comps[c][np.abs(comps[c]).argmax()] < 0:
+            comps[c] = -comps[c]
+    want = Xc @ comps.T
+    for (vid, _), w in zip(rows, want):
+        assert np.allclose(got[vid], w, atol=1e-6)
+
+
+def test_logistic_fits_learn_the_language_label(spark, small_dir):
+    from tessera.operators import fit as FT
+    rows = {r["label"]: r["auc"] for r in FT.logreg_multilabel(QL.split_seq(spark, small_dir)).collect()}
+    assert rows["X"] > 0.7      # non-English words are easy to tell from their letters
