@@ -63,10 +63,20 @@ def hist_fixed(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20
     return out.drop("_tot")
 
 
-def auto_bin_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def _quartiles(value: str, exact: bool) -> Column:
+    """25th/75th percentiles. ``exact`` (NumPy's linear interpolation) keeps one entry per
+    distinct value of a group -- bounded for relative positions (fractions of short
+    chains); use ``exact=False`` (percentile_approx) for continuous unbounded values."""
+    probs = F.array(F.lit(0.25), F.lit(0.75))
+    if exact:
+        return F.percentile(F.col(value), probs)
+    return F.percentile_approx(F.col(value), probs, 10000).cast("array<double>")
+
+
+def auto_bin_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """NumPy 'auto' bins per group: min(Freedman-Diaconis, Sturges) width, Sturges when
     the IQR is 0; n_bins = ceil(range / width), 1 when the width is 0."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.75)))
+    q = _quartiles(value, exact)
     s = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("lo"),
                             F.max(value).alias("hi"), q.alias("_q"))
     n = F.col("n").cast("double")
@@ -79,13 +89,13 @@ def auto_bin_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
                     F.round(width, 6).alias("width"), nb.cast("int").alias("n_bins"))
 
 
-def hist2d(df: DataFrame, value: str, discrete: str, by: Sequence[str]) -> DataFrame:
+def hist2d(df: DataFrame, value: str, discrete: str, by: Sequence[str], exact: bool = True) -> DataFrame:
     """Joint distribution of a binned ``value`` (auto bins per group) and a discrete
     column, as probability of the group: *by, bin, discrete, n, prob (non-empty cells)."""
     by = list(by)
     stats = df.groupBy(*by).agg(
         F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+        _quartiles(value, exact).alias("_q"))
     n = F.col("_n").cast("double")
     iqr = F.col("_q")[1] - F.col("_q")[0]
     fd = F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3.0))
