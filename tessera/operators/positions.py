@@ -35,26 +35,33 @@ def _bin_expr(x: Column, lo: Column, hi: Column, bins: Column) -> Column:
     return F.least(raw, bins - F.lit(1)).cast("int")
 
 
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """(*by, *extra, value, _w): the one pass over the data every histogram needs
+    (partial aggregation before the shuffle); the rest runs on this table, which is
+    small when values repeat (relative positions take few distinct values)."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, *extra, value).agg(F.count(F.lit(1)).alias("_w"))
+
+
 def hist_fixed(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20,
                stat: str = "probability") -> DataFrame:
     """Equal-width histogram over each group's own [min, max], all bins (empty ones too).
 
-    Output: *by, bin, n, prob. Group stats come from one aggregate joined back on ``by``
-    (one row per group; with no ``by`` the two bounds are fetched as scalars).
+    Output: *by, bin, n, prob. The data is read once (``value_counts``); bounds and bins
+    are computed on the value-count table.
     """
     by = list(by)
-    stats = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                F.count(value).alias("_tot"))
+    vc = value_counts(df, value, by)
+    stats = vc.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                F.sum("_w").alias("_tot"))
     if by:
-        x = df.join(stats, by)
-        lo, hi, tot = F.col("_lo"), F.col("_hi"), F.col("_tot")
-    else:
+        x = vc.join(stats, by)
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:                                  # two scalars, fetched as literals
         r = stats.first()
-        x = df
-        lo, hi, tot = F.lit(r["_lo"]), F.lit(r["_hi"]), F.lit(r["_tot"])
-    counted = x.where(F.col(value).isNotNull()) \
-        .groupBy(*by, _bin_expr(F.col(value), lo, hi, F.lit(bins)).alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+        x = vc
+        lo, hi = F.lit(r["_lo"]), F.lit(r["_hi"])
+    counted = x.groupBy(*by, _bin_expr(F.col(value), lo, hi, F.lit(bins)).alias("bin")) \
+        .agg(F.sum("_w").alias("n"))
     # every bin of every group, empty ones included (groups x bins rows)
     grid = stats.select(*by, "_tot", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counted, [*by, "bin"], "left").fillna(0, ["n"])
@@ -63,48 +70,55 @@ def hist_fixed(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20
     return out.drop("_tot")
 
 
-def _quartiles(value: str, exact: bool) -> Column:
-    """25th/75th percentiles. ``exact`` (NumPy's linear interpolation) keeps one entry per
-    distinct value of a group -- bounded for relative positions (fractions of short
-    chains); use ``exact=False`` (percentile_approx) for continuous unbounded values."""
+def _quartiles(value: str, exact: bool, weight: str | None = None) -> Column:
+    """25th/75th percentiles. ``exact`` (NumPy's linear interpolation; ``weight`` = row
+    multiplicity) keeps one entry per distinct value of a group -- bounded for relative
+    positions (fractions of short chains); ``exact=False`` uses percentile_approx for
+    continuous unbounded values."""
     probs = F.array(F.lit(0.25), F.lit(0.75))
     if exact:
-        return F.percentile(F.col(value), probs)
+        return F.percentile(F.col(value), probs, F.col(weight) if weight else F.lit(1))
     return F.percentile_approx(F.col(value), probs, 10000).cast("array<double>")
 
 
+def _auto_width(n: Column, lo: Column, hi: Column, q: Column) -> tuple[Column, Column, Column]:
+    n = n.cast("double")
+    iqr = q[1] - q[0]
+    fd = F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3.0))
+    st = (hi - lo) / (F.log2(n) + F.lit(1.0))
+    width = F.when(fd > 0, F.least(fd, st)).otherwise(st)
+    nb = F.when(width > 0, F.ceil((hi - lo) / width)).otherwise(F.lit(1))
+    return iqr, width, nb.cast("int")
+
+
 def auto_bin_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """NumPy 'auto' bins per group: min(Freedman-Diaconis, Sturges) width, Sturges when
     the IQR is 0; n_bins = ceil(range / width), 1 when the width is 0."""
-    q = _quartiles(value, exact)
-    s = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("lo"),
-                            F.max(value).alias("hi"), q.alias("_q"))
-    n = F.col("n").cast("double")
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    fd = F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3.0))
-    st = (F.col("hi") - F.col("lo")) / (F.log2(n) + F.lit(1.0))
-    width = F.when(fd > 0, F.least(fd, st)).otherwise(st)
-    nb = F.when(width > 0, F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(F.lit(1))
+    vc = value_counts(df, value, by)
+    if exact:
+        s = vc.groupBy(*by).agg(F.sum("_w").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+                                _quartiles(value, True, "_w").alias("_q"))
+    else:
+        s = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("lo"),
+                                F.max(value).alias("hi"), _quartiles(value, False).alias("_q"))
+    iqr, width, nb = _auto_width(F.col("n"), F.col("lo"), F.col("hi"), F.col("_q"))
     return s.select(*by, "n", "lo", "hi", F.round(iqr, 6).alias("iqr"),
-                    F.round(width, 6).alias("width"), nb.cast("int").alias("n_bins"))
+                    F.round(width, 6).alias("width"), nb.alias("n_bins"))
 
 
 def hist2d(df: DataFrame, value: str, discrete: str, by: Sequence[str], exact: bool = True) -> DataFrame:
     """Joint distribution of a binned ``value`` (auto bins per group) and a discrete
-    column, as probability of the group: *by, bin, discrete, n, prob (non-empty cells)."""
+    column, as probability of the group: *by, bin, discrete, n, prob (non-empty cells).
+    One pass over the data (value counts per discrete symbol); the rest is on that table."""
     by = list(by)
-    stats = df.groupBy(*by).agg(
-        F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        _quartiles(value, exact).alias("_q"))
-    n = F.col("_n").cast("double")
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    fd = F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3.0))
-    st = (F.col("_hi") - F.col("_lo")) / (F.log2(n) + F.lit(1.0))
-    width = F.when(fd > 0, F.least(fd, st)).otherwise(st)
-    nb = F.when(width > 0, F.ceil((F.col("_hi") - F.col("_lo")) / width)).otherwise(F.lit(1))
-    stats = stats.select(*by, "_n", "_lo", "_hi", nb.cast("int").alias("_nb"))
-    x = df.join(stats, by)
+    vc = value_counts(df, value, by, [discrete])
+    per_value = vc.groupBy(*by, value).agg(F.sum("_w").alias("_w"))
+    stats = per_value.groupBy(*by).agg(
+        F.sum("_w").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        _quartiles(value, exact, "_w").alias("_q"))
+    _, _, nb = _auto_width(F.col("_n"), F.col("_lo"), F.col("_hi"), F.col("_q"))
+    stats = stats.select(*by, "_n", "_lo", "_hi", nb.alias("_nb"))
+    x = vc.join(stats, by)
     b = _bin_expr(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_nb"))
-    out = x.groupBy(*by, b.alias("bin"), discrete).agg(F.count(F.lit(1)).alias("n"),
-                                                      F.first("_n").alias("_n"))
+    out = x.groupBy(*by, b.alias("bin"), discrete).agg(F.sum("_w").alias("n"), F.first("_n").alias("_n"))
     return out.withColumn("prob", F.round(F.col("n") / F.col("_n"), 6)).drop("_n")
