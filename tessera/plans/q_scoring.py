@@ -72,15 +72,6 @@ def model_scores(spark, sf, m=None):
     return s.withColumn("target", F.array("is_q", "is_t", "is_x"))
 
 
-def scored_wide(spark, sf):
-    """The ``scored`` fixture in wide form: prob/target arrays per item."""
-    lg = T.scored(spark, sf)
-    w = lg.groupBy("seq_id").pivot("label", list(LABEL_NAMES)).agg(F.first("prob").alias("p"),
-                                                                   F.first("target").alias("t"))
-    return w.select("seq_id", F.array(*[F.col(f"{lb}_p") for lb in LABEL_NAMES]).alias("prob"),
-                    F.array(*[F.col(f"{lb}_t") for lb in LABEL_NAMES]).alias("target"))
-
-
 def scored_arrays(spark, sf):
     """Same fixture built row-locally from ``seq`` (no pivot shuffle)."""
     s = seq(spark, sf)
