@@ -9,6 +9,8 @@ pairs grows with the corpus.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,37 @@ def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SEQ_TABLES: dict[tuple[str, str], str] = {}
+
+
+def sequences(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """The ``seq`` view (see ``derive_sequences``), derived once per session and kept as
+    a parquet table in the shared checkpoint folder (a materialized view).
+
+    Every later pass -- the split-threshold passes, the fit, the final scan -- then
+    reads only the columns it needs (``h`` alone for the split) instead of re-reading
+    and re-splitting the raw texts. The table lives on shared storage, so a lost
+    executor costs a re-read, not a re-derivation.
+    """
+    if not materialized:
+        return derive_sequences(spark, sf_dir)
+    from ..session import scratch_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _SEQ_TABLES.get(key)
+    if path is None or not _exists(spark, path):
+        path = scratch_path(spark, "seq")
+        derive_sequences(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _SEQ_TABLES[key] = path
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def derive_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``seq`` view: one row per consecutive word pair of every labelled text.
 
     Columns: seq_id, doc_id, chain_a, chain_b (upper case; chain_b is '' for the
