@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import prefix_aggregate
@@ -42,6 +42,26 @@ def running_mean(log: DataFrame, by: Sequence[str] = ("run", "tag"), order: str
         .drop("_v", "_v_cum", "_v_prev", "_one", "_one_cum", "_one_prev")
 
 
+def epoch_loss(log: DataFrame, epoch: str = "epoch", by: Sequence[str] = ("run", "tag"),
+               value: str = "value", fixed_scale: int | None = None) -> DataFrame:
+    """Per epoch: the mean of that epoch's values (the deprecated trainer, reset each
+    epoch) and the running mean over all values up to the epoch's last row (the current
+    trainer's logged value, never reset). One grouped aggregate per (group, epoch); the
+    cumulative part is a window over that per-epoch table, not over the rows."""
+    by = list(by)
+    if fixed_scale is None:
+        v, unit = F.col(value), 1.0
+    else:
+        unit = float(10 ** fixed_scale)
+        v = F.round(F.col(value) * F.lit(unit)).cast("long")
+    per = log.groupBy(*by, epoch).agg(F.sum(v).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    return per.select(*by, epoch, "_n",
+                      (F.col("_s") / (F.col("_n") * F.lit(unit))).alias("epoch_mean"),
+                      (F.sum("_s").over(w) / (F.sum("_n").over(w) * F.lit(unit))).alias("running_mean")) \
+        .withColumnRenamed("_n", "n")
+
+
 def records(log: DataFrame, by: Sequence[str] = ("run", "tag"), order: str = "step",
             value: str = "value", minimise: bool = True, buckets: int | None = None) -> DataFrame:
     """Best value so far and a 'record broken' flag (strictly better than all earlier)."""

@@ -39,6 +39,22 @@ def running_loss(spark, sf):
     return r.select("run", "tag", "step", "running_mean")
 
 
+@query("epoch_loss", with_views("""
+SELECT run, tag, epoch, n, s / (n * 10000.0E0) AS epoch_mean,
+       sum(s) OVER w / (sum(n) OVER w * 10000.0E0) AS running_mean
+FROM (SELECT user_id AS run, event_type AS tag, CAST(ts AS DATE) AS epoch, count(*) AS n,
+             sum(CAST(round(value / 100 * 10000) AS BIGINT)) AS s
+      FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)) p
+WINDOW w AS (PARTITION BY run, tag ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def epoch_loss(spark, sf):
+    """Loss per epoch (one epoch = one UTC day of a run's log): per-epoch mean and the
+    never-reset running mean logged at the epoch's end."""
+    ev = T.table(spark, sf, "events")
+    log = ev.select(F.col("user_id").alias("run"), F.col("event_type").alias("tag"),
+                    F.to_date("ts").alias("epoch"), (F.col("value") / 100).alias("value"))
+    return R.epoch_loss(log, fixed_scale=4)
+
+
 @query("best_so_far", with_views("""
 SELECT run, tag, step, round(min(value) OVER w, 6) AS best,
        CASE WHEN min(value) OVER p IS NULL OR value < min(value) OVER p THEN 1 ELSE 0 END AS is_record
