@@ -9,7 +9,6 @@ from ..operators import metrics as M
 from ..operators import perturb as X
 from ..operators import sampling as S
 from ..operators import scoring as SC
-from ..operators import tokens as K
 from ..sources import tables as T
 from ..sources.tables import LABEL_NAMES
 from .q_labels import arr_str, seq, split_seq
