@@ -19,8 +19,18 @@ def split_exact(df: DataFrame, train_fraction: float = 0.7, key: str = "h",
     the split itself is then a row-local predicate ``key <= boundary`` (no shuffle, and
     a filter on it pushes down like any other).
     """
+    h = split_boundary(df, train_fraction, key)
+    return apply_split(df, h, key, split_col)
+
+
+def split_boundary(df: DataFrame, train_fraction: float = 0.7, key: str = "h") -> str | None:
+    """Key value of rank ceil(f * n): rows with key <= it are 'train' (None: no row)."""
     h, _ = rank_threshold(df, key, lambda n: math.ceil(float(train_fraction) * float(n)))
-    cond = F.lit(False) if h is None else (F.col(key) <= F.lit(h))
+    return h
+
+
+def apply_split(df: DataFrame, boundary: str | None, key: str = "h", split_col: str = "split") -> DataFrame:
+    cond = F.lit(False) if boundary is None else (F.col(key) <= F.lit(boundary))
     return df.withColumn(split_col, F.when(cond, F.lit("train")).otherwise(F.lit("test")))
 
 

@@ -14,8 +14,18 @@ def seq(spark, sf):
     return T.sequences(spark, sf)
 
 
+_BOUNDARY: dict[tuple[str, str], str | None] = {}
+
+
 def split_seq(spark, sf):
-    return S.split_exact(T.sequences(spark, sf))
+    """The pair table with its seeded 70/30 split. The split boundary is a property of
+    the session's materialized pair table, so it is found once (two small passes over
+    the ``h`` column) and kept with that table's key."""
+    s = T.sequences(spark, sf)
+    key = (spark.sparkContext.applicationId, s.inputFiles()[0] if s.inputFiles() else sf)
+    if key not in _BOUNDARY:
+        _BOUNDARY[key] = S.split_boundary(s)
+    return S.apply_split(s, _BOUNDARY[key])
 
 
 def arr_str(c):
