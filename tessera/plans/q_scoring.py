@@ -102,32 +102,32 @@ def score_log_odds(spark, sf):
 
 
 @query("sigmoid_scores", with_views("""
-SELECT seq_id, label, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS prob
-FROM model_scores WHERE split = 'test'""", "model_scores"))
+SELECT seq_id, split, label, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS prob
+FROM model_scores""", "model_scores"))
 def sigmoid_scores(spark, sf):
-    s = model_scores(spark, sf).where(F.col("split") == "test")
-    lg = M.to_long(s, LABEL_NAMES, keep=["seq_id"], arrays=["logit"])
-    return lg.select("seq_id", "label", F.round("logit", 6).alias("logit"),
+    s = model_scores(spark, sf)
+    lg = M.to_long(s, LABEL_NAMES, keep=["seq_id", "split"], arrays=["logit"])
+    return lg.select("seq_id", "split", "label", F.round("logit", 6).alias("logit"),
                      F.round(sigmoid(F.col("logit")), 6).alias("prob"))
 
 
 @query("softmax_scores", with_views("""
-SELECT seq_id, label, round(e / sum(e) OVER (PARTITION BY seq_id), 6) AS p
-FROM (SELECT seq_id, label, exp(z - max(z) OVER (PARTITION BY seq_id)) AS e
-      FROM model_scores WHERE split = 'test') t""", "model_scores"))
+SELECT seq_id, split, label, round(e / sum(e) OVER (PARTITION BY seq_id), 6) AS p
+FROM (SELECT seq_id, split, label, exp(z - max(z) OVER (PARTITION BY seq_id)) AS e
+      FROM model_scores) t""", "model_scores"))
 def softmax_scores(spark, sf):
-    s = model_scores(spark, sf).where(F.col("split") == "test")
+    s = model_scores(spark, sf)
     s = s.withColumn("p", softmax("logit"))
-    lg = M.to_long(s, LABEL_NAMES, keep=["seq_id"], arrays=["p"])
-    return lg.select("seq_id", "label", F.round("p", 6).alias("p"))
+    lg = M.to_long(s, LABEL_NAMES, keep=["seq_id", "split"], arrays=["p"])
+    return lg.select("seq_id", "split", "label", F.round("p", 6).alias("p"))
 
 
 @query("threshold_labels", with_views("""
-SELECT seq_id, string_agg(CAST(CAST(prob > 0.5E0 AS INT) AS VARCHAR), ',' ORDER BY label) AS pred
-FROM model_scores WHERE split = 'test' GROUP BY seq_id""", "model_scores"))
+SELECT seq_id, split, string_agg(CAST(CAST(prob > 0.5E0 AS INT) AS VARCHAR), ',' ORDER BY label) AS pred
+FROM model_scores GROUP BY seq_id, split""", "model_scores"))
 def threshold_labels(spark, sf):
-    s = M.predict(model_scores(spark, sf).where(F.col("split") == "test"), 0.5)
-    return s.select("seq_id", arr_str("pred").alias("pred"))
+    s = M.predict(model_scores(spark, sf), 0.5)
+    return s.select("seq_id", "split", arr_str("pred").alias("pred"))
 
 
 @query("round_even", with_views("""
@@ -163,12 +163,13 @@ def peek_predictions(spark, sf):
 
 
 @query("score_mapinpandas", with_views("""
-SELECT seq_id, label, round(prob, 6) AS prob FROM model_scores WHERE split = 'test'""", "model_scores"))
+SELECT seq_id, split, label, round(prob, 6) AS prob FROM model_scores""", "model_scores"))
 def score_mapinpandas(spark, sf):
     m = model(spark, sf)
-    s = split_seq(spark, sf).where(F.col("split") == "test")
-    out = SC.score_with_model(s, SC.python_log_odds(m))
-    return M.to_long(out, LABEL_NAMES, arrays=["prob"]).select("seq_id", "label", F.round("prob", 6).alias("prob"))
+    s = split_seq(spark, sf)
+    out = SC.score_with_model(s, SC.python_log_odds(m)).join(s.select("seq_id", "split"), "seq_id")
+    return M.to_long(out, LABEL_NAMES, keep=["seq_id", "split"], arrays=["prob"]) \
+        .select("seq_id", "split", "label", F.round("prob", 6).alias("prob"))
 
 
 @query("linear_score", with_views("""
@@ -495,15 +496,15 @@ def delta_pivot(spark, sf):
 
 @query("zip_rows", with_views("""
 SELECT l.idx, l.seq_id, l.tags, r.seq_id AS pred_seq_id, r.pred
-FROM (SELECT seq_id, tags, row_number() OVER (ORDER BY seq_id) AS idx FROM split WHERE split = 'test') l
+FROM (SELECT seq_id, tags, row_number() OVER (ORDER BY seq_id) AS idx FROM split) l
 JOIN (SELECT seq_id, row_number() OVER (ORDER BY seq_id) AS idx,
              string_agg(CAST(CAST(prob > 0.5E0 AS INT) AS VARCHAR), ',' ORDER BY label) AS pred
-      FROM model_scores WHERE split = 'test' GROUP BY seq_id) r ON l.idx = r.idx""", "split", "model_scores"))
+      FROM model_scores GROUP BY seq_id) r ON l.idx = r.idx""", "split", "model_scores"))
 def zip_rows(spark, sf):
-    """Pair the rows of two tables by position (test rows with their predictions)."""
+    """Pair the rows of two tables by position (every pair with its predictions)."""
     from ..operators.kernels import row_index
-    left = row_index(split_seq(spark, sf).where(F.col("split") == "test").select("seq_id", "tags"), "seq_id")
-    preds = M.predict(model_scores(spark, sf).where(F.col("split") == "test"), 0.5) \
+    left = row_index(split_seq(spark, sf).select("seq_id", "tags"), "seq_id")
+    preds = M.predict(model_scores(spark, sf), 0.5) \
         .select(F.col("seq_id").alias("pred_seq_id"), arr_str("pred").alias("pred"))
     right = row_index(preds, "pred_seq_id")
     return left.join(right, "idx").select("idx", "seq_id", "tags", "pred_seq_id", "pred")

@@ -18,7 +18,10 @@ def score_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
     No state is kept (no watermark needed); the checkpoint folder (on shared storage in
     a cluster) records which files were processed, so a restarted query resumes.
     """
-    src = spark.readStream.schema(SEQUENCE_SCHEMA).format(fmt).load(source)
+    schema = SEQUENCE_SCHEMA
+    if "split" not in schema.fieldNames():
+        schema = schema.add("split", "string")
+    src = spark.readStream.schema(schema).format(fmt).load(source)
     scored = score_log_odds(flags_inclusive(src), model)
     out = scored.withColumn("pred", F.transform("prob", lambda p: (p > F.lit(threshold)).cast("int")))
     w = out.writeStream.format("parquet").option("path", sink) \
