@@ -22,11 +22,11 @@ BASE_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app: str = "tessera") -> SparkSession:
+                  app: str = "tessera", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the session the platform gives you."""
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     b = SparkSession.builder.master(master).appName(app)
-    for k, v in BASE_CONF.items():
+    for k, v in {**BASE_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
           .config("spark.driver.memory", "16g"))
