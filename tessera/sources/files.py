@@ -66,6 +66,19 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return j.select(F.explode("j.model.vocab").alias("token", "id"))
 
 
+def write_bpe(spark: SparkSession, ids: dict[str, int], merges: Sequence[tuple[str, str]],
+              path: str) -> None:
+    """Tokenizer-style JSON of a trained BPE: vocabulary (in id order) and merges as
+    'left right' strings in rank order. Both are bounded by the merge budget."""
+    vocab = sorted(ids.items(), key=lambda kv: kv[1])
+    doc = spark.createDataFrame([(vocab, [f"{a} {b}" for a, b in merges])],
+                                "v array<struct<token:string,id:int>>, merges array<string>")
+    m = F.map_from_entries(F.transform("v", lambda e: F.struct(e["token"], e["id"])))
+    out = doc.select(F.to_json(F.struct(F.struct(F.lit("BPE").alias("type"), m.alias("vocab"),
+                                                  F.col("merges")).alias("model"))).alias("json"))
+    out.coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.option("wholetext", True).text(path)
     j = doc.select(F.from_json("value", "model struct<merges: array<string>>").alias("j"))
