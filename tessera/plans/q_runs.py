@@ -121,7 +121,9 @@ def run_logs_scan(spark, sf):
     """Write the scalar log as one folder per run (JSON), then load every run of the
     folder tree into one table; the run comes from each file's path."""
     path = scratch_path(spark, "run-logs")
-    runs(spark, sf).write.mode("overwrite").partitionBy("run").json(path)
+    # one file per run folder: hash-partition by run before the partitioned write (else
+    # every task writes a file into every run folder it touches)
+    runs(spark, sf).repartition("run").write.mode("overwrite").partitionBy("run").json(path)
     back = spark.read.schema("tag string, step long, value double") \
         .option("recursiveFileLookup", "true").json(path)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"run=(-?\d+)", 1).cast("long")
