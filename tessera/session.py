@@ -49,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage: checkpoints "
+                           "and materialized tables must survive the loss of an executor")
+    d = tempfile.mkdtemp(prefix="tessera-ckpt-")   # local mode only (tests)
     sc.setCheckpointDir(d)
     return d
 
