@@ -17,8 +17,12 @@ from pyspark.sql.types import StringType
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 # word runs or runs of other non-space characters, ASCII classes (same in Java and RE2)
 WS_PRETOKEN_ASCII = r"([A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\x0B]+)"
-# the same with Unicode word and space classes (Java (?U)); the reference library's rule
-WS_PRETOKEN_UNICODE = r"(?U)(\w+|[^\w\s]+)"
+# the same with Unicode classes, spelled out so Java and RE2 read them alike:
+# word = letters, letter numbers, marks, decimal digits, connector punctuation, join
+# controls; space = the White_Space set
+UNICODE_WORD = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
+UNICODE_SPACE = r"\t\n\x0B\f\r\x{85}\p{Z}"
+WS_PRETOKEN_UNICODE = f"([{UNICODE_WORD}]+|[^{UNICODE_WORD}{UNICODE_SPACE}]+)"
 
 
 @pandas_udf(StringType())

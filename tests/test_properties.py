@@ -49,3 +49,17 @@ def test_bpe_tokens_concatenate_to_the_word(spark, small_dir):
     ids, merges = B.train(w, 8, min_frequency=2)
     enc = B.encode(QL.seq(spark, small_dir), [(a, b) for a, b, _ in merges], ids).collect()
     assert all("".join(r["tokens"]) == r["piece"] for r in enc)
+
+
+def test_unicode_pretokenizer_matches_the_tokenizer_library(spark, small_dir):
+    """Cross-check (test time only) against the public tokenizers library's Whitespace
+    pre-tokenizer, on the whole texts of the smallest tables."""
+    import pytest
+    pre = pytest.importorskip("tokenizers.pre_tokenizers")
+    from tessera.functions import text as TX
+    from tessera.sources import tables as T
+    d = T.table(spark, small_dir, "documents").select("doc_id", "text")
+    got = d.select("doc_id", "text", TX.pretokenize_ws(F.col("text"), unicode=True).alias("p")).collect()
+    ws = pre.Whitespace()
+    bad = [r["doc_id"] for r in got if [t for t, _ in ws.pre_tokenize_str(r["text"])] != r["p"]]
+    assert not bad, bad[:5]
