@@ -63,3 +63,52 @@ def test_unicode_pretokenizer_matches_the_tokenizer_library(spark, small_dir):
     ws = pre.Whitespace()
     bad = [r["doc_id"] for r in got if [t for t, _ in ws.pre_tokenize_str(r["text"])] != r["p"]]
     assert not bad, bad[:5]
+
+
+def _corpus(spark, small_dir, tmp_path, spaced):
+    from tessera.operators import tokens as K
+    train = QL.split_seq(spark, small_dir).where(F.col("split") == "train")
+    lines = K.corpus_lines(train, spaced_chars=spaced).orderBy("seq_id", "line_no").collect()
+    f = tmp_path / ("spaced.txt" if spaced else "raw.txt")
+    f.write_text("".join(r["line"] + "\n" for r in lines))
+    return train, str(f)
+
+
+def test_word_level_vocab_matches_the_tokenizer_library(spark, small_dir, tmp_path):
+    import pytest
+    tk = pytest.importorskip("tokenizers")
+    from tokenizers import normalizers, pre_tokenizers
+    from tokenizers.models import WordLevel
+    from tokenizers.trainers import WordLevelTrainer
+    from tessera.functions.exprs import SPECIAL_TOKENS
+    from tessera.operators import tokens as K
+    train, path = _corpus(spark, small_dir, tmp_path, spaced=True)
+    tok = tk.Tokenizer(WordLevel(unk_token="<unk>"))
+    tok.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.NFD()])
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.train([path], WordLevelTrainer(special_tokens=list(SPECIAL_TOKENS)))
+    ours = K.vocab_dict(K.fit_wl_vocab(spark, K.token_counts(train)))
+    assert ours == tok.get_vocab()
+
+
+def test_bpe_merges_match_the_tokenizer_library(spark, small_dir, tmp_path):
+    import json
+
+    import pytest
+    tk = pytest.importorskip("tokenizers")
+    from tokenizers import normalizers, pre_tokenizers
+    from tokenizers.models import BPE
+    from tokenizers.trainers import BpeTrainer
+    from tessera.functions.exprs import SPECIAL_TOKENS
+    train, path = _corpus(spark, small_dir, tmp_path, spaced=False)
+    tok = tk.Tokenizer(BPE())
+    tok.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.NFD()])
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel()])
+    tok.train([path], BpeTrainer(special_tokens=list(SPECIAL_TOKENS), min_frequency=10))
+    lib = json.loads(tok.to_str())["model"]["merges"]
+    lib = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in lib]
+    # the full run is ~350 sequential rounds (minutes); by default compare the first 60
+    import os
+    k = len(lib) + 5 if os.environ.get("TESSERA_SLOW") else 60
+    _, merges = B.train(QT.train_words(spark, small_dir), k, min_frequency=10)
+    assert [(a, b) for a, b, _ in merges] == lib[:k]
