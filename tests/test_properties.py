@@ -89,6 +89,12 @@ def test_word_level_vocab_matches_the_tokenizer_library(spark, small_dir, tmp_pa
     tok.train([path], WordLevelTrainer(special_tokens=list(SPECIAL_TOKENS)))
     ours = K.vocab_dict(K.fit_wl_vocab(spark, K.token_counts(train)))
     assert ours == tok.get_vocab()
+    # encode + right padding to the split's longest chain, pad id 0, mask 1 per token
+    enc = K.encode_padded(train, ours).select("chain_a", "ids_a", "mask_a", "max_len").collect()
+    tok.enable_padding(length=enc[0]["max_len"])
+    for r in enc:
+        e = tok.encode(" ".join(r["chain_a"]))
+        assert e.ids == r["ids_a"] and e.attention_mask == r["mask_a"]
 
 
 def test_bpe_merges_match_the_tokenizer_library(spark, small_dir, tmp_path):
