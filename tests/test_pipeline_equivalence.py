@@ -21,11 +21,23 @@ def test_scan_fast_path_equals_rebuilt_strings(spark, small_dir):
 
 
 def test_identity_substitution_has_zero_delta(spark, small_dir):
+    """Putting each position's own symbol back leaves every probability unchanged, and
+    a real substitution moves the logit by exactly w(new) - w(old)."""
+    from tessera.functions.exprs import replace_at
     m = QS.model(spark, small_dir)
-    df = spark.createDataFrame([(1, "ABC", "DE", "Q")], "seq_id long, chain_a string, chain_b string, tags string")
-    z = df.select(m.logit(F.col("chain_a"), F.col("chain_b"), "Q").alias("z")).first()["z"]
-    z2 = df.select(m.logit(F.col("chain_a"), F.col("chain_b"), "Q").alias("z")).first()["z"]
-    assert z == z2
+    s = QL.seq(spark, small_dir).limit(200)
+    e = X.substitution_expand(s, m.symbols, "a", keep=["chain_b"])
+    ident = e.withColumn("same", replace_at(F.col("modified"), F.col("idx"), F.upper("orig")))
+    rows = ident.select(
+        *[(m.logit(F.col("same"), F.col("chain_b"), lb)
+           - m.logit(F.col("modified"), F.col("chain_b"), lb)).alias(f"d_{lb}") for lb in m.labels],
+        "aa", "orig").collect()
+    w = m.weights["a"]
+    for r in rows:
+        for lb in m.labels:
+            # 'same' is the original chain; 'modified' has aa at idx
+            want = w[lb].get(r["orig"], 0.0) - w[lb].get(r["aa"], 0.0)
+            assert abs(r[f"d_{lb}"] - want) < 1e-9
 
 
 def test_user_model_path_equals_native(spark, small_dir):
