@@ -52,11 +52,33 @@ def composite_tag(q: Column, t: Column, x: Column) -> Column:
     return F.when(parts == "", F.lit(NEGATIVE)).otherwise(parts)
 
 
-def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bucketed_sources(spark: SparkSession, sf_dir: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``documents`` and ``labels`` stored once as tables bucketed and sorted by doc_id
+    (same bucket count) under the shared checkpoint folder. Joining them is then a
+    sort-merge join with no exchange on either side: the text is never shuffled. Worth
+    it when the corpus is joined in many sessions; the given plain files are the default."""
+    from ..session import ensure_checkpoint_dir
+    base = os.path.join(ensure_checkpoint_dir(spark), f"bucketed-{abs(hash(os.path.abspath(sf_dir)))}")
+    out = []
+    for name, cols in (("documents", ("doc_id", "text", "lang")), ("labels", ("doc_id", "quality", "toxic"))):
+        tname = f"tessera_{name}_{abs(hash((os.path.abspath(sf_dir), buckets)))}"
+        if not spark.catalog.tableExists(tname):
+            path = os.path.join(base, name)
+            table(spark, sf_dir, name).select(*cols).write.mode("overwrite") \
+                .bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).saveAsTable(tname)
+        out.append(spark.table(tname))
+    return out[0], out[1]
+
+
+def labelled_words(spark: SparkSession, sf_dir: str, bucketed: bool = False) -> DataFrame:
     """(doc_id, is_q, is_t, is_x, words) for every labelled document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = spread(docs.join(labels, "doc_id"), docs, "doc_id")
+    if bucketed:
+        docs, labels = bucketed_sources(spark, sf_dir)
+        j = docs.join(labels, "doc_id")
+    else:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+        labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+        j = spread(docs.join(labels, "doc_id"), docs, "doc_id")
     return j.select(
         "doc_id",
         F.when(F.col("quality") == 1, 1).otherwise(0).alias("is_q"),

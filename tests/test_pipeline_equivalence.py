@@ -96,3 +96,19 @@ def test_logistic_fits_learn_the_language_label(spark, small_dir):
     from tessera.operators import fit as FT
     rows = {r["label"]: r["auc"] for r in FT.logreg_multilabel(QL.split_seq(spark, small_dir)).collect()}
     assert rows["X"] > 0.7      # non-English words are easy to tell from their letters
+
+
+def test_bucketed_sources_join_without_exchange(spark, small_dir):
+    from tessera.sources import tables as T
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # force the sort-merge join
+    try:
+        w = T.labelled_words(spark, small_dir, bucketed=True)
+        plain = T.labelled_words(spark, small_dir)
+        w.select("doc_id").collect()
+        plan = _plan(w)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        key = lambda r: (r["doc_id"], r["is_q"], r["is_t"], r["is_x"], tuple(r["words"]))
+        assert sorted(map(key, w.collect())) == sorted(map(key, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
