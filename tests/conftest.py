@@ -14,7 +14,9 @@ def spark():
     from pyspark.sql import SparkSession
 
     from tessera.session import BASE_CONF, ensure_checkpoint_dir
-    b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+    import tempfile
+    b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8") \
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tessera-wh-"))
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
