@@ -295,3 +295,44 @@ def test_rank_threshold_refines_and_is_exact(spark):
     assert KN.rank_threshold(df, "h", 0)[0] is None
     top, _ = KN.rank_threshold(df, "h", 5000)
     assert top > hs[-1]
+
+
+def test_epoch_loss_reset_versus_running(spark):
+    import datetime as dt
+    from tessera.operators import runs as R
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    rows = [(1, "loss", d1, 1.0), (1, "loss", d1, 3.0), (1, "loss", d2, 5.0)]
+    log = spark.createDataFrame(rows, "run long, tag string, epoch date, value double")
+    got = {r["epoch"]: (r["epoch_mean"], r["running_mean"]) for r in R.epoch_loss(log).collect()}
+    assert got[d1] == (2.0, 2.0)
+    assert got[d2] == (5.0, 3.0)          # per-epoch resets; the logged running mean does not
+
+
+def test_batch_macro_differs_from_pooled_on_uneven_batches(spark):
+    rows = [(1, "s", 0, [1], [1], [0.9]), (2, "s", 0, [0], [1], [0.1]), (3, "s", 0, [0], [1], [0.2]),
+            (4, "s", 1, [1], [1], [0.8])]
+    df = spark.createDataFrame(rows, "seq_id long, split string, batch_id long, pred array<int>, "
+                                     "target array<int>, prob array<double>")
+    pooled = M.metric_bundle(df, ["A"]).first()["acc"]
+    macro = M.batch_macro(df, ["A"]).first()["acc"]
+    assert pooled == 0.5 and macro == pytest.approx((1 / 3 + 1.0) / 2, abs=1e-6)
+
+
+def test_best_step_is_max_first_on_ties(spark):
+    from tessera.operators import runs as R
+    rows = [(1, "acc", 3, 0.9), (1, "acc", 1, 0.9), (1, "acc", 2, 0.5)]
+    log = spark.createDataFrame(rows, "run long, tag string, step long, value double")
+    r = R.best_step(log).first()
+    assert r["best_step"] == 1 and r["best_value"] == 0.9
+
+
+def test_delta_is_original_minus_modified(spark):
+    from tessera.operators import perturb as PT
+    from tessera.operators.scoring import LogOddsModel
+    w = {"a": {"Q": {"a": 2.0, "b": -2.0}}, "b": {"Q": {"a": 0.0, "b": 0.0}}}
+    m = LogOddsModel(("Q",), w, {"Q": 0.0}, ("a", "b"))
+    df = spark.createDataFrame([(1, "A", "", "Q")], "seq_id long, chain_a string, chain_b string, tags string")
+    r = PT.mean_delta(df, m).where(F.col("aa") == "b").first()
+    # replacing a high-weight symbol by a low one lowers p: the delta is positive
+    want = 1 / (1 + math.exp(-2.0)) - 1 / (1 + math.exp(2.0))
+    assert r["mean_delta"] == pytest.approx(round(want, 6)) and r["mean_delta"] > 0
