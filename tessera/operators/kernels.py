@@ -71,17 +71,20 @@ def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: S
     """
     by = list(by)
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    if buckets is None:              # about ROWS_PER_BUCKET rows per bucket, 16..16384
-        buckets = int(min(16384, max(16, math.ceil(df.count() / ROWS_PER_BUCKET))))
+    if buckets is None:              # about ROWS_PER_BUCKET rows per bucket, 1..16384
+        buckets = int(min(16384, max(1, math.ceil(df.count() / ROWS_PER_BUCKET))))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(order_col, probs, 1.0 / (2 * buckets)) if buckets > 1 else []
     splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     nb = len(splits) - 1
-    x = df.withColumn("_o", F.col(order_col).cast("double"))
-    x = Bucketizer(splits=splits, inputCol="_o", outputCol="_bd", handleInvalid="keep").transform(x)
-    raw = F.col("_bd").cast("int")
-    bkt = (F.lit(nb - 1) - raw) if descending else raw
-    x = x.withColumn("_bkt", bkt).drop("_o", "_bd")
+    if nb == 1:                      # small (or empty) input: one bucket, no boundaries
+        x = df.withColumn("_bkt", F.lit(0))
+    else:
+        x = df.withColumn("_o", F.col(order_col).cast("double"))
+        x = Bucketizer(splits=splits, inputCol="_o", outputCol="_bd", handleInvalid="keep").transform(x)
+        raw = F.col("_bd").cast("int")
+        bkt = (F.lit(nb - 1) - raw) if descending else raw
+        x = x.withColumn("_bkt", bkt).drop("_o", "_bd")
     per = x.groupBy(*by, "_bkt").agg(*[agg(v).alias(f"_b_{v}") for v in values])
     grp = Window.partitionBy(*by) if by else Window.partitionBy()
     before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)

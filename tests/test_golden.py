@@ -336,3 +336,10 @@ def test_delta_is_original_minus_modified(spark):
     # replacing a high-weight symbol by a low one lowers p: the delta is positive
     want = 1 / (1 + math.exp(-2.0)) - 1 / (1 + math.exp(2.0))
     assert r["mean_delta"] == pytest.approx(round(want, 6)) and r["mean_delta"] > 0
+
+
+def test_prefix_aggregate_small_and_empty_inputs(spark):
+    df = spark.createDataFrame([("r", 1, 2), ("r", 2, 3)], "g string, o long, v long")
+    got = sorted((r["o"], r["v_cum"]) for r in KN.prefix_aggregate(df, ["g"], "o", ["v"]).collect())
+    assert got == [(1, 2), (2, 5)]
+    assert KN.prefix_aggregate(df.limit(0), ["g"], "o", ["v"]).count() == 0
