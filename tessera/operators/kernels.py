@@ -85,11 +85,18 @@ def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: S
         raw = F.col("_bd").cast("int")
         bkt = (F.lit(nb - 1) - raw) if descending else raw
         x = x.withColumn("_bkt", bkt).drop("_o", "_bd")
-    per = x.groupBy(*by, "_bkt").agg(*[agg(v).alias(f"_b_{v}") for v in values])
-    grp = Window.partitionBy(*by) if by else Window.partitionBy()
-    before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(*by, "_bkt", *[agg(f"_b_{v}").over(before).alias(f"_o_{v}") for v in values])
-    y = x.join(offs, [*by, "_bkt"])
+    if nb == 1:
+        # one bucket: nothing precedes it, so there are no offsets to join (a join on the
+        # constant bucket would be planned as a cross join)
+        y = x
+        for v in values:
+            y = y.withColumn(f"_o_{v}", F.lit(None).cast(x.schema[v].dataType))
+    else:
+        per = x.groupBy(*by, "_bkt").agg(*[agg(v).alias(f"_b_{v}") for v in values])
+        grp = Window.partitionBy(*by) if by else Window.partitionBy()
+        before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        offs = per.select(*by, "_bkt", *[agg(f"_b_{v}").over(before).alias(f"_o_{v}") for v in values])
+        y = x.join(offs, [*by, "_bkt"])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     inner = Window.partitionBy(*by, "_bkt").orderBy(order)
     run_incl = inner.rowsBetween(Window.unboundedPreceding, 0)
