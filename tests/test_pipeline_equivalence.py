@@ -112,3 +112,11 @@ def test_bucketed_sources_join_without_exchange(spark, small_dir):
         assert sorted(map(key, w.collect())) == sorted(map(key, plain.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_spread_only_repartitions_inputs_with_few_splits(spark):
+    from tessera.sources.tables import spread
+    few = spark.range(1000, numPartitions=1)
+    many = spark.range(1000, numPartitions=spark.sparkContext.defaultParallelism * 8)
+    assert "Exchange" in _plan(spread(few, few, "id"))
+    assert "Exchange" not in _plan(spread(many, many, "id"))
