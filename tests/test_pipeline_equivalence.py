@@ -120,3 +120,14 @@ def test_spread_only_repartitions_inputs_with_few_splits(spark):
     many = spark.range(1000, numPartitions=spark.sparkContext.defaultParallelism * 8)
     assert "Exchange" in _plan(spread(few, few, "id"))
     assert "Exchange" not in _plan(spread(many, many, "id"))
+
+
+def test_pair_table_is_rederived_when_its_folder_is_gone(spark, small_dir):
+    import os
+
+    from tessera.sources import tables as T
+    n = T.sequences(spark, small_dir).count()
+    key = (spark.sparkContext.applicationId, os.path.abspath(small_dir))
+    T._SEQ_TABLES[key] = "/tmp/tessera-missing-folder-for-test"   # as if cleaned up
+    again = T.sequences(spark, small_dir)
+    assert again.count() == n and T._SEQ_TABLES[key] != "/tmp/tessera-missing-folder-for-test"
