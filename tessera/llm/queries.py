@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, simhash
+from . import bpe_codec, poisson_mix, simhash, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,15 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("component").alias("component_id"))
 
 
+@query
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents in which every source has an equal share of the characters."""
+    return poisson_mix.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_poisson_mix"] = sql.POISSON_MIX
+
+
 @query
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
