@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, lcp, poisson_mix, simhash, sql
+from . import bpe_codec, lcp, one_bit_ann, poisson_mix, simhash, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,13 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op7_poisson_mix"] = sql.POISSON_MIX
 
 
+@query
+def op8_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
+    index = one_bit_ann.OneBitIndex(table(spark, sf_dir, "embeddings"))
+    return index.search(index.rows.where("id % 20 = 0"), k=20)
+
+
 @query
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
