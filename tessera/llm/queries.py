@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, lcp, one_bit_ann, poisson_mix, simhash, sql
+from . import bpe_codec, lcp, one_bit_ann, poisson_mix, simhash, sql, unigram_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -58,6 +59,14 @@ def op8_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(index.rows.where("id % 20 = 0"), k=20)
 
 
+@query
+def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters, tokens and best segmentation score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = unigram_counts.counts(docs, unigram_counts.load(PIECES))
+    return counted.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_tokens", "score")
+
+
 @query
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
