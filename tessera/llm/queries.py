@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, lcp, one_bit_ann, poisson_mix, simhash, sql, unigram_counts
+from . import bpe_codec, langid, lcp, one_bit_ann, poisson_mix, simhash, sql, unigram_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,15 @@ def op1_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.compare_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model) \
+        .select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
