@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, langid, lcp, one_bit_ann, poisson_mix, simhash, sql, unigram_counts
+from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, unigram_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,15 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("component").alias("component_id"))
 
 
+@query
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out()).select("doc_id", "held_out", "text")
+    model = nbsvm.fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs, model) \
+        .select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents in which every source has an equal share of the characters."""
