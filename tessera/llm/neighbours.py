@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGES_PER_PARTITION = 4
+RANGES_PER_PARTITION = 16
 MAX_RANGES = 20_000        # first ids that reach the driver; more rows make longer ranges
 
 

@@ -29,6 +29,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .hot import join_hot
 
 STEP = 8.0                        # largest mean drawn at once
@@ -50,6 +51,7 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, si
     ``weights`` None: every source that has characters gets an equal share."""
     per = docs.groupBy(F.col(source_col).alias("source")).agg(
         F.count("*").alias("n"), F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("mass"))
+    per = materialize(per, "source-mass")          # one small row per source, read three times
     if weights is None:
         weight = F.when(F.col("mass") > 0, 1.0).otherwise(0.0)
     else:

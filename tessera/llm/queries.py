@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, unigram_counts
+from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, toxicity_cnn, unigram_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,15 @@ def op1_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.compare_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out()).select("doc_id", "held_out", "text")
+    model = toxicity_cnn.fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return toxicity_cnn.score(docs, model) \
+        .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
