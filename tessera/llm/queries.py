@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, toxicity_cnn, unigram_counts
+from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, tag_paths, toxicity_cnn, unigram_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,13 @@ def op1_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.compare_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return tag_paths.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from those that are not held out."""
