@@ -25,7 +25,7 @@ def in_order(rows: DataFrame, id_col: str, tie_col: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = min(MAX_RANGES, parts * RANGES_PER_PARTITION)
     ids = rows.select(F.col(id_col).cast("double").alias("__x"), F.col(id_col).alias("__id"))
-    cuts = ids.agg(F.percentile_approx("__x", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("__x", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or [0.0]
     split = Bucketizer(inputCol="__x", outputCol="__range",
                        splits=[float("-inf"), *sorted(set(cuts)), float("inf")])
     heads = split.transform(ids).groupBy("__range").agg(F.min("__id").alias("__id")).orderBy("__range").collect()

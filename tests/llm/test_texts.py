@@ -1,0 +1,257 @@
+"""Fingerprints, main text, token counts and BPE: against libraries and brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, normalizers
+
+from tessera.llm import bpe_codec, lcp, queries, tag_paths, unigram_counts
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ODD = ["", " ", "Hello wörld’s I'M it's  ΣΑΣ İx <|endoftext|>zz 12 \x1c a b </w> ", "áb é \x85x y 'S",
+       "<|startoftext|><|endoftext|> <|endoftext| >", "日本語テキスト 한국어 \U0001F600\U0001F600 x̀́", "ﬁ ß ẞ Ǆ K",
+       "'re're''s'd1234 12a a'sb", "\x00\x01 ​ ﻿ a﻿b", "A" * 3000, "ab" * 2000]
+
+
+# ---- operator 10
+
+def test_bpe_equals_library_on_odd_and_random_texts():
+    library, mine = Tokenizer.from_file(WORD_BPE), bpe_codec.WordBpe(bpe_codec.load(WORD_BPE))
+    r = random.Random(3)
+    random_texts = ["".join(r.choice("abcdeHIé'1 .,\n") for _ in range(r.randrange(60))) for _ in range(300)]
+    for text in ODD + random_texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        got = [i for w in mine.encode(text) for i in w]
+        assert got == want, text
+        assert mine.decode(got) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_word_table_restarts_without_changing_results(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "KEPT_WORDS", 3)
+    mine = bpe_codec.WordBpe(bpe_codec.load(WORD_BPE))
+    text = "one two three four five one two three"
+    assert mine.encode(text) == [mine.encode_word(w) for w in text.split()]
+
+
+def test_op10_equals_library_on_documents(spark, small_dir, documents):
+    library = Tokenizer.from_file(WORD_BPE)
+    got = {r.doc_id: r for r in queries.QUERIES["op10_bpe_codec"](spark, small_dir).collect()}
+    rows = documents.collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        ids = library.encode(d.text or "", add_special_tokens=False).ids
+        g = got[d.doc_id]
+        assert g.n_tokens == len(ids)
+        assert g.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert g.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_edges(edge, none):
+    out = bpe_codec.encode(edge, WORD_BPE, decoded="decoded")
+    rows = out.collect()
+    assert len(rows) == edge.count() and sorted(out.columns) == sorted(edge.columns)
+    assert all(r.ids == [] and r.decoded == "" for r in rows if not (r.text or "").strip())
+    assert bpe_codec.encode(none, WORD_BPE).count() == 0
+    back = bpe_codec.decode(out.select("doc_id", "ids"), WORD_BPE).collect()
+    assert sorted(r.decoded for r in back) == sorted(r.decoded for r in rows)
+
+
+# ---- operator 9
+
+def library_unigram(pieces, byte_fallback):
+    t = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=byte_fallback))
+    t.normalizer = normalizers.Sequence([normalizers.Replace(" ", "▁"), normalizers.Prepend("▁")])
+    return t
+
+
+def test_unigram_equals_library_with_ties_and_unknown_runs():
+    pieces = [("<unk>", 0.0), ("a", -1.0), ("b", -1.5), ("ab", -2.5), ("▁", -0.5), ("▁a", -1.5), ("aa", -2.0), ("ba▁", -0.25)]
+    mine, library, r = unigram_counts.Unigram(pieces), library_unigram(pieces, False), random.Random(5)
+    for _ in range(2000):
+        text = "".join(r.choice("aab xy") for _ in range(r.randrange(12)))
+        assert mine.count(text)[0] == len(library.encode(text).ids), text
+
+
+def test_unigram_equals_library_on_documents(spark, small_dir, documents):
+    library = library_unigram(unigram_counts.load(PIECES), True)
+    got = {r.doc_id: r for r in queries.QUERIES["op9_unigram_counts"](spark, small_dir).collect()}
+    for d in documents.collect():
+        assert got[d.doc_id].n_tokens == len(library.encode(d.text or "", add_special_tokens=False).ids)
+        assert got[d.doc_id].n_chars == len(d.text or "")
+    mine = unigram_counts.Unigram(unigram_counts.load(PIECES))
+    for text in ODD + ["<s> <unk> <0x41>", "日本\n\n語 \U0001F600 x", "ab\tcd\r\n"]:
+        assert mine.count(text)[0] == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_unigram_pieces_are_those_of_the_file():
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    names = [p for p, _ in unigram_counts.load(PIECES)]
+    assert names[0] == m.id_to_piece(m.unk_id()) and "<s>" not in names and len(names) == m.get_piece_size() - 2
+
+
+def test_unigram_edges(edge, none):
+    pieces = unigram_counts.load(PIECES)
+    rows = unigram_counts.counts(edge, pieces).collect()
+    assert len(rows) == edge.count()
+    assert all(r.n_tokens == 0 and r.score == 0.0 for r in rows if not r.text)
+    assert unigram_counts.counts(none, pieces).count() == 0
+
+
+# ---- operator 1
+
+def mixed(x):
+    return int(lcp._mix(np.array([x % 2**64], np.uint64))[0])
+
+
+def parse_slowly(names):
+    """Phrases by the definition, symbol by symbol; (names in a phrase) for one text."""
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    symbols = [x if n == 1 else mixed(x + n * int(lcp._POWERS[1])) for x, n in runs]
+
+    def toss(seq):
+        out = []
+        for i, x in enumerate(seq):
+            left = seq[i - 1] if i else x ^ 1
+            low = (x ^ left) & -(x ^ left)
+            place = low.bit_length() - 1 if low else 0
+            out.append(2 * place + (x >> place & 1))
+        return out
+
+    label = toss(toss(toss(toss(symbols))))
+    phrases = []
+    for i, s in enumerate(symbols):
+        top = 0 < i < len(symbols) - 1 and label[i] > label[i - 1] and label[i] > label[i + 1]
+        if not i or top:
+            phrases.append([])
+        phrases[-1].append(s)
+    return phrases
+
+
+def name_slowly(phrase):
+    return mixed(sum(mixed(s) * int(lcp._POWERS[i]) for i, s in enumerate(phrase)))
+
+
+@pytest.mark.parametrize("text", ["a", "ab", "aaaa", "abcabcabc", "the quick brown fox  jumps over the lazy dog" * 3, "日本語aab" * 7])
+def test_parse_equals_the_definition(text):
+    names = [ord(c) for c in text]
+    for _ in range(4):
+        got, first = lcp.parse(np.array(names, np.uint64), np.array([0]))
+        want = [name_slowly(p) for p in parse_slowly(names)]
+        assert [int(x) for x in got] == want and first.tolist() == [0]
+        names = want
+
+
+def test_texts_parsed_together_and_alone_are_alike():
+    r = random.Random(2)
+    texts = ["".join(r.choice("abc ") for _ in range(r.randrange(200))) for _ in range(50)] + ["", None, "x", "aaaa"]
+    together = lcp.sketches(texts)
+    assert all((together[i] == lcp.sketches([t])[0]).all() for i, t in enumerate(texts))
+
+
+def test_equal_substrings_share_interior_names():
+    r = random.Random(4)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(4000))
+    def level3(text):
+        names, first = np.array([ord(c) for c in text], np.uint64), np.array([0])
+        for _ in range(3):
+            names, first = lcp.parse(names, first)
+        return names.tolist()
+    a, b = level3("xyz" + shared + "qq"), level3("a longer and different start " + shared)
+    assert sum(x in set(b) for x in a) > 0.9 * len(a)
+
+
+def test_op1_against_brute_force(spark, small_dir, documents):
+    rows = sorted(documents.collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: r for r in queries.QUERIES["op1_lcp_fingerprint"](spark, small_dir).collect()}
+    assert len(got) == len(rows)
+    sketch = lcp.sketches([r.text for r in rows])
+    for i, d in enumerate(rows):
+        j = (i + 1) % len(rows)
+        n = len(d.text)
+        edited = d.text[:n - n // 2] + rows[j].text[:n // 2]
+        g, e = got[d.doc_id], lcp.sketches([edited])
+        assert (g.n_chars, g.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        assert g.fingerprint == lcp.hexes(sketch[i:i + 1])[0] and g.edited_fingerprint == lcp.hexes(e)[0]
+        assert g.near_edited == lcp.likeness(sketch[i:i + 1], e)[0]
+        assert g.near_next == lcp.likeness(sketch[i:i + 1], sketch[j:j + 1])[0]
+    assert np.mean([g.near_edited > g.near_next for g in got.values()]) > 0.95
+
+
+def test_op1_edges(spark, edge, none):
+    rows = lcp.compare_edits(edge).collect()
+    assert len(rows) == edge.count()
+    assert sum(r.doc_id is None for r in rows) == 2
+    assert len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1
+    blank = [r for r in rows if r.n_chars == 0]
+    assert all(set(r.fingerprint) == {"0"} and r.near_edited == 1.0 for r in blank)
+    assert lcp.compare_edits(none).count() == 0
+    one = spark.createDataFrame([(5, "only one text here")], "doc_id long, text string")
+    r = lcp.compare_edits(one).first()
+    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"only one text"[:9] + b"only one ").hexdigest()
+    f = lcp.fingerprints(edge)
+    both = lcp.similarity(f.withColumn("other", F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.col("fingerprint"))),
+                          "fingerprint", "other")
+    assert {r.doc_id: r.likeness for r in both.collect()} == {r.doc_id: None if r.doc_id == 3 else 1.0 for r in edge.collect()}
+
+
+# ---- operator 2
+
+NEWS = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style></head><body class="has-sidebar">
+<header><h1>Site name</h1></header><div class="cookie-notice">We use cookies, is that ok?</div>
+<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li></ul></nav>
+<div id="wrap"><div class="sidebar"><p>Popular, stuff here.</p></div><div id="content"><h2>Title here</h2>
+<p>First para, long enough text. With two sentences.</p><p>Short.</p><ul><li>item one</li><li>item two</li></ul>
+<p>Next &amp; last&nbsp;one<br>with   break, it is <b>fi</b>ne. <a href=x>link</a> end.</p>
+<div class="comments"><p>I like it, a lot. Very much so, thanks.</p></div><form><label>Name</label><input></form>
+</div></div><aside>Buy this, now!</aside><script>var t = "</p>";</script><footer>&copy; all rights</footer></body></html>"""
+
+
+def test_main_text_without_an_article_element():
+    assert tag_paths.main_text(NEWS) == ("Title here\nFirst para, long enough text. With two sentences.\nShort.\nitem one\n"
+                                         "item two\nNext & last one with break, it is fine. link end.")
+
+
+@pytest.mark.parametrize("page,want", [
+    (None, ""), ("", ""), ("<div><br></div>", ""), ("plain &lt;text&gt;  here", "plain <text> here"),
+    ("<p>a<p>b</div>c<!-- x", "a\nb\nc"), ("<div>" * 5000 + "deep, text." + "</div>" * 5000, "deep, text."),
+    ("<article><h1>T &am</h1><p><b>One, two.<br><p>Three</p></article><footer>x", "T &am\nOne, two.\nThree"),
+    ("<main><p>Text, here.</p><div hidden><p>Not, this.</p></div><div style='display: none'>nor this</div></main>", "Text, here."),
+    ("<article><p>Body, text.</p></article><article class='comment'><p>I say, much longer than the text, really.</p></article>",
+     "Body, text."),
+    ("<p>a &#65;&#x42;&nbsp;b</p><script>if (a < b) { x = '<p>no</p>' }", "a AB b"),
+])
+def test_main_text_cases(page, want):
+    assert tag_paths.main_text(page) == want
+
+
+def test_op2_returns_the_article_of_every_page(spark, small_dir):
+    import re
+    from html import unescape
+    pages = {r.page_id: r for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()}
+    got = queries.QUERIES["op2_tag_path_text"](spark, small_dir).collect()
+    assert len(got) == len(pages)
+    for g in got:
+        inner = re.search(r"<article>(.*?)</article>", pages[g.page_id].html, re.S).group(1)
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:h1|p)>", inner)]
+        assert g.text == "\n".join(b for b in blocks if b)
+        assert (g.n_chars, g.url) == (len(g.text), pages[g.page_id].url)
+
+
+def test_extract_edges(spark):
+    rows = [(1, None, "u"), (1, None, "u"), (None, "", None), (2, "x" * 300_000, "v"), (3, "<" * 5000, "w"), (4, "<a =\"" * 3000, "w")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    out = tag_paths.extract(df)
+    assert sorted(out.columns) == ["html", "page_id", "text"] and out.count() == 6
+    assert {r.text for r in out.where("page_id = 1").collect()} == {""}
+    assert tag_paths.extract(df.limit(0)).count() == 0
