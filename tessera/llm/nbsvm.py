@@ -103,7 +103,7 @@ def hinge_fit(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, c
                 dual[i] = new
                 w[rows[i]] += step * y[i] * values[i]
                 moved = max(moved, abs(step) / cost[i])
-        if moved < 1e-3:
+        if moved < 1e-4:
             break
     return w
 

@@ -142,10 +142,9 @@ class OneBitIndex:
         sizes = v.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
         self.dim = sizes["d"] if sizes else 1
         self.rows = v.where(usable("vector", self.dim))
-        got = self.rows.agg(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))).alias("m"),
-                            F.count("*").alias("n")).first()
-        self.count = got["n"]
-        self.mean = np.array(got["m"]) if self.count else np.zeros(self.dim)
+        self.count = self.rows.count()
+        as_vector = array_to_vector(F.col("vector").cast("array<double>"))
+        self.mean = np.array(self.rows.agg(Summarizer.mean(as_vector)).first()[0]) if self.count else np.zeros(self.dim)
         self.seed = seed
         schema = f"id long, vector {dict(v.dtypes)['vector']}, code binary, norm double, own double"
         self.codes = self.rows.mapInArrow(partial(_index, self.mean, seed), schema)

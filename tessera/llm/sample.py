@@ -22,6 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     share = {c: min(1.0, per_class / n) for c, n in sizes.items()}
     rate = F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     draw = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    chosen = marks.where(draw < rate).withColumn("weight", 1 / rate)
+    stands_for = F.when(F.col("label") == 1, 1 / share.get(1, 1.0)).otherwise(1 / share.get(0, 1.0))
+    chosen = marks.where(draw < rate).withColumn("weight", stands_for)
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")) \
         .join(F.broadcast(chosen), "__id").withColumnRenamed("__id", "id")

@@ -42,7 +42,8 @@ STEM = 4
 MIN_TEXTS = 3               # sampled texts that must hold a word or stem for it to have a vector
 DIM, FILTERS = 16, 12       # of an embedding; of each width
 WIDTHS = (1, 2, 3)
-EPOCHS, BATCH, RATE, DECAY = 24, 32, 0.1, 1e-5
+EPOCHS, STEPS = 24, 2500    # at least
+BATCH, RATE, DECAY = 32, 0.1, 1e-5
 DROPPED = 0.5               # share of a text's tokens left out of a training step
 LEAK = np.float32(0.1)      # slope of a response below 0
 CALIBRATED = 4              # every so-manieth sampled text is kept for the thresholds
@@ -130,6 +131,7 @@ class Model:
     out: np.ndarray                  # weights of the pooled responses; the last is the bias
     cut: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES) + 1))   # threshold by language; last: any other
     slope: float = 1.0
+    parts: list | None = None        # responses to each word and stem alone, by width and offset
 
     @classmethod
     def random(cls, words: np.ndarray, stems: np.ndarray, seed: int = 0) -> Model:
@@ -157,13 +159,14 @@ class Model:
         for t, a in zip(texts, starts):
             laid[a:a + len(t)] = t
         words, stems = laid & _WORD, laid >> WORD_BITS & _STEM
-        x = self.word[words] + self.stem[stems]
+        x = None if self.parts else self.word[words] + self.stem[stems]
         n = len(laid) - gap
         best, where = [], []
-        for f in self.filters:
-            r = x[:n] @ f[0]
-            for k in range(1, len(f)):
-                r += x[k:n + k] @ f[k]
+        for i, f in enumerate(self.filters):
+            if self.parts:                               # sums of looked-up parts: alike in any batch
+                r = sum(w[words[k:n + k]] + s[stems[k:n + k]] for k, (w, s) in enumerate(self.parts[i]))
+            else:
+                r = sum(x[k:n + k] @ f[k] for k in range(len(f)))
             last = starts[1:] - gap                      # blank windows between texts count for none
             for g in range(gap):
                 r[last + g] = -np.inf
@@ -177,8 +180,9 @@ class Model:
         return (pooled, np.concatenate(where, axis=1), words, stems) if places else pooled
 
     def logits(self, texts: list[np.ndarray], group: int = 256) -> np.ndarray:
-        return np.concatenate([self.pool(texts[i:i + group]) @ self.out[:-1] + self.out[-1]
-                               for i in range(0, len(texts), group)] or [np.zeros(0)]).astype(np.float64)
+        self.parts = self.parts or [[(self.word @ f[k], self.stem @ f[k]) for k in range(len(f))] for f in self.filters]
+        out = [(self.pool(texts[i:i + group]) * self.out[:-1]).sum(axis=1) for i in range(0, len(texts), group)]
+        return np.concatenate(out or [np.zeros(0)]).astype(np.float64) + float(self.out[-1])
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         cut = self.cut[[language(t) for t in texts]] if texts else np.zeros(0)
@@ -198,7 +202,7 @@ def train(texts: list[np.ndarray], label: np.ndarray, seed: int = 0) -> Model:
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     params = [model.word, model.stem, *model.filters, model.bias, model.out]
     past = [np.full_like(p, 1e-3) for p in params]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(texts))):
         order = r.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             part = order[i:i + BATCH]
