@@ -42,7 +42,7 @@ STEM = 4
 MIN_TEXTS = 3               # sampled texts that must hold a word or stem for it to have a vector
 DIM, FILTERS = 16, 12       # of an embedding; of each width
 WIDTHS = (1, 2, 3)
-EPOCHS, STEPS = 24, 2500    # at least
+EPOCHS, STEPS = 24, 1500    # at least
 BATCH, RATE, DECAY = 32, 0.1, 1e-5
 DROPPED = 0.5               # share of a text's tokens left out of a training step
 LEAK = np.float32(0.1)      # slope of a response below 0
@@ -77,26 +77,22 @@ def token_number(token: str) -> int:
     return word | stem << WORD_BITS | _BIT.get(plain, 0) << WORD_BITS + STEM_BITS
 
 
-class Tokens:
+class Tokens(dict):
     """Token numbers of texts; keeps those of the tokens met, up to a bound. ``renumber``
     turns a number of hashes into one of a model's rows."""
 
     def __init__(self, renumber=None):
-        self.known: dict[str, int] = {}
-        self.renumber = renumber
+        super().__init__()
+        self.renumber = renumber or (lambda n: n)
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = self.renumber(token_number(token))
+        return n
 
     def of(self, text: str | None) -> np.ndarray:
-        known, tokens = self.known, (text or "").split()
-        if len(known) > KEPT_TOKENS:
-            known.clear()
-        get, out = known.get, []
-        for t in tokens:
-            n = get(t)
-            if n is None:
-                n = token_number(t)
-                n = known[t] = self.renumber(n) if self.renumber else n
-            out.append(n)
-        return np.array(out or [0], np.int64)
+        if len(self) > KEPT_TOKENS:
+            self.clear()
+        return np.array(list(map(self.__getitem__, (text or "").split())) or [0], np.int64)
 
 
 def language(numbers: np.ndarray) -> int:
@@ -142,12 +138,17 @@ class Model:
         return cls(words, stems, word, stem, [f(w, DIM, FILTERS, by=0.3 / np.sqrt(w)) for w in WIDTHS],
                    np.zeros(FILTERS * len(WIDTHS), np.float32), np.abs(f(FILTERS * len(WIDTHS) + 1, by=0.1)))
 
-    def renumber(self, numbers):
-        """Hashes -> rows, in the same packing; for arrays or one number."""
-        n = np.asarray(numbers, np.int64)
-        rows = rows_of(self.words, n & _WORD) | rows_of(self.stems, n >> WORD_BITS & _STEM) << WORD_BITS \
-            | n >> WORD_BITS + STEM_BITS << WORD_BITS + STEM_BITS
-        return rows if rows.ndim else int(rows)
+    def renumber(self, numbers: np.ndarray) -> np.ndarray:
+        """Hashes -> rows, in the same packing."""
+        return rows_of(self.words, numbers & _WORD) | rows_of(self.stems, numbers >> WORD_BITS & _STEM) << WORD_BITS \
+            | numbers >> WORD_BITS + STEM_BITS << WORD_BITS + STEM_BITS
+
+    def tokens(self) -> Tokens:
+        """Reads texts into rows of this model."""
+        word = {int(h): i for i, h in enumerate(self.words)}
+        stem = {int(h): i << WORD_BITS for i, h in enumerate(self.stems)}
+        flags = ~(_STEM << WORD_BITS | _WORD)
+        return Tokens(lambda n: word.get(n & _WORD, 0) | stem.get(n >> WORD_BITS & _STEM, 0) | n & flags)
 
     def pool(self, texts: list[np.ndarray], places: bool = False):
         """Largest responses [texts, filters] and, if asked for, where they are and the
@@ -202,7 +203,7 @@ def train(texts: list[np.ndarray], label: np.ndarray, seed: int = 0) -> Model:
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     params = [model.word, model.stem, *model.filters, model.bias, model.out]
     past = [np.full_like(p, 1e-3) for p in params]
-    for _ in range(max(EPOCHS, STEPS * BATCH // len(texts))):
+    for _ in range(max(EPOCHS, STEPS // -(-len(texts) // BATCH))):
         order = r.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             part = order[i:i + BATCH]
@@ -295,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
 
 def _score_setup(content):
     model = Model(*content.value)
-    tokens = Tokens(model.renumber)
+    tokens = model.tokens()
     return lambda texts: [model.scores([tokens.of(t) for t in texts])]
 
 

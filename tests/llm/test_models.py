@@ -151,6 +151,14 @@ def test_grams_are_a_set_of_the_text():
     assert [nbsvm.shape(t) for t in ("Hello,", "NO!!!!!", "a1b22", "ß")] == ["Xx,", "X!!!", "x9x9", "x"]
 
 
+def test_tokens_are_renumbered_as_in_training():
+    model = toxicity_cnn.Model.random(*[np.array([0, *sorted({toxicity_cnn.token_number(t) >> by & mask for t in ("the", "cat")})])
+                                        for by, mask in ((0, toxicity_cnn._WORD), (toxicity_cnn.WORD_BITS, toxicity_cnn._STEM))])
+    text = "The cat, the DOG! catalogue 12"
+    assert (model.tokens().of(text) == model.renumber(toxicity_cnn.Tokens().of(text))).all()
+    assert toxicity_cnn.Tokens().of(None).tolist() == [0]
+
+
 def test_pooling_against_windows_one_by_one():
     r = np.random.default_rng(0)
     words, stems = np.arange(30), np.arange(20)
@@ -169,7 +177,8 @@ def test_pooling_against_windows_one_by_one():
 
 
 @pytest.mark.parametrize("module,label", [(nbsvm, "quality"), (toxicity_cnn, "toxic")])
-def test_classifier_edges(spark, edge, none, module, label):
+def test_classifier_edges(spark, edge, none, monkeypatch, module, label):
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 30)
     marks = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (5, None), (6, 0), (7, 1), (8, 0), (None, 1)], f"doc_id long, {label} int")
     model = module.fit(edge, marks)
     rows = module.score(edge, model).collect()
@@ -218,7 +227,8 @@ def test_pipeline_is_registered_and_runs(spark, small_dir):
     assert corpus_pipeline.run(spark, small_dir).count() > 0
 
 
-def test_stages_take_odd_rows(spark, edge, none, small_dir):
+def test_stages_take_odd_rows(spark, edge, none, small_dir, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 30)
     for rows in (edge, none):
         docs = rows
         for name, stage in corpus_pipeline.STAGES:
