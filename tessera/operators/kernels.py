@@ -19,18 +19,29 @@ from pyspark.sql import functions as F
 from ..functions.exprs import hex_prefix_value
 
 
-def global_index(df: DataFrame, order_key: str, by: Sequence[str] = (), digits: int = 5,
+ROWS_PER_BUCKET = 200_000
+
+
+def index_digits(n: int) -> int:
+    """Leading hex digits that cut ``n`` evenly spread keys into buckets of at most about
+    ROWS_PER_BUCKET rows (at least 16 buckets)."""
+    return max(1, math.ceil(math.log(max(n, 1) / ROWS_PER_BUCKET, 16)))
+
+
+def global_index(df: DataFrame, order_key: str, by: Sequence[str] = (), digits: int | None = None,
                  index_col: str = "idx", total_col: str | None = None,
                  min_total_col: str | None = None) -> DataFrame:
     """1-based rank of each row by the hex string ``order_key`` (md5), within ``by``.
 
-    Buckets are the first ``digits`` hex characters (16**digits buckets per group; the
-    default 16**5 keeps a bucket near 1e6 rows even at 1e12 rows, while the bucket table
-    -- one row per non-empty bucket -- stays bounded by about a million rows per group).
+    Buckets are the first ``digits`` hex characters; by default as many as the row count
+    asks for, so that the bucket table -- the only one a window without partitions sees --
+    has one row for about ROWS_PER_BUCKET rows of data.
     Optional outputs: ``total_col`` = rows in the group, ``min_total_col`` = smallest
     group size over all groups (for balanced sampling).
     """
     by = list(by)
+    if digits is None:
+        digits = index_digits(df.count())
     b = hex_prefix_value(F.col(order_key), digits)
     counts = df.groupBy(*by, b.alias("_bkt")).agg(F.count(F.lit(1)).alias("_n"))
     grp = Window.partitionBy(*by) if by else Window.partitionBy()
@@ -52,61 +63,48 @@ def global_index(df: DataFrame, order_key: str, by: Sequence[str] = (), digits:
     return out.drop("_bkt", "_off", "_tot", "_mintot")
 
 
-ROWS_PER_BUCKET = 200_000
-
-
 def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: Sequence[str],
                      how: str = "sum", buckets: int | None = None, descending: bool = False,
-                     suffix: str = "_cum") -> DataFrame:
+                     suffix: str = "_cum", totals: bool = False) -> DataFrame:
     """Running ``sum``/``max``/``min`` of ``values`` ordered by the numeric ``order_col``
     within ``by`` (inclusive of the current row, ties broken by nothing: give a unique order).
 
     Buckets are approximate-quantile ranges of ``order_col`` (``approxQuantile``: one
     pass, at most ``buckets`` boundaries reach the driver; by default the count sets
-    about 200,000 rows per bucket), assigned with the ML
+    about ROWS_PER_BUCKET rows per bucket, at least two buckets), assigned with the ML
     ``Bucketizer`` (binary search in the JVM). Quantile ranges keep buckets balanced when
     the values crowd into a narrow range, where equal-width ranges would put most rows
     into one bucket (one task). Output: input columns + ``<value><suffix>`` for each value
-    and ``<value>_prev`` (the running value *before* the row; null on a group's first row).
+    and ``<value>_prev``, the running value *before* the row (on a group's first row: 0
+    for a sum, else null); with ``totals`` also ``<value>_total``, the group's value.
     """
     by = list(by)
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    if buckets is None:              # about ROWS_PER_BUCKET rows per bucket, 1..16384
-        buckets = int(min(16384, max(1, math.ceil(df.count() / ROWS_PER_BUCKET))))
+    if buckets is None:
+        buckets = max(2, math.ceil(df.count() / ROWS_PER_BUCKET))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(order_col, probs, 1.0 / (2 * buckets)) if buckets > 1 else []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-    nb = len(splits) - 1
-    if nb == 1:                      # small (or empty) input: one bucket, no boundaries
-        x = df.withColumn("_bkt", F.lit(0))
-    else:
-        x = df.withColumn("_o", F.col(order_col).cast("double"))
-        x = Bucketizer(splits=splits, inputCol="_o", outputCol="_bd", handleInvalid="keep").transform(x)
-        raw = F.col("_bd").cast("int")
-        bkt = (F.lit(nb - 1) - raw) if descending else raw
-        x = x.withColumn("_bkt", bkt).drop("_o", "_bd")
-    if nb == 1:
-        # one bucket: nothing precedes it, so there are no offsets to join (a join on the
-        # constant bucket would be planned as a cross join)
-        y = x
-        for v in values:
-            y = y.withColumn(f"_o_{v}", F.lit(None).cast(x.schema[v].dataType))
-    else:
-        per = x.groupBy(*by, "_bkt").agg(*[agg(v).alias(f"_b_{v}") for v in values])
-        grp = Window.partitionBy(*by) if by else Window.partitionBy()
-        before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        offs = per.select(*by, "_bkt", *[agg(f"_b_{v}").over(before).alias(f"_o_{v}") for v in values])
-        y = x.join(offs, [*by, "_bkt"])
+    cuts = df.approxQuantile(order_col, probs, 1.0 / (2 * buckets)) if probs else []
+    splits = [float("-inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
+    x = df.withColumn("_o", F.col(order_col).cast("double"))
+    x = Bucketizer(splits=splits, inputCol="_o", outputCol="_bd", handleInvalid="keep").transform(x)
+    raw = F.col("_bd").cast("int")
+    x = x.withColumn("_bkt", F.lit(len(splits) - 2) - raw if descending else raw).drop("_o", "_bd")
+    per = x.groupBy(*by, "_bkt").agg(*[agg(v).alias(f"_b_{v}") for v in values])
+    grp = Window.partitionBy(*by) if by else Window.partitionBy()      # over the bucket table
+    before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    cols = [agg(f"_b_{v}").over(before).alias(f"_o_{v}") for v in values]
+    if totals:
+        cols += [agg(f"_b_{v}").over(grp).alias(f"{v}_total") for v in values]
+    y = x.join(per.select(*by, "_bkt", *cols), [*by, "_bkt"])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     inner = Window.partitionBy(*by, "_bkt").orderBy(order)
     run_incl = inner.rowsBetween(Window.unboundedPreceding, 0)
     run_excl = inner.rowsBetween(Window.unboundedPreceding, -1)
     for v in values:
         off = F.col(f"_o_{v}")
-        local_incl = agg(v).over(run_incl)
-        local_excl = agg(v).over(run_excl)
-        y = y.withColumn(f"{v}{suffix}", _combine(how, off, local_incl))
-        y = y.withColumn(f"{v}_prev", _combine(how, off, local_excl))
+        y = y.withColumn(f"{v}{suffix}", _combine(how, off, agg(v).over(run_incl)))
+        prev = F.col(f"{v}{suffix}") - F.coalesce(v, F.lit(0)) if how == "sum" else _combine(how, off, agg(v).over(run_excl))
+        y = y.withColumn(f"{v}_prev", prev)
     return y.drop("_bkt", *[f"_o_{v}" for v in values])
 
 
@@ -129,7 +127,7 @@ def row_index(df: DataFrame, order_col: str, by: Sequence[str] = (), index_col:
 
 
 def rank_threshold(df: DataFrame, order_key: str, k: int | Callable[[int], int], digits: int = 3,
-                   max_boundary_rows: int = 1_000_000,
+                   max_boundary_rows: int = 10_000,
                    first_digits: int = 3) -> tuple[str | None, int]:
     """The k-th smallest value of the hex string ``order_key`` (1-based), exactly, and n.
 
@@ -137,8 +135,8 @@ def rank_threshold(df: DataFrame, order_key: str, k: int | Callable[[int], int],
     rows reach the driver per pass), walks the cumulative counts to the bucket holding
     rank k, and repeats inside that bucket with ``digits`` more hex characters until it
     holds at most ``max_boundary_rows`` rows; the exact value is then taken from that
-    bucket alone. That is two passes over the input up to ~4e9 rows (4096 buckets of at
-    most 1e6), three up to ~1.6e13.
+    bucket alone. That is two passes over the input up to ~4e7 rows (4096 buckets of at
+    most 1e4), three up to ~1.6e11.
     ``k`` may be a function of the row count n (known after the first pass). Returns
     (None, n) when k <= 0 and (largest key + '~', n) when k >= n. Each pass is a
     filtered scan plus a tiny aggregate; no row is shuffled, no window spans the data.

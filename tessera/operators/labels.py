@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import exact_flag, member_flag, one_hot as one_hot_expr
+from ..session import broadcast_small
 from ..sources.tables import LABEL_NAMES, NEGATIVE
 
 FLAG_COLUMNS = tuple(f"flag_{t}" for t in LABEL_NAMES)
@@ -56,7 +57,8 @@ def label_encode(df: DataFrame, codes: DataFrame, label_col: str = "tags",
     if handle_invalid not in ("error", "keep"):
         raise ValueError("handle_invalid must be 'error' or 'keep'")
     c = codes.select(F.col("label").alias("_lbl"), F.col("code").alias("_code"))
-    j = df.join(c, F.col(label_col) == F.col("_lbl"), "left")
+    # the codes are few: broadcast, so that a label held by most rows isn't one task's
+    j = df.join(broadcast_small(c), F.col(label_col) == F.col("_lbl"), "left")
     if handle_invalid == "error":
         val = F.when(F.col("_code").isNull(),
                      F.raise_error(F.concat(F.lit("unseen label: "), F.col(label_col)))
@@ -79,7 +81,7 @@ VALID_SINGLE = ("flag_Q", "flag_T", "flag_X", "activated_any", "negative", "mult
 def single_target(df: DataFrame, label: str) -> DataFrame:
     """``target`` and ``label`` for one named label column; unknown names raise now."""
     if label not in VALID_SINGLE:
-        raise ValueError(f"Invalid label type. Expected one of {list(VALID_SINGLE)}")
+        raise ValueError(f"no label column {label!r}; known: {', '.join(VALID_SINGLE)}")
     if label == "multilabel":
         return target_vector(df).withColumn("label", F.lit(label))
     return df.withColumn("target", F.col(label)).withColumn("label", F.lit(label))

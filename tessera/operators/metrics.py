@@ -86,21 +86,26 @@ def roc_curve(long: DataFrame, by: Sequence[str] = ("label",), score: str = "pro
     """ROC points per group: one row per distinct score (descending) with cumulative
     fpr/tpr, plus the previous point (for the trapezoid). Ties share one point.
 
-    The per-score table feeds four consumers (totals, quantiles, bucket sums, the final
-    pass), so it is written once to the shared checkpoint folder and read back."""
+    The per-score table feeds several consumers (count, quantiles, bucket sums, the final
+    pass), so it is written once to the shared checkpoint folder and read back. The group
+    totals come with the bucket offsets; no row is joined on its label."""
     by = list(by)
     per_score = materialize(long.groupBy(*by, score).agg(
         F.sum(F.col(target)).cast("long").alias("pos"),
         F.sum(F.lit(1) - F.col(target)).cast("long").alias("neg")), "roc-per-score")
-    tot = per_score.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = prefix_aggregate(per_score, by, score, ["pos", "neg"], "sum", buckets, descending=True)
-    x = cum.join(tot, by)
-    tpr = safe_ratio(F.col("pos_cum"), F.col("P"))
-    fpr = safe_ratio(F.col("neg_cum"), F.col("N"))
-    tpr0 = safe_ratio(F.coalesce(F.col("pos_prev"), F.lit(0)), F.col("P"))
-    fpr0 = safe_ratio(F.coalesce(F.col("neg_prev"), F.lit(0)), F.col("N"))
-    return x.select(*by, F.col(score).alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"),
-                    fpr0.alias("fpr_prev"), tpr0.alias("tpr_prev"))
+    x = prefix_aggregate(per_score, by, score, ["pos", "neg"], "sum", buckets, descending=True, totals=True)
+    P, N = F.col("pos_total"), F.col("neg_total")
+    return x.select(*by, F.col(score).alias("threshold"), safe_ratio(F.col("neg_cum"), N).alias("fpr"),
+                    safe_ratio(F.col("pos_cum"), P).alias("tpr"), safe_ratio(F.col("neg_prev"), N).alias("fpr_prev"),
+                    safe_ratio(F.col("pos_prev"), P).alias("tpr_prev"))
+
+
+def with_origin(points: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
+    """ROC points (*by, threshold, fpr, tpr) with the start point (0, 0) of every group, at
+    a threshold above all scores."""
+    start = points.select(*by).distinct().select(
+        *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.select(*by, "threshold", "fpr", "tpr").unionByName(start)
 
 
 def roc_auc(long: DataFrame, by: Sequence[str] = ("label",), score: str = "prob",

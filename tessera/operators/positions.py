@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chars, relative_position
+from ..session import broadcast_small, materialize
 
 CHAINS = (("a", "chain_a"), ("b", "chain_b"))
 
@@ -50,11 +51,11 @@ def hist_fixed(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20
     are computed on the value-count table.
     """
     by = list(by)
-    vc = value_counts(df, value, by)
+    vc = materialize(value_counts(df, value, by), "value-counts")      # bounds and bins both read it
     stats = vc.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
                                 F.sum("_w").alias("_tot"))
     if by:
-        x = vc.join(stats, by)
+        x = vc.join(broadcast_small(stats), by)
         lo, hi = F.col("_lo"), F.col("_hi")
     else:                                  # two scalars, fetched as literals
         r = stats.first()

@@ -18,6 +18,7 @@ BATCH_SIZES = (8, 16, 24, 32)                 # integer range 8..32, step 8
 DROPOUTS = (0.1, 0.2, 0.3, 0.4, 0.5)          # range 0.1..0.5, step 0.1
 LEARNING_RATE_STEP = 1e-5                     # range 1e-5..1e-3, step 1e-5
 LEARNING_RATE_STEPS = 100
+WEIGHT_DECAYS = (0.0, 0.001, 0.01, 0.1)
 TRIAL_SEED = 1964
 
 
@@ -97,11 +98,20 @@ def trial_table(runs: DataFrame, run_col: str = "run") -> DataFrame:
                       (F.floor(uniform("batch_size", k) * len(BATCH_SIZES)) + 1).cast("int"))
     do = F.element_at(F.array(*[F.lit(v) for v in DROPOUTS]),
                       (F.floor(uniform("dropout", k) * len(DROPOUTS)) + 1).cast("int"))
+    wd = F.element_at(F.array(*[F.lit(v) for v in WEIGHT_DECAYS]),
+                      (F.floor(uniform("weight_decay", k) * len(WEIGHT_DECAYS)) + 1).cast("int"))
     lr = (F.floor(uniform("learning_rate", k) * LEARNING_RATE_STEPS) + 1) * F.lit(LEARNING_RATE_STEP)
     return r.select(run_col, bs.alias("batch_size"), F.round(lr, 8).alias("learning_rate"),
-                    do.alias("dropout"))
+                    do.alias("dropout"), wd.alias("weight_decay"))
 
 
+def summary(log: DataFrame, by: Sequence[str] = ("run", "tag"), value: str = "value") -> DataFrame:
+    """(run, tag, n, max_value, mean_value): aggregates of each tag by itself."""
+    return log.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max_value"),
+                                F.round(F.avg(value), 6).alias("mean_value"))
+
+
+# The tags of the reference's scalar log are those of ``metrics_long``.
 def metrics_long(wide: DataFrame, labels: Sequence[str], split_col: str = "split",
                  step_col: str | None = None) -> DataFrame:
     """Wide metrics row -> (split, tag, step, value) scalar-log rows with the logger's tags."""

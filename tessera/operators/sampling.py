@@ -34,15 +34,6 @@ def apply_split(df: DataFrame, boundary: str | None, key: str = "h", split_col:
     return df.withColumn(split_col, F.when(cond, F.lit("train")).otherwise(F.lit("test")))
 
 
-def split_exact_ranked(df: DataFrame, train_fraction: float = 0.7, key: str = "h",
-                       split_col: str = "split") -> DataFrame:
-    """The same split through the K1 rank (one pass, but shuffles every row)."""
-    x = global_index(df, key, index_col="_i", total_col="_n")
-    n_train = F.ceil(F.lit(float(train_fraction)) * F.col("_n").cast("double"))
-    return x.withColumn(split_col, F.when(F.col("_i") <= n_train, F.lit("train"))
-                        .otherwise(F.lit("test"))).drop("_i", "_n")
-
-
 def balanced_sample(df: DataFrame, label_col: str, key: str = "h") -> DataFrame:
     """m = smallest class size; keep the first m rows of every class in seeded order."""
     x = global_index(df, key, by=[label_col], index_col="_i", min_total_col="_m")

@@ -18,9 +18,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import SPECIAL_TOKENS, chars, clamped_log, sigmoid
 from ..sources.tables import LABEL_NAMES
@@ -39,15 +41,26 @@ class LogOddsModel:
     def weight_map(self, chain: str, label: str) -> Column:
         return map_literal(self.weights[chain][label], "double")
 
-    def chain_sum(self, s: Column, chain: str, label: str) -> Column:
-        """Sum of the token weights of a string (unknown tokens weigh 0)."""
-        m = self.weight_map(chain, label)
-        return F.aggregate(chars(F.lower(s)), F.lit(0.0),
-                           lambda acc, t: acc + F.coalesce(F.try_element_at(m, t), F.lit(0.0)))
+    def symbol_numbers(self, a: Column, b: Column) -> Column:
+        """Places of both chains' symbols in one weight list: 1..V in chain a, V + 2 and on
+        in chain b; 0 and V + 1 are unknown symbols. Found once for all labels."""
+        alphabet, step = F.lit("".join(self.symbols)), len(self.symbols) + 1
+        place = lambda s, add: F.transform(chars(F.lower(s)), lambda t: F.position(t, alphabet) + add)
+        return F.concat(place(a, 0), place(b, step))
+
+    def logit_of(self, numbers: Column, label: str) -> Column:
+        """Prior plus the weights at ``numbers``: a list read by index, no look-up by symbol."""
+        w = [F.lit(float(x)) for ch, _ in CHAINS
+             for x in (0.0, *(self.weights[ch][label].get(t, 0.0) for t in self.symbols))]
+        return F.aggregate(numbers, F.lit(float(self.prior[label])), lambda acc, i: acc + F.element_at(F.array(*w), i + 1))
 
     def logit(self, a: Column, b: Column, label: str) -> Column:
-        return (F.lit(self.prior[label]) + self.chain_sum(a, "a", label)
-                + self.chain_sum(b, "b", label))
+        return self.logit_of(self.symbol_numbers(a, b), label)
+
+    def with_logits(self, df: DataFrame, names: Sequence[str], a: str = "chain_a", b: str = "chain_b") -> DataFrame:
+        """``df`` with one logit column per label."""
+        x = df.withColumn("_numbers", self.symbol_numbers(F.col(a), F.col(b)))
+        return x.select("*", *[self.logit_of(F.col("_numbers"), lb).alias(n) for lb, n in zip(self.labels, names)]).drop("_numbers")
 
 
 def weight_table(train: DataFrame, symbols: Sequence[str],
@@ -86,29 +99,22 @@ def weight_table(train: DataFrame, symbols: Sequence[str],
     return weights, priors
 
 
-def fit_log_odds(train: DataFrame, symbols: Sequence[str],
-                 labels: Sequence[str] = LABEL_NAMES) -> LogOddsModel:
-    weights, priors = weight_table(train, symbols, labels)
-    w: dict[str, dict[str, dict[str, float]]] = {c: {lb: {} for lb in labels} for c, _ in CHAINS}
-    for r in weights.collect():             # chains x labels x |vocabulary| rows
-        w[r["chain"]][r["label"]][r["token"]] = float(r["weight"])
-    pr = {r["label"]: float(r["prior"]) for r in priors.collect()}
-    return LogOddsModel(tuple(labels), w, pr, tuple(symbols))
-
-
 def fit_vocab_and_model(train: DataFrame, labels: Sequence[str] = LABEL_NAMES,
                         specials: Sequence[str] = SPECIAL_TOKENS,
                         vocab_size: int | None = None) -> tuple[dict[str, int], LogOddsModel]:
-    """Word-level vocabulary and log-odds weights from ONE aggregate over the train
-    tokens, grouped by (chain, token) -- chains x alphabet rows reach the driver -- plus
-    one row of label counts. Same numbers as ``fit_wl_vocab`` + ``fit_log_odds``."""
+    """Word-level vocabulary (of all train rows) and log-odds weights (of those with
+    labels) from ONE aggregate over the train tokens, grouped by (chain, token) -- chains
+    x alphabet rows reach the driver -- plus one row of label counts. Same numbers as
+    ``fit_wl_vocab`` and ``weight_table``."""
     import math
 
     flags = [FLAG_OF_LABEL[lb] for lb in labels]
     tok = tokens_long(train, extra=flags)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(f)).alias(f"p_{lb}") for lb, f in zip(labels, flags)]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for lb, f in zip(labels, flags):                      # null flags (no labels) count for neither
+        aggs += [F.coalesce(F.sum(f), F.lit(0)).alias(f"p_{lb}"), F.coalesce(F.sum(1 - F.col(f)), F.lit(0)).alias(f"n_{lb}")]
     stats = tok.groupBy("chain", "token").agg(*aggs).collect()
-    pri = train.agg(F.count(F.lit(1)).alias("n"),
+    pri = train.agg(F.count(flags[0]).alias("n"),
                     *[F.sum(F.col(f)).alias(f"p_{lb}") for lb, f in zip(labels, flags)]).first()
     totals: dict[str, int] = {}
     for r in stats:
@@ -127,7 +133,7 @@ def fit_vocab_and_model(train: DataFrame, labels: Sequence[str] = LABEL_NAMES,
         weights[ch] = {}
         for lb in labels:
             pos = {t: (by[(ch, t)][f"p_{lb}"] if (ch, t) in by else 0) for t in symbols}
-            neg = {t: ((by[(ch, t)]["n"] - by[(ch, t)][f"p_{lb}"]) if (ch, t) in by else 0) for t in symbols}
+            neg = {t: (by[(ch, t)][f"n_{lb}"] if (ch, t) in by else 0) for t in symbols}
             NP, NN = float(sum(pos.values())), float(sum(neg.values()))
             weights[ch][lb] = {t: math.log((pos[t] + 1.0) / (NP + V)) - math.log((neg[t] + 1.0) / (NN + V))
                                for t in symbols}
@@ -141,54 +147,84 @@ def fit_vocab_and_model(train: DataFrame, labels: Sequence[str] = LABEL_NAMES,
 def score_log_odds(df: DataFrame, model: LogOddsModel, a: str = "chain_a", b: str = "chain_b",
                    out: str = "prob", logit_out: str | None = None) -> DataFrame:
     """Adds ``prob`` = ARRAY<DOUBLE> of per-label probabilities (label order of the model)."""
-    logits = [model.logit(F.col(a), F.col(b), lb) for lb in model.labels]
-    x = df.withColumn("_z", F.array(*logits))
+    names = [f"_z_{lb}" for lb in model.labels]
+    x = model.with_logits(df, names, a, b).withColumn("_z", F.array(*names)).drop(*names)
     x = x.withColumn(out, F.transform("_z", lambda z: sigmoid(z)))
     if logit_out:
         x = x.withColumnRenamed("_z", logit_out)
     return x.drop("_z")
 
 
-def score_with_model(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], Sequence]],
-                     labels: Sequence[str] = LABEL_NAMES, cols: Sequence[str] = ("chain_a", "chain_b"),
-                     key: str = "seq_id") -> DataFrame:
+def score_with_model(df: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
+                     cols: Sequence[str] = ("chain_a", "chain_b"), keep: Sequence[str] = ("seq_id",)) -> DataFrame:
     """Batch scoring with any Python model: ``make_model()`` is called once per task and
-    returns ``f(pdf[cols]) -> (n, L)`` probabilities. Arrow batches via mapInPandas."""
-    schema = f"{key} long, prob array<double>"
+    returns ``f(pdf[cols]) -> (n, L)`` probabilities. Arrow batches via mapInPandas; the
+    ``keep`` columns pass through, so nothing is joined back."""
+    kept = [df.schema[c] for c in keep]
+    schema = T.StructType([*kept, T.StructField("prob", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for pdf in batches:
-            probs = model(pdf[list(cols)])
-            yield pd.DataFrame({key: pdf[key].astype("int64"),
-                                "prob": [list(map(float, p)) for p in probs]})
+            out = pdf[list(keep)].copy()
+            out["prob"] = list(np.asarray(model(pdf[list(cols)]), float))
+            yield out
 
-    return df.select(key, *cols).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*keep, *cols])).mapInPandas(run, schema)
 
 
-def python_log_odds(model: LogOddsModel) -> Callable[[], Callable[[pd.DataFrame], list]]:
-    """The log-odds model as a plain Python callable (a stand-in for any user model)."""
-    import math
-
-    weights, prior, labels = model.weights, model.prior, model.labels
+def numpy_log_odds(model: LogOddsModel) -> Callable[[], Callable[[pd.DataFrame], np.ndarray]]:
+    """The log-odds model over whole batches (a stand-in for any user model): symbols of a
+    batch are one array, their weights one look-up, and each row a sum over its stretch."""
+    V = len(model.symbols)
+    table = np.array([[0.0, *(model.weights[ch][lb].get(t, 0.0) for t in model.symbols)]
+                      for ch, _ in CHAINS for lb in model.labels]).reshape(len(CHAINS), len(model.labels), V + 1)
+    prior, points = [model.prior[lb] for lb in model.labels], [ord(t) for t in model.symbols]
 
     def make():
-        def f(pdf: pd.DataFrame):
-            out = []
-            for a, b in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
-                row = []
-                for lb in labels:
-                    z = prior[lb]
-                    z += sum(weights["a"][lb].get(t, 0.0) for t in a.lower())
-                    z += sum(weights["b"][lb].get(t, 0.0) for t in b.lower())
-                    row.append(1.0 / (1.0 + math.exp(-z)))
-                out.append(row)
-            return out
+        order = np.argsort(points)
+        known = np.array(points)[order]
+
+        def f(pdf: pd.DataFrame) -> np.ndarray:
+            z = np.tile(np.array(prior, float), (len(pdf), 1))
+            for k in range(len(CHAINS)):
+                text = pdf.iloc[:, k].str.lower()
+                size = text.str.len().to_numpy()
+                code = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
+                at = np.minimum(np.searchsorted(known, code), V - 1)
+                number = np.where(known[at] == code, order[at] + 1, 0)
+                row = np.repeat(np.arange(len(pdf)), size)
+                for j in range(z.shape[1]):
+                    z[:, j] += np.bincount(row, table[k, j, number], minlength=len(pdf))
+            return 1.0 / (1.0 + np.exp(-z))
         return f
 
     return make
 
 
+def write_model(spark: SparkSession, model: LogOddsModel, path: str) -> None:
+    """The whole scorer as parquet: weights by chain, label and symbol, and the priors;
+    ``at`` and ``place`` keep the order of labels and symbols."""
+    place = {t: i for i, t in enumerate(model.symbols)}
+    rows = [(c, lb, t, place[t], w) for c, per in model.weights.items() for lb, tw in per.items() for t, w in tw.items()]
+    spark.createDataFrame(rows, "chain string, label string, token string, place int, weight double") \
+        .write.mode("overwrite").parquet(f"{path}/weights")
+    priors = [(i, lb, model.prior[lb]) for i, lb in enumerate(model.labels)]
+    spark.createDataFrame(priors, "at int, label string, prior double").write.mode("overwrite").parquet(f"{path}/priors")
+
+
+def read_model(spark: SparkSession, path: str) -> LogOddsModel:
+    """A scorer from its files alone (chains x labels x symbols rows)."""
+    weights: dict = {}
+    place: dict[str, int] = {}
+    for r in spark.read.parquet(f"{path}/weights").collect():
+        weights.setdefault(r["chain"], {}).setdefault(r["label"], {})[r["token"]] = r["weight"]
+        place[r["token"]] = r["place"]
+    priors = sorted(spark.read.parquet(f"{path}/priors").collect(), key=lambda r: r["at"])
+    return LogOddsModel(tuple(r["label"] for r in priors), weights, {r["label"]: r["prior"] for r in priors},
+                        tuple(sorted(place, key=place.get)))
+
+
 def spark_symbols(spark: SparkSession, vocab: dict[str, int]) -> list[str]:
     """Vocabulary entries that are symbols (no '['), in id order."""
     return [t for t, _ in sorted(vocab.items(), key=lambda kv: kv[1]) if "[" not in t]

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SPECIAL_TOKENS, attention_mask, chars, pad, spaced
+from ..session import broadcast_small
 
 CHAINS = (("a", "chain_a"), ("b", "chain_b"))
-MAX_INLINE_VOCAB = 100_000   # beyond this the map literal is refused; use the join form
+MAX_INLINE_VOCAB = 10_000    # beyond this a vocabulary is joined instead of written into the plan
 
 
 def corpus_lines(df: DataFrame, spaced_chars: bool = False) -> DataFrame:
@@ -56,12 +57,26 @@ def fit_wl_vocab(spark: SparkSession, counts: DataFrame, vocab_size: int | None
     return sp.unionByName(learned)
 
 
-def vocab_dict(vocab: DataFrame, max_entries: int = MAX_INLINE_VOCAB) -> dict[str, int]:
-    """Fetch a bounded vocabulary to the driver (refuses oversized tables)."""
-    rows = vocab.limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError("vocabulary too large to inline; use encode_join")
-    return {r["token"]: int(r["id"]) for r in rows}
+def vocab_dict(vocab: DataFrame) -> dict[str, int]:
+    """A vocabulary (bounded by ``vocab_size`` or the alphabet) as a dictionary."""
+    return {r["token"]: int(r["id"]) for r in vocab.collect()}
+
+
+def encode_ids(df: DataFrame, vocab: DataFrame, max_inline: int = MAX_INLINE_VOCAB) -> DataFrame:
+    """``df`` with the ids of both chains, ids_a and ids_b, for a vocabulary of any size: a
+    small one is written into the plan (row-local), a large one joined token by token and
+    gathered again per row. Unknown tokens raise."""
+    if vocab.limit(max_inline + 1).count() <= max_inline:
+        v = vocab_dict(vocab)
+        return df.select("*", *[encode_wl(col, v).alias(f"ids_{ch}") for ch, col in CHAINS])
+    rows = tokens_long(df).join(vocab, "token", "left")
+    known = F.when(F.col("id").isNull(), F.raise_error(F.lit("token not in vocabulary"))).otherwise(F.col("id"))
+    per = rows.select("seq_id", "chain", "pos", known.alias("id")).groupBy("seq_id").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("chain") == ch, F.struct("pos", "id")))), lambda z: z["id"])
+        .alias(f"ids_{ch}") for ch, _ in CHAINS])
+    none = F.array().cast("array<int>")
+    out = df.join(per, "seq_id", "left")
+    return out.select(*df.columns, *[F.coalesce(f"ids_{ch}", none).alias(f"ids_{ch}") for ch, _ in CHAINS])
 
 
 def map_literal(d: dict, value_type: str = "int") -> Column:
@@ -100,8 +115,13 @@ def decode_ids(ids: Column | str, vocab: dict[str, int]) -> Column:
 
 
 def encode_join(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Long-form encode: one row per token joined to the (bounded, broadcast) vocabulary."""
-    return tokens_long(df).join(F.broadcast(vocab), "token", "left")
+    """Long-form encode: one row per token joined to the vocabulary (broadcast if small)."""
+    return tokens_long(df).join(broadcast_small(vocab), "token", "left")
+
+
+def decode_join(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Long-form decode: rows with an ``id`` joined to the vocabulary's ``token``."""
+    return ids.join(broadcast_small(vocab), "id", "left")
 
 
 def max_len(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -118,7 +138,7 @@ def encode_padded(df: DataFrame, vocab: dict[str, int], by: Sequence[str] = ("sp
     group (train and test pad to their own length, as the reference does)."""
     lens = max_len(df, by).select(*by, "max_len")
     if by:
-        x = df.join(lens, list(by))            # one row per group
+        x = df.join(broadcast_small(lens), list(by))      # one row per group
     else:                                      # a scalar: inline it
         x = df.withColumn("max_len", F.lit(lens.first()["max_len"]))
     out = x
@@ -127,3 +147,12 @@ def encode_padded(df: DataFrame, vocab: dict[str, int], by: Sequence[str] = ("sp
         out = out.withColumn(f"ids_{ch}", pad(ids, F.col("max_len"), pad_id)) \
                  .withColumn(f"mask_{ch}", attention_mask(F.size(ids), F.col("max_len")))
     return out
+
+
+def encode_combined(df: DataFrame, vocab: dict[str, int], truncate: int | None = None, pad_id: int = 0) -> DataFrame:
+    """``df`` with the ids of both chains as one string, padded to the longest row; cut to
+    ``truncate`` symbols only if that is given."""
+    longest = df.agg(F.max(F.length("chain_a") + F.length("chain_b"))).first()[0] or 0
+    length = longest if truncate is None else min(truncate, longest)
+    ids = encode_wl(F.concat("chain_a", "chain_b"), vocab)
+    return df.withColumn("ids", pad(ids if truncate is None else F.slice(ids, 1, truncate), length, pad_id))

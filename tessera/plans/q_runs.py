@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import runs as R
 from ..session import scratch_path
+from ..sources import files as FS
 from ..sources import tables as T
 from ..sources.tables import LABEL_NAMES
 from .q_scoring import EPOCH_SQL, model_scores
@@ -16,11 +17,13 @@ add_view("trials", ("runs",), """
   SELECT run,
          [8, 16, 24, 32][CAST(floor(u_bs * 4) AS INT) + 1] AS batch_size,
          round((floor(u_lr * 100) + 1) * 1e-5::DOUBLE, 8) AS learning_rate,
-         [0.1E0, 0.2E0, 0.3E0, 0.4E0, 0.5E0][CAST(floor(u_do * 5) AS INT) + 1] AS dropout
+         [0.1E0, 0.2E0, 0.3E0, 0.4E0, 0.5E0][CAST(floor(u_do * 5) AS INT) + 1] AS dropout,
+         [0.0E0, 0.001E0, 0.01E0, 0.1E0][CAST(floor(u_wd * 4) AS INT) + 1] AS weight_decay
   FROM (SELECT run,
                CAST(CAST('0x' || substr(md5(concat('1964-batch_size-', run)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0E0 AS u_bs,
                CAST(CAST('0x' || substr(md5(concat('1964-learning_rate-', run)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0E0 AS u_lr,
-               CAST(CAST('0x' || substr(md5(concat('1964-dropout-', run)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0E0 AS u_do
+               CAST(CAST('0x' || substr(md5(concat('1964-dropout-', run)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0E0 AS u_do,
+               CAST(CAST('0x' || substr(md5(concat('1964-weight_decay-', run)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0E0 AS u_wd
         FROM (SELECT DISTINCT run FROM runs) d) u""")
 
 
@@ -80,14 +83,15 @@ def trial_table(spark, sf):
 
 
 @query("run_summary", with_views("""
-SELECT s.run, s.n, s.max_value, s.mean_value, t.batch_size, t.learning_rate, t.dropout
-FROM (SELECT run, count(*) AS n, max(value) AS max_value, round(avg(value), 6) AS mean_value
-      FROM runs GROUP BY run) s JOIN trials t ON s.run = t.run""", "runs", "trials"))
+SELECT s.run, s.tag, s.n, s.max_value, s.mean_value, t.batch_size, t.learning_rate, t.dropout, t.weight_decay
+FROM (SELECT run, tag, count(*) AS n, max(value) AS max_value, round(avg(value), 6) AS mean_value
+      FROM runs GROUP BY run, tag) s JOIN trials t ON s.run = t.run""", "runs", "trials"))
 def run_summary(spark, sf):
+    """Parameters of every run with the aggregates of each of its tags, written and read back."""
     r = runs(spark, sf)
-    s = r.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"),
-                             F.round(F.avg("value"), 6).alias("mean_value"))
-    return s.join(R.trial_table(r), "run")
+    path = scratch_path(spark, "run-summary")
+    R.summary(r).join(R.trial_table(r), "run").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("leaderboard", with_views("""
@@ -105,15 +109,24 @@ _LONG_CELLS = [("'Loss/' || split || ':'", "loss"), ("'Accuracy/' || split || ':
 for _lb in LABEL_NAMES:
     _LONG_CELLS += [(f"'Recall/{_lb}_' || split", f"recall_{_lb}"),
                     (f"'Precision/{_lb}_' || split", f"precision_{_lb}")]
-METRICS_LONG_SQL = "WITH em AS (" + EPOCH_SQL.strip() + ")\n" + "\nUNION ALL\n".join(
-    f"SELECT split, {t} AS tag, CAST(0 AS BIGINT) AS step, CAST({c} AS DOUBLE) AS value FROM em"
+EPOCHS = 3       # of the written log: an epoch evaluates every third pair
+_BY_EPOCH = EPOCH_SQL.replace("SELECT split, count(*)", "SELECT split, epoch, count(*)") \
+    .replace("SELECT seq_id, split,", f"SELECT seq_id, split, seq_id % {EPOCHS} AS epoch,") \
+    .replace("GROUP BY split", "GROUP BY split, epoch")
+METRICS_LONG_SQL = "WITH em AS (" + _BY_EPOCH.strip() + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT split, {t} AS tag, CAST(epoch AS BIGINT) AS step, CAST({c} AS DOUBLE) AS value FROM em"
     for t, c in _LONG_CELLS)
 
 
 @query("metrics_long", with_views(METRICS_LONG_SQL, "model_scores"))
 def metrics_long(spark, sf):
-    wide = M.metric_bundle(M.predict(model_scores(spark, sf), 0.5), LABEL_NAMES, by=["split"])
-    return R.metrics_long(wide, LABEL_NAMES)
+    """Scalar-log rows of each epoch, appended to a log folder epoch by epoch and read back."""
+    path = scratch_path(spark, "metrics-log")
+    scored = M.predict(model_scores(spark, sf), 0.5).withColumn("epoch", F.col("seq_id") % EPOCHS)
+    for e in range(EPOCHS):
+        wide = M.metric_bundle(scored.where(F.col("epoch") == e), LABEL_NAMES, by=["split", "epoch"])
+        FS.append_metrics(R.metrics_long(wide, LABEL_NAMES, step_col="epoch"), path)
+    return spark.read.parquet(path).select("split", "tag", "step", "value")
 
 
 @query("run_logs_scan", with_views("SELECT run, tag, step, value FROM runs", "runs"))
@@ -121,9 +134,7 @@ def run_logs_scan(spark, sf):
     """Write the scalar log as one folder per run (JSON), then load every run of the
     folder tree into one table; the run comes from each file's path."""
     path = scratch_path(spark, "run-logs")
-    # one file per run folder: hash-partition by run before the partitioned write (else
-    # every task writes a file into every run folder it touches)
-    runs(spark, sf).repartition("run").write.mode("overwrite").partitionBy("run").json(path)
+    FS.write_run_logs(runs(spark, sf), path)
     back = spark.read.schema("tag string, step long, value double") \
         .option("recursiveFileLookup", "true").json(path)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"run=(-?\d+)", 1).cast("long")

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dot, round_even, sigmoid, softmax
+from ..functions.exprs import chars, dot, round_even, sigmoid, softmax
 from ..operators import metrics as M
 from ..operators import perturb as X
 from ..operators import sampling as S
 from ..operators import scoring as SC
+from ..operators import tokens as K
+from ..operators.labels import exact_group
+from ..session import broadcast_small
 from ..sources import tables as T
 from ..sources.tables import LABEL_NAMES
-from .q_labels import arr_str, seq, split_seq
+from .q_labels import arr_str, labelled, labelled_split, seq, split_seq
 from .q_tokens import vocab
 from .registry import add_view, query, with_views
 
 # ---------------------------------------------------------------- oracle views
 add_view("symbols", ("vocab",), "SELECT token FROM vocab WHERE NOT contains(token, '[')")
-add_view("train_counts", ("train_tokens",), """
+add_view("train_counts", ("train_tokens", "lab"), """
   SELECT chain, token,
          sum(is_q) AS p_Q, sum(1 - is_q) AS n_Q, sum(is_t) AS p_T, sum(1 - is_t) AS n_T,
          sum(is_x) AS p_X, sum(1 - is_x) AS n_X
-  FROM train_tokens t JOIN seq s USING (seq_id) GROUP BY chain, token""")
+  FROM train_tokens t JOIN lab s USING (seq_id) GROUP BY chain, token""")
 add_view("weights", ("symbols", "train_counts"), """
   WITH g AS (SELECT c.chain, s.token, coalesce(t.p_Q, 0) AS p_Q, coalesce(t.n_Q, 0) AS n_Q,
                     coalesce(t.p_T, 0) AS p_T, coalesce(t.n_T, 0) AS n_T,
@@ -36,13 +39,13 @@ add_view("weights", ("symbols", "train_counts"), """
   SELECT chain, 'Q' AS label, token, ln((p_Q + 1) / (NP_Q + V)) - ln((n_Q + 1) / (NN_Q + V)) AS weight FROM n, v
   UNION ALL SELECT chain, 'T', token, ln((p_T + 1) / (NP_T + V)) - ln((n_T + 1) / (NN_T + V)) FROM n, v
   UNION ALL SELECT chain, 'X', token, ln((p_X + 1) / (NP_X + V)) - ln((n_X + 1) / (NN_X + V)) FROM n, v""")
-add_view("priors", ("split",), """
-  SELECT 'Q' AS label, greatest(ln(sum(is_q) / (count(*) - sum(is_q))), -100) AS prior FROM split WHERE split = 'train'
-  UNION ALL SELECT 'T', greatest(ln(sum(is_t) / (count(*) - sum(is_t))), -100) FROM split WHERE split = 'train'
-  UNION ALL SELECT 'X', greatest(ln(sum(is_x) / (count(*) - sum(is_x))), -100) FROM split WHERE split = 'train'""")
-add_view("logits", ("all_tokens", "weights", "priors"), """
+add_view("priors", ("labsplit",), """
+  SELECT 'Q' AS label, greatest(ln(sum(is_q) / (count(*) - sum(is_q))), -100) AS prior FROM labsplit WHERE split = 'train'
+  UNION ALL SELECT 'T', greatest(ln(sum(is_t) / (count(*) - sum(is_t))), -100) FROM labsplit WHERE split = 'train'
+  UNION ALL SELECT 'X', greatest(ln(sum(is_x) / (count(*) - sum(is_x))), -100) FROM labsplit WHERE split = 'train'""")
+add_view("logits", ("lab", "all_tokens", "weights", "priors"), """
   SELECT s.seq_id, p.label, p.prior + coalesce(sum(w.weight), 0) AS z
-  FROM seq s CROSS JOIN priors p
+  FROM lab s CROSS JOIN priors p
   LEFT JOIN all_tokens t ON t.seq_id = s.seq_id
   LEFT JOIN weights w ON w.chain = t.chain AND w.token = t.token AND w.label = p.label
   GROUP BY s.seq_id, p.label, p.prior""")
@@ -53,27 +56,33 @@ add_view("model_scores", ("logits", "split"), """
 
 
 # ---------------------------------------------------------------- Spark helpers
+_MODELS: dict[str, SC.LogOddsModel] = {}
+
+
 def model(spark, sf) -> SC.LogOddsModel:
-    """Vocabulary + log-odds weights fitted on the train split.
+    """Vocabulary + log-odds weights fitted on the train split; fitted once for a pair table.
 
     One grouped aggregate over the train tokens (chains x alphabet rows) and one row
     of label counts; the weight arithmetic runs on those bounded tables.
     """
-    train = split_seq(spark, sf).where(F.col("split") == "train")
-    return SC.fit_vocab_and_model(train)[1]
+    path = T.sequence_table(spark, sf)
+    if path not in _MODELS:
+        train = split_seq(spark, sf).where(F.col("split") == "train")
+        _MODELS[path] = SC.fit_vocab_and_model(train)[1]
+    return _MODELS[path]
 
 
 def model_scores(spark, sf, m=None):
     """Split rows with prob/target arrays from the fitted log-odds model."""
     m = m or model(spark, sf)
-    sp = split_seq(spark, sf)
+    sp = labelled_split(spark, sf)
     s = SC.score_log_odds(sp, m, logit_out="logit")
     return s.withColumn("target", F.array("is_q", "is_t", "is_x"))
 
 
 def scored_arrays(spark, sf):
-    """Same fixture built row-locally from ``seq`` (no pivot shuffle)."""
-    s = seq(spark, sf)
+    """Same fixture built row-locally from the labelled pairs (no pivot shuffle)."""
+    s = labelled(spark, sf)
     u = {lb: F.conv(F.substring(F.md5(F.concat(F.lit(lb + "-"), F.col("seq_id").cast("string"))), 1, 6),
                     16, 10).cast("double") for lb in LABEL_NAMES}
     flags = {"Q": "is_q", "T": "is_t", "X": "is_x"}
@@ -88,7 +97,7 @@ def scored_arrays(spark, sf):
 SELECT chain, label, token, round(weight, 6) AS weight FROM weights""", "weights"))
 def train_log_odds(spark, sf):
     v = vocab(spark, sf)
-    train = split_seq(spark, sf).where(F.col("split") == "train")
+    train = labelled_split(spark, sf).where(F.col("split") == "train")
     w, _ = SC.weight_table(train, SC.spark_symbols(spark, v))
     return w.select("chain", "label", "token", F.round("weight", 6).alias("weight"))
 
@@ -137,7 +146,7 @@ def round_even_q(spark, sf):
 
 
 @query("comparison_table", with_views("""
-SELECT s.seq_id, s.chain_a AS CDR3a, s.chain_b AS CDR3b, s.tags AS activated_by,
+SELECT s.seq_id, s.chain_a AS first_chain, s.chain_b AS second_chain, s.tags AS true_label,
        round_even(max(CASE WHEN m.label = 'Q' THEN m.prob END), 3) AS PROB_Q,
        round_even(max(CASE WHEN m.label = 'T' THEN m.prob END), 3) AS PROB_T,
        round_even(max(CASE WHEN m.label = 'X' THEN m.prob END), 3) AS PROB_X
@@ -145,16 +154,16 @@ FROM split s JOIN model_scores m ON s.seq_id = m.seq_id
 WHERE s.split = 'test' GROUP BY s.seq_id, s.chain_a, s.chain_b, s.tags""", "model_scores", "split"))
 def comparison_table(spark, sf):
     s = model_scores(spark, sf).where(F.col("split") == "test")
-    return s.select("seq_id", F.col("chain_a").alias("CDR3a"), F.col("chain_b").alias("CDR3b"),
-                    F.col("tags").alias("activated_by"),
+    return s.select("seq_id", F.col("chain_a").alias("first_chain"), F.col("chain_b").alias("second_chain"),
+                    F.col("tags").alias("true_label"),
                     *[F.bround(F.col("prob")[i], 3).alias(f"PROB_{lb}")
                       for i, lb in enumerate(LABEL_NAMES)])
 
 
 @query("peek_predictions", with_views("""
 SELECT seq_id, string_agg(CAST(round_even(prob, 3) AS VARCHAR), ',' ORDER BY label) AS probs
-FROM model_scores WHERE seq_id IN (SELECT seq_id FROM split WHERE split = 'test' ORDER BY seq_id LIMIT 10)
-GROUP BY seq_id""", "model_scores", "split"))
+FROM model_scores WHERE seq_id IN (SELECT seq_id FROM labsplit WHERE split = 'test' ORDER BY seq_id LIMIT 10)
+GROUP BY seq_id""", "model_scores", "labsplit"))
 def peek_predictions(spark, sf):
     # the first batch of 10 items (a limit is the feature here: a peek)
     s = model_scores(spark, sf).where(F.col("split") == "test").orderBy("seq_id").limit(10)
@@ -166,8 +175,7 @@ def peek_predictions(spark, sf):
 SELECT seq_id, split, label, round(prob, 6) AS prob FROM model_scores""", "model_scores"))
 def score_mapinpandas(spark, sf):
     m = model(spark, sf)
-    s = split_seq(spark, sf)
-    out = SC.score_with_model(s, SC.python_log_odds(m)).join(s.select("seq_id", "split"), "seq_id")
+    out = SC.score_with_model(labelled_split(spark, sf), SC.numpy_log_odds(m), keep=["seq_id", "split"])
     return M.to_long(out, LABEL_NAMES, keep=["seq_id", "split"], arrays=["prob"]) \
         .select("seq_id", "split", "label", F.round("prob", 6).alias("prob"))
 
@@ -306,7 +314,7 @@ def correct_count(spark, sf):
 
 _BATCH = """
 WITH b AS (SELECT seq_id, CAST(floor((row_number() OVER (PARTITION BY split ORDER BY h) - 1) / 128) AS BIGINT) AS batch_id
-           FROM split),
+           FROM labsplit),
      r AS (SELECT m.seq_id, m.split, b.batch_id,
                   min(CASE WHEN (prob > 0.5E0) = (target = 1) THEN 1 ELSE 0 END) AS ok,
                   sum(CASE WHEN (prob > 0.5E0) = (target = 1) THEN 1 ELSE 0 END) AS hits,
@@ -328,10 +336,10 @@ _avgs = ", ".join(f"round(avg(recall_{lb}), 6) AS recall_{lb}, round(avg(precisi
 
 
 @query("batch_macro_metrics", with_views(_BATCH.format(cells=_cells, pr=_pr_raw, avgs=_avgs),
-                                         "model_scores", "split"))
+                                         "model_scores", "labsplit"))
 def batch_macro_metrics(spark, sf):
     m = model(spark, sf)
-    sp = S.batch_assign(split_seq(spark, sf), 128, key="h", batch_col="batch_id", by=["split"])
+    sp = S.batch_assign(labelled_split(spark, sf), 128, key="h", batch_col="batch_id", by=["split"])
     s = SC.score_log_odds(sp, m).withColumn("target", F.array("is_q", "is_t", "is_x"))
     return M.batch_macro(M.predict(s, 0.5), LABEL_NAMES, by=["split"])
 
@@ -345,10 +353,11 @@ WITH per AS (SELECT label, prob, sum(target) AS pos, sum(1 - target) AS neg FROM
                   sum(pos) OVER (PARTITION BY label) AS P, sum(neg) OVER (PARTITION BY label) AS N
            FROM per WINDOW w AS (PARTITION BY label ORDER BY prob DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT label, prob AS threshold, round(CASE WHEN N = 0 THEN 0 ELSE cn / N END, 6) AS fpr,
-       round(CASE WHEN P = 0 THEN 0 ELSE cp / P END, 6) AS tpr FROM c""", "scored"))
+       round(CASE WHEN P = 0 THEN 0 ELSE cp / P END, 6) AS tpr FROM c
+UNION ALL SELECT DISTINCT label, CAST('Infinity' AS DOUBLE), 0E0, 0E0 FROM scored""", "scored"))
 def roc_points(spark, sf):
     lg = M.to_long(scored_arrays(spark, sf), LABEL_NAMES)
-    pts = M.roc_curve(lg)
+    pts = M.with_origin(M.roc_curve(lg))
     return pts.select("label", "threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
@@ -392,7 +401,7 @@ def scan_model(spark, sf):
 
 
 add_view("scan_d", ("positions", "weights", "logits", "symbols"), """
-  SELECT p.chain, CASE WHEN p.tags IN ('Q', 'T', 'X') THEN p.tags ELSE 'negative' END AS grp,
+  SELECT p.seq_id, p.chain, CASE WHEN p.tags IN ('Q', 'T', 'X') THEN p.tags ELSE 'negative' END AS grp,
          s.token AS aa, p.position, 'P_' || l.label AS prob,
          1 / (1 + exp(-l.z)) - 1 / (1 + exp(-(l.z + wn.weight - coalesce(wo.weight, 0)))) AS d
   FROM positions p
@@ -408,49 +417,70 @@ FROM scan_d GROUP BY chain, grp, prob, aa, position""", "scan_d")
 
 @query("mean_delta", MEAN_DELTA_SQL)
 def mean_delta(spark, sf):
-    return X.mean_delta(seq(spark, sf), scan_model(spark, sf), method="delta")
+    return X.mean_delta(labelled(spark, sf), scan_model(spark, sf), method="delta")
+
+
+def raw_deltas(spark, sf):
+    """Every single delta of the scan: (seq_id, chain, grp, aa, position, d_Q, d_T, d_X)."""
+    x = labelled(spark, sf).withColumn("grp", exact_group("tags"))
+    return X.substitution_deltas(x, scan_model(spark, sf))
 
 
-@query("substitution_delta", MEAN_DELTA_SQL)
+@query("substitution_delta", with_views("""
+SELECT chain, grp, prob, aa, count(*) AS n, round(sum(d), 4) + 0.0E0 AS total, round(sum(d * d), 4) AS squares,
+       round(min(d), 6) + 0.0E0 AS lowest, round(max(d), 6) + 0.0E0 AS highest
+FROM scan_d GROUP BY chain, grp, prob, aa""", "scan_d"))
 def substitution_delta(spark, sf):
-    # the checked definition: rebuild each modified string and re-score the pair
-    return X.mean_delta(seq(spark, sf), scan_model(spark, sf), method="rebuild")
+    """All raw deltas, as a digest of each (chain, group, label, symbol): there are V - 1 for every symbol of the corpus."""
+    d = raw_deltas(spark, sf)
+    zero = F.lit(0.0)
+    aggs = [a for lb in LABEL_NAMES for a in (
+        F.struct(F.lit(f"P_{lb}").alias("prob"), (F.round(F.sum(f"d_{lb}"), 4) + zero).alias("total"),
+                 F.round(F.sum(F.col(f"d_{lb}") * F.col(f"d_{lb}")), 4).alias("squares"),
+                 (F.round(F.min(f"d_{lb}"), 6) + zero).alias("lowest"),
+                 (F.round(F.max(f"d_{lb}"), 6) + zero).alias("highest")),)]
+    g = d.groupBy("chain", "grp", "aa").agg(F.count(F.lit(1)).alias("n"), F.array(*aggs).alias("z"))
+    return g.select("chain", "grp", "aa", "n", F.explode("z").alias("z")) \
+        .select("chain", "grp", "z.prob", "aa", "n", "z.total", "z.squares", "z.lowest", "z.highest")
 
 
 @query("substitution_expand", with_views("""
 SELECT p.chain, p.aa AS orig, s.token AS aa, count(*) AS n, count(DISTINCT p.seq_id) AS n_seq,
        CAST(sum(CAST('0x' || substr(md5(
-            substr(c.s, 1, CAST(p.idx AS INT)) || upper(s.token) || substr(c.s, CAST(p.idx AS INT) + 2)), 1, 8)
+            substr(c.s, 1, CAST(p.idx AS INT)) || s.token || substr(c.s, CAST(p.idx AS INT) + 2)), 1, 8)
             AS BIGINT)) AS BIGINT) AS checksum
 FROM positions p JOIN chars_long c ON c.seq_id = p.seq_id AND c.chain = p.chain
 JOIN symbols s ON s.token <> p.aa
 GROUP BY p.chain, p.aa, s.token""", "positions", "chars_long", "symbols"))
 def substitution_expand(spark, sf):
-    # whole expansion, summarised per (chain, original, substitute) with a content checksum
+    # whole expansion, summarised per (chain, original, substitute) with a content checksum;
+    # the number of rows that hold a symbol is counted before the expansion
     syms = model(spark, sf).symbols
     s = seq(spark, sf)
     parts = [X.substitution_expand(s, syms, ch) for ch in ("a", "b")]
-    e = parts[0].unionByName(parts[1])
     ck = F.conv(F.substring(F.md5("modified"), 1, 8), 16, 10).cast("long")
-    return e.groupBy("chain", "orig", "aa").agg(F.count(F.lit(1)).alias("n"),
-                                                 F.countDistinct("seq_id").alias("n_seq"),
-                                                 F.sum(ck).alias("checksum"))
+    e = parts[0].unionByName(parts[1]).groupBy("chain", "orig", "aa") \
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(ck).alias("checksum"))
+    held = s.select(F.explode(F.array(*[
+        F.struct(F.lit(ch).alias("chain"), F.array_distinct(chars(F.lower(col))).alias("u")) for ch, col in K.CHAINS])).alias("z")) \
+        .select("z.chain", F.explode("z.u").alias("orig")).groupBy("chain", "orig").agg(F.count(F.lit(1)).alias("n_seq"))
+    return e.join(broadcast_small(held), ["chain", "orig"]).select("chain", "orig", "aa", "n", "n_seq", "checksum")
 
 
-def scan_table(spark, sf, chain="b", grp="X", prob="P_X"):
-    return mean_delta(spark, sf).where((F.col("chain") == chain) & (F.col("grp") == grp)
-                                       & (F.col("prob") == prob))
+_WINDOW = """chain = 'b' AND grp = 'X' AND prob = 'P_X' AND position > 0.69E0 AND position < 0.706E0 AND aa = 't'"""
 
 
-@query("filter_position_window", with_views("""
-SELECT aa, position, mean_delta FROM (SELECT chain, grp, prob, aa, position, round(avg(d), 6) + 0.0E0 AS mean_delta
-FROM scan_d GROUP BY chain, grp, prob, aa, position) m
-WHERE chain = 'b' AND grp = 'X' AND prob = 'P_X' AND position > 0.69E0 AND position < 0.706E0 AND aa = 't'""",
-                                           "scan_d"))
+def window_deltas(spark, sf):
+    """Raw deltas of one heat-map panel in an open range of positions, for one symbol."""
+    d = raw_deltas(spark, sf).where((F.col("chain") == "b") & (F.col("grp") == "X") & (F.col("aa") == "t"))
+    return d.where((F.col("position") > 0.69) & (F.col("position") < 0.706)) \
+        .select("seq_id", "aa", "position", F.round("d_X", 9).alias("delta"))
+
+
+@query("filter_position_window", with_views(f"""
+SELECT seq_id, aa, position, round(d, 6) + 0.0E0 AS delta FROM scan_d WHERE {_WINDOW}""", "scan_d"))
 def filter_position_window(spark, sf):
-    t = scan_table(spark, sf)
-    return t.where((F.col("position") > 0.69) & (F.col("position") < 0.706) & (F.col("aa") == "t")) \
-        .select("aa", "position", "mean_delta")
+    return window_deltas(spark, sf).withColumn("delta", F.round("delta", 6) + F.lit(0.0))
 
 
 @query("distinct_positions", with_views("""
@@ -461,10 +491,8 @@ def distinct_positions(spark, sf):
         .select("position").distinct().orderBy("position")
 
 
-@query("hist10", with_views("""
-WITH m AS (SELECT chain, grp, prob, aa, position, round(avg(d), 6) + 0.0E0 AS v
-           FROM scan_d GROUP BY chain, grp, prob, aa, position),
-     f AS (SELECT v FROM m WHERE chain = 'b' AND grp = 'X' AND prob = 'P_X'),
+@query("hist10", with_views(f"""
+WITH f AS (SELECT round(d, 9) AS v FROM scan_d WHERE {_WINDOW}),
      st AS (SELECT min(v) AS lo, max(v) AS hi FROM f),
      c AS (SELECT CAST(least(floor((v - CASE WHEN hi = lo THEN lo - 0.5E0 ELSE lo END)
                    * (10.0E0 / (CASE WHEN hi = lo THEN hi + 0.5E0 ELSE hi END - CASE WHEN hi = lo THEN lo - 0.5E0 ELSE lo END))), 9) AS INT) AS bin
@@ -474,36 +502,29 @@ FROM (SELECT CAST(unnest(range(0, 10)) AS INT) AS bin) g
 LEFT JOIN (SELECT bin, count(*) AS n FROM c GROUP BY bin) c ON g.bin = c.bin""", "scan_d"))
 def hist10(spark, sf):
     from ..operators.positions import hist_fixed
-    t = scan_table(spark, sf)
-    return hist_fixed(t, "mean_delta", bins=10, stat="count")
-
-
-PIVOT_POSITIONS = (0.0, 0.25, 0.5, 0.75)
+    return hist_fixed(window_deltas(spark, sf), "delta", bins=10, stat="count")
 
 
 @query("delta_pivot", with_views("""
-SELECT chain, grp, prob, aa,
-       round(avg(CASE WHEN round_even(position, 3) = 0.0E0 THEN v END), 6) AS "0.0",
-       round(avg(CASE WHEN round_even(position, 3) = 0.25E0 THEN v END), 6) AS "0.25",
-       round(avg(CASE WHEN round_even(position, 3) = 0.5E0 THEN v END), 6) AS "0.5",
-       round(avg(CASE WHEN round_even(position, 3) = 0.75E0 THEN v END), 6) AS "0.75"
+SELECT chain, grp, prob, aa, round_even(position, 3) AS position, round(avg(v), 6) + 0.0E0 AS value
 FROM (SELECT chain, grp, prob, aa, position, round(avg(d), 6) + 0.0E0 AS v
       FROM scan_d GROUP BY chain, grp, prob, aa, position) m
-GROUP BY chain, grp, prob, aa""", "scan_d"))
+GROUP BY chain, grp, prob, aa, round_even(position, 3)""", "scan_d"))
 def delta_pivot(spark, sf):
-    return X.delta_pivot(mean_delta(spark, sf), PIVOT_POSITIONS)
+    """The whole heat map, in long form: every rounded position is a cell of its own."""
+    return X.delta_cells(mean_delta(spark, sf)).withColumn("value", F.col("value") + F.lit(0.0))
 
 
 @query("zip_rows", with_views("""
 SELECT l.idx, l.seq_id, l.tags, r.seq_id AS pred_seq_id, r.pred
-FROM (SELECT seq_id, tags, row_number() OVER (ORDER BY seq_id) AS idx FROM split) l
+FROM (SELECT seq_id, tags, row_number() OVER (ORDER BY seq_id) AS idx FROM labsplit) l
 JOIN (SELECT seq_id, row_number() OVER (ORDER BY seq_id) AS idx,
              string_agg(CAST(CAST(prob > 0.5E0 AS INT) AS VARCHAR), ',' ORDER BY label) AS pred
-      FROM model_scores GROUP BY seq_id) r ON l.idx = r.idx""", "split", "model_scores"))
+      FROM model_scores GROUP BY seq_id) r ON l.idx = r.idx""", "labsplit", "model_scores"))
 def zip_rows(spark, sf):
     """Pair the rows of two tables by position (every pair with its predictions)."""
     from ..operators.kernels import row_index
-    left = row_index(split_seq(spark, sf).select("seq_id", "tags"), "seq_id")
+    left = row_index(labelled_split(spark, sf).select("seq_id", "tags"), "seq_id")
     preds = M.predict(model_scores(spark, sf), 0.5) \
         .select(F.col("seq_id").alias("pred_seq_id"), arr_str("pred").alias("pred"))
     right = row_index(preds, "pred_seq_id")

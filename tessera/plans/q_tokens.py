@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import chars, pad
+from ..functions.exprs import chars
 from ..operators import tokens as K
+from ..session import scratch_path
+from ..sources import files as FS
 from .q_labels import arr_str, seq, split_seq
 from .registry import add_view, query, with_views
 
@@ -26,14 +28,12 @@ add_view("all_tokens", ("seq",), """
         FROM (SELECT seq_id, 'a' AS chain, chain_a AS s FROM seq
               UNION ALL SELECT seq_id, 'b' AS chain, chain_b AS s FROM seq) c) t""")
 # ids per row and chain as lists (empty chains give an empty list)
-add_view("encoded", ("all_tokens", "vocab", "split"), """
-  SELECT s.seq_id, s.split,
-         coalesce(a.ids, []) AS ids_a, coalesce(b.ids, []) AS ids_b
-  FROM split s
-  LEFT JOIN (SELECT seq_id, list(v.id ORDER BY pos) AS ids FROM all_tokens t JOIN vocab v
-             ON t.token = v.token WHERE chain = 'a' GROUP BY seq_id) a ON s.seq_id = a.seq_id
-  LEFT JOIN (SELECT seq_id, list(v.id ORDER BY pos) AS ids FROM all_tokens t JOIN vocab v
-             ON t.token = v.token WHERE chain = 'b' GROUP BY seq_id) b ON s.seq_id = b.seq_id""")
+add_view("vocab_map", ("vocab",), "SELECT map(list(token), list(id)) AS m FROM vocab")
+add_view("encoded", ("vocab_map", "split"), """
+  SELECT seq_id, split,
+         CASE WHEN chain_a = '' THEN [] ELSE list_transform(string_split(lower(chain_a), ''), lambda t: m[t]) END AS ids_a,
+         CASE WHEN chain_b = '' THEN [] ELSE list_transform(string_split(lower(chain_b), ''), lambda t: m[t]) END AS ids_b
+  FROM split, vocab_map""")
 add_view("lens", ("split",), """
   SELECT split, greatest(max(length(chain_a)), max(length(chain_b))) AS max_len
   FROM split GROUP BY split""")
@@ -51,29 +51,37 @@ def vocab(spark, sf) -> dict[str, int]:
     return K.vocab_dict(vocab_df(spark, sf))
 
 
+def written_corpus(spark, sf, spaced):
+    """The corpus lines of the train rows as text files, read back, with their counts."""
+    path = scratch_path(spark, "corpus")
+    FS.write_corpus(K.corpus_lines(train_rows(spark, sf), spaced_chars=spaced), path)
+    return FS.read_corpus(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("corpus_raw", with_views("""
-SELECT seq_id, 0 AS line_no, chain_a AS line FROM split WHERE split = 'train' UNION ALL
-SELECT seq_id, 1 AS line_no, chain_b AS line FROM split WHERE split = 'train'""", "split"))
+SELECT line, count(*) AS n FROM (
+SELECT chain_a AS line FROM split WHERE split = 'train' UNION ALL
+SELECT chain_b AS line FROM split WHERE split = 'train') t GROUP BY line""", "split"))
 def corpus_raw(spark, sf):
-    return K.corpus_lines(train_rows(spark, sf))
+    return written_corpus(spark, sf, spaced=False)
 
 
 @query("corpus_spaced", with_views("""
-SELECT seq_id, 0 AS line_no, array_to_string(string_split(chain_a, ''), ' ') AS line
-FROM split WHERE split = 'train' UNION ALL
-SELECT seq_id, 1 AS line_no, array_to_string(string_split(chain_b, ''), ' ') AS line
-FROM split WHERE split = 'train'""", "split"))
+SELECT line, count(*) AS n FROM (
+SELECT array_to_string(string_split(chain_a, ''), ' ') AS line FROM split WHERE split = 'train' UNION ALL
+SELECT array_to_string(string_split(chain_b, ''), ' ') AS line FROM split WHERE split = 'train') t GROUP BY line""", "split"))
 def corpus_spaced(spark, sf):
-    return K.corpus_lines(train_rows(spark, sf), spaced_chars=True)
+    return written_corpus(spark, sf, spaced=True)
 
 
 @query("chars", with_views("""
 SELECT seq_id, CAST(length(chain_a) AS INT) AS n_a,
-       array_to_string(string_split(chain_a, ''), ',') AS chars_a FROM seq""", "seq"))
+       array_to_string(string_split(chain_a, ''), ',') AS chars_a, CAST(length(chain_b) AS INT) AS n_b,
+       array_to_string(string_split(chain_b, ''), ',') AS chars_b FROM seq""", "seq"))
 def chars_q(spark, sf):
-    c = chars("chain_a")
-    return seq(spark, sf).select("seq_id", F.size(c).alias("n_a"),
-                                 F.array_join(c, ",").alias("chars_a"))
+    both = [x for ch, col in K.CHAINS for x in (F.size(chars(col)).alias(f"n_{ch}"),
+                                                F.array_join(chars(col), ",").alias(f"chars_{ch}"))]
+    return seq(spark, sf).select("seq_id", *both)
 
 
 @query("token_counts", with_views("""
@@ -97,12 +105,8 @@ def vocab_symbols(spark, sf):
 SELECT seq_id, array_to_string(ids_a, ',') AS ids_a, array_to_string(ids_b, ',') AS ids_b
 FROM encoded""", "encoded"))
 def encode_wl(spark, sf):
-    v = vocab(spark, sf)
-    s = seq(spark, sf)
-    return s.select("seq_id", F.array_join(K.encode_wl("chain_a", v).cast("array<string>"), ",")
-                    .alias("ids_a"),
-                    F.array_join(K.encode_wl("chain_b", v).cast("array<string>"), ",")
-                    .alias("ids_b"))
+    e = K.encode_ids(seq(spark, sf), vocab_df(spark, sf))
+    return e.select("seq_id", arr_str("ids_a").alias("ids_a"), arr_str("ids_b").alias("ids_b"))
 
 
 @query("encode_join", with_views("""
@@ -114,17 +118,14 @@ def encode_join(spark, sf):
 
 
 @query("decode_join", with_views("""
-SELECT e.seq_id, coalesce(string_agg(v.token, '' ORDER BY u.i), '') AS decoded_a
-FROM encoded e
-LEFT JOIN (SELECT seq_id, unnest(ids_a) AS id, unnest(range(len(ids_a))) AS i FROM encoded) u
-  ON e.seq_id = u.seq_id
-LEFT JOIN vocab v ON u.id = v.id
-GROUP BY e.seq_id""", "encoded", "vocab"))
+SELECT u.seq_id, u.chain, u.pos, v.token
+FROM (SELECT seq_id, 'a' AS chain, unnest(range(len(ids_a))) AS pos, unnest(ids_a) AS id FROM encoded UNION ALL
+      SELECT seq_id, 'b' AS chain, unnest(range(len(ids_b))) AS pos, unnest(ids_b) AS id FROM encoded) u
+LEFT JOIN vocab v ON u.id = v.id""", "encoded", "vocab"))
 def decode_join(spark, sf):
-    v = vocab(spark, sf)
-    s = seq(spark, sf)
-    return s.select("seq_id", F.array_join(K.decode_ids(K.encode_wl("chain_a", v), v), "")
-                    .alias("decoded_a"))
+    v = vocab_df(spark, sf)
+    ids = K.encode_join(seq(spark, sf), v).select("seq_id", "chain", F.col("pos").cast("long").alias("pos"), "id")
+    return K.decode_join(ids, v).select("seq_id", "chain", "pos", "token")
 
 
 @query("max_len", with_views("""
@@ -136,28 +137,30 @@ def max_len_q(spark, sf):
     return K.max_len(split_seq(spark, sf), ["split"])
 
 
-_PAD_SQL = """
-SELECT e.seq_id, e.split,
-       array_to_string(list_concat(e.ids_a, list_transform(range(greatest(0, l.max_len - len(e.ids_a))),
-                                                           lambda x: 0)), ',') AS ids_a,
-       array_to_string(list_concat(list_transform(e.ids_a, lambda x: 1),
-                                   list_transform(range(greatest(0, l.max_len - len(e.ids_a))),
-                                                  lambda x: 0)), ',') AS mask_a
-FROM encoded e JOIN lens l ON e.split = l.split"""
+def _padded(ch: str) -> str:
+    return (f"array_to_string(list_concat(e.ids_{ch}, list_transform(range(greatest(0, l.max_len - len(e.ids_{ch}))), "
+            f"lambda x: 0)), ',') AS ids_{ch}")
+
+
+def _masked(ch: str) -> str:
+    return (f"array_to_string(list_concat(list_transform(e.ids_{ch}, lambda x: 1), "
+            f"list_transform(range(greatest(0, l.max_len - len(e.ids_{ch}))), lambda x: 0)), ',') AS mask_{ch}")
 
 
-@query("pad_ids", with_views(_PAD_SQL.replace(",\n       array_to_string(list_concat(list_transform(e.ids_a, lambda x: 1),\n                                   list_transform(range(greatest(0, l.max_len - len(e.ids_a))),\n                                                  lambda x: 0)), ',') AS mask_a", ""),
-                             "encoded", "lens"))
+_PAD_SQL = "SELECT e.seq_id, e.split, {cols} FROM encoded e JOIN lens l ON e.split = l.split"
+
+
+@query("pad_ids", with_views(_PAD_SQL.format(cols=f"{_padded('a')}, {_padded('b')}"), "encoded", "lens"))
 def pad_ids(spark, sf):
     e = K.encode_padded(split_seq(spark, sf), vocab(spark, sf))
-    return e.select("seq_id", "split", arr_str("ids_a").alias("ids_a"))
+    return e.select("seq_id", "split", arr_str("ids_a").alias("ids_a"), arr_str("ids_b").alias("ids_b"))
 
 
-@query("attention_mask", with_views(_PAD_SQL, "encoded", "lens"))
+@query("attention_mask", with_views(_PAD_SQL.format(
+    cols=", ".join([_padded("a"), _masked("a"), _padded("b"), _masked("b")])), "encoded", "lens"))
 def attention_mask_q(spark, sf):
     e = K.encode_padded(split_seq(spark, sf), vocab(spark, sf))
-    return e.select("seq_id", "split", arr_str("ids_a").alias("ids_a"),
-                    arr_str("mask_a").alias("mask_a"))
+    return e.select("seq_id", "split", *[arr_str(c).alias(c) for c in ("ids_a", "mask_a", "ids_b", "mask_b")])
 
 
 @query("pair_concat", with_views("""
@@ -173,21 +176,11 @@ def pair_concat(spark, sf):
                     .alias("ids_pair"))
 
 
-TRUNCATE_LEN = 24
-
-
-@query("encode_truncate", with_views(f"""
-WITH j AS (SELECT seq_id, chain_a || chain_b AS s FROM seq),
-     t AS (SELECT u.seq_id, list(v.id ORDER BY i) AS ids
-           FROM (SELECT seq_id, unnest(range(1, length(s) + 1)) AS i, s FROM j) u
-           JOIN vocab v ON v.token = lower(substr(u.s, u.i, 1)) GROUP BY u.seq_id)
-SELECT j.seq_id,
-       array_to_string(list_concat(coalesce(t.ids, [])[1:{TRUNCATE_LEN}],
-         list_transform(range(greatest(0, {TRUNCATE_LEN} - len(coalesce(t.ids, [])))), lambda x: 0)),
-         ',') AS ids
-FROM j LEFT JOIN t ON j.seq_id = t.seq_id""", "seq", "vocab"))
+@query("encode_truncate", with_views("""
+SELECT seq_id, array_to_string(list_concat(list_concat(ids_a, ids_b),
+         list_transform(range((SELECT max(len(ids_a) + len(ids_b)) FROM encoded) - len(ids_a) - len(ids_b)), lambda x: 0)),
+         ',') AS ids FROM encoded""", "encoded"))
 def encode_truncate(spark, sf):
-    v = vocab(spark, sf)
-    ids = K.encode_wl(F.concat("chain_a", "chain_b"), v)
-    out = pad(F.slice(ids, 1, TRUNCATE_LEN), TRUNCATE_LEN)
-    return seq(spark, sf).select("seq_id", F.array_join(out.cast("array<string>"), ",").alias("ids"))
+    """Both chains as one string, padded to the longest pair; ``truncate`` is off unless asked for."""
+    e = K.encode_combined(seq(spark, sf), vocab(spark, sf))
+    return e.select("seq_id", arr_str("ids").alias("ids"))

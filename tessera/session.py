@@ -70,3 +70,13 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_small(df, max_rows: int = MAX_BROADCAST_ROWS):
+    """``df`` with a broadcast hint if it is seen to have at most ``max_rows`` (narrow)
+    rows; otherwise as it is, so that the join shuffles and AQE splits hot keys."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

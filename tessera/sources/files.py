@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import broadcast_small
+
 SEQUENCE_SCHEMA = T.StructType([
     T.StructField("seq_id", T.LongType()),
     T.StructField("chain_a", T.StringType()),
@@ -44,6 +46,25 @@ def write_corpus(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the lines of a corpus folder, empty ones included."""
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Add scalar-log rows (split, tag, step, value) to a log folder."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_run_logs(log: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """A scalar log as one JSON folder per run. Each run is dealt to as many tasks as its
+    rows need (one file each), so a run that holds most rows isn't one task's."""
+    n = log.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    part = F.pmod(F.xxhash64(*[c for c in log.columns if c != "run"]), F.col("_files")).cast("int")
+    dealt = log.join(broadcast_small(n), "run").withColumn("_part", part).drop("_files")
+    dealt.repartition("run", "_part").drop("_part").write.mode("overwrite").partitionBy("run").json(path)
+
+
 def vocab_to_json(vocab: DataFrame) -> DataFrame:
     """One row holding the tokenizer-style JSON document of a (bounded) vocabulary."""
     # entries in id order, so the document is the same however the rows were partitioned

@@ -2,14 +2,15 @@
 
 The reference works on pairs of short symbol strings with a composite label. The
 given tables hold prose, so the views below derive that shape from *whole* texts:
-every labelled document is cut into its full list of letter words, and consecutive
-words form the pairs ``(chain_a, chain_b)``. No text is shortened; the number of
-pairs grows with the corpus.
+every document is cut into its full list of words (letters and marks of any script),
+and consecutive words form the pairs ``(chain_a, chain_b)``. No text is shortened; the
+number of pairs grows with the corpus. Queries that need no label read the pairs of all
+documents (``sequences``), supervised ones those of labelled documents (``labelled``).
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 # Fixed values of the data model.
 SEED = 1964                      # seed of every seeded order
-WORD_PATTERN = "[a-z]+"          # a chain symbol is one letter a-z
-PAIR_KEY_STRIDE = 1_000_000      # seq_id = doc_id * stride + pair index (a text has < 2e6 words)
+WORD_PATTERN = r"[\p{L}\p{M}]+"   # a chain symbol is one letter or mark of any script
+PAIR_KEY_STRIDE = 1_000_000      # seq_id = doc_id * stride + pair index; more pairs in a text raise
 LABEL_NAMES = ("Q", "T", "X")    # the three targets: quality, toxic, non-English
 NEGATIVE = "negative"
 
@@ -52,64 +53,60 @@ def composite_tag(q: Column, t: Column, x: Column) -> Column:
     return F.when(parts == "", F.lit(NEGATIVE)).otherwise(parts)
 
 
-def bucketed_sources(spark: SparkSession, sf_dir: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``documents`` and ``labels`` stored once as tables bucketed and sorted by doc_id
-    (same bucket count) under the shared checkpoint folder. Joining them is then a
-    sort-merge join with no exchange on either side: the text is never shuffled. Worth
-    it when the corpus is joined in many sessions; the given plain files are the default."""
-    from ..session import ensure_checkpoint_dir
-    base = os.path.join(ensure_checkpoint_dir(spark), f"bucketed-{abs(hash(os.path.abspath(sf_dir)))}")
-    out = []
-    for name, cols in (("documents", ("doc_id", "text", "lang")), ("labels", ("doc_id", "quality", "toxic"))):
-        tname = f"tessera_{name}_{abs(hash((os.path.abspath(sf_dir), buckets)))}"
-        if not spark.catalog.tableExists(tname):
-            path = os.path.join(base, name)
-            table(spark, sf_dir, name).select(*cols).write.mode("overwrite") \
-                .bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).saveAsTable(tname)
-        out.append(spark.table(tname))
-    return out[0], out[1]
-
-
-def labelled_words(spark: SparkSession, sf_dir: str, bucketed: bool = False) -> DataFrame:
-    """(doc_id, is_q, is_t, is_x, words) for every labelled document."""
-    if bucketed:
-        docs, labels = bucketed_sources(spark, sf_dir)
-        j = docs.join(labels, "doc_id")
-    else:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-        labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-        j = spread(docs.join(labels, "doc_id"), docs, "doc_id")
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, is_q, is_t, is_x, words) for every document; is_q, is_t and is_x are null
+    where a document has no row in ``labels``. The words are lower case throughout."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").withColumn("_known", F.lit(1))
+    j = spread(docs.join(labels, "doc_id", "left"), docs, "doc_id")
+    flag = lambda c: F.when(F.col("_known") == 1, F.when(c, 1).otherwise(0))
     return j.select(
-        "doc_id",
-        F.when(F.col("quality") == 1, 1).otherwise(0).alias("is_q"),
-        F.when(F.col("toxic") == 1, 1).otherwise(0).alias("is_t"),
-        F.when(F.col("lang") != "en", 1).otherwise(0).alias("is_x"),
+        "doc_id", flag(F.col("quality") == 1).alias("is_q"), flag(F.col("toxic") == 1).alias("is_t"),
+        flag(F.col("lang") != "en").alias("is_x"),
         F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), 0).alias("words"),
     )
 
 
-_SEQ_TABLES: dict[tuple[str, str], str] = {}
+_SEQ_TABLES: dict[tuple[str, str, int], str] = {}
 
 
-def sequences(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
-    """The ``seq`` view (see ``derive_sequences``), derived once per session and kept as
-    a parquet table in the shared checkpoint folder (a materialized view).
+def _state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and modification times of a table's files, as one digest."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listStatus(p)
+    return hashlib.md5("".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()};" for f in files)).encode()).hexdigest()
 
-    Every later pass -- the split-threshold passes, the fit, the final scan -- then
-    reads only the columns it needs (``h`` alone for the split) instead of re-reading
-    and re-splitting the raw texts. The table lives on shared storage, so a lost
-    executor costs a re-read, not a re-derivation.
+
+def sequence_table(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the ``seq`` view kept as a parquet table in the shared checkpoint folder.
+
+    The table is derived once for each state of its sources (file names, sizes and
+    times), so a changed ``documents`` or ``labels`` is read anew. Every later pass --
+    the split-threshold passes, the fit, the final scan -- reads only the columns it
+    needs (``h`` alone for the split). It lies on shared storage, so a lost executor
+    costs a re-read, not a re-derivation.
     """
-    if not materialized:
-        return derive_sequences(spark, sf_dir)
     from ..session import scratch_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    base = sf_dir.rstrip("/")
+    state = "".join(_state(spark, f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    key = (spark.sparkContext.applicationId, base, state)
     path = _SEQ_TABLES.get(key)
     if path is None or not _exists(spark, path):
         path = scratch_path(spark, "seq")
         derive_sequences(spark, sf_dir).write.mode("overwrite").parquet(path)
         _SEQ_TABLES[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``seq`` view over all documents (see ``derive_sequences``)."""
+    return spark.read.parquet(sequence_table(spark, sf_dir))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``seq`` whose document has labels."""
+    return sequences(spark, sf_dir).where("tags IS NOT NULL")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -119,37 +116,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def derive_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``seq`` view: one row per consecutive word pair of every labelled text.
+    """The ``seq`` view: one row per consecutive word pair of every text.
 
-    Columns: seq_id, doc_id, chain_a, chain_b (upper case; chain_b is '' for the
-    last word of an odd-length text), tags, is_q, is_t, is_x, h (seeded order key).
-    Row-local (explode of an array built per row): no shuffle beyond the label join. A
-    text has at most ~20,000 words, so the pairs of one document are a bounded unit.
+    Columns: seq_id, doc_id, chain_a, chain_b (lower case; chain_b is '' for the last
+    word of an odd-length text), tags, is_q, is_t, is_x (null without labels), h (seeded
+    order key). Row-local (explode of an array built per row): no shuffle beyond the
+    label join. A text whose pairs would not fit the key raises.
     """
-    w = labelled_words(spark, sf_dir)
+    w = document_words(spark, sf_dir)
     pairs = F.expr(
         "CASE WHEN size(words) > 0 THEN transform("
         "sequence(0, cast(ceil(size(words) / 2) AS INT) - 1), "
         "k -> named_struct('k', k, 'a', words[2 * k], "
         "'b', coalesce(try_element_at(words, 2 * k + 2), ''))) END")
     p = w.select("doc_id", "is_q", "is_t", "is_x", F.explode(pairs).alias("p"))
-    seq_id = F.col("doc_id") * F.lit(PAIR_KEY_STRIDE) + F.col("p.k")
-    out = p.select(
-        seq_id.alias("seq_id"),
-        "doc_id",
-        F.upper("p.a").alias("chain_a"),
-        F.upper("p.b").alias("chain_b"),
-        composite_tag(F.col("is_q"), F.col("is_t"), F.col("is_x")).alias("tags"),
-        "is_q", "is_t", "is_x",
-        seeded_key(seq_id).alias("h"),
-    )
-    return out
+    k = F.when(F.col("p.k") < PAIR_KEY_STRIDE, F.col("p.k")) \
+        .otherwise(F.raise_error(F.lit("a text has too many words for the pair key")).cast("int"))
+    seq_id = F.col("doc_id") * F.lit(PAIR_KEY_STRIDE) + k
+    tag = composite_tag(F.col("is_q"), F.col("is_t"), F.col("is_x"))
+    return p.select(
+        seq_id.alias("seq_id"), "doc_id", F.col("p.a").alias("chain_a"), F.col("p.b").alias("chain_b"),
+        F.when(F.col("is_q").isNotNull(), tag).alias("tags"), "is_q", "is_t", "is_x", seeded_key(seq_id).alias("h"))
 
 
 def scored(spark: SparkSession, sf_dir: str, seq: DataFrame | None = None) -> DataFrame:
     """The ``scored`` view: long table (seq_id, label, target, prob) with a model-free
     probability that depends on the target, so every metric has signal."""
-    s = seq if seq is not None else sequences(spark, sf_dir)
+    s = seq if seq is not None else labelled(spark, sf_dir)
     long = s.select("seq_id", F.explode(F.array(*[
         F.struct(F.lit(n).alias("label"), F.col(c).alias("target"))
         for n, c in zip(LABEL_NAMES, ("is_q", "is_t", "is_x"))])).alias("z"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.labels import flags_inclusive
 from ..operators.scoring import LogOddsModel, score_log_odds
@@ -18,9 +19,7 @@ def score_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
     No state is kept (no watermark needed); the checkpoint folder (on shared storage in
     a cluster) records which files were processed, so a restarted query resumes.
     """
-    schema = SEQUENCE_SCHEMA
-    if "split" not in schema.fieldNames():
-        schema = schema.add("split", "string")
+    schema = T.StructType([*SEQUENCE_SCHEMA.fields, T.StructField("split", T.StringType())])
     src = spark.readStream.schema(schema).format(fmt).load(source)
     scored = score_log_odds(flags_inclusive(src), model)
     out = scored.withColumn("pred", F.transform("prob", lambda p: (p > F.lit(threshold)).cast("int")))

@@ -1,5 +1,6 @@
 """The fast paths agree with their definitions, and the native paths stay native."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import perturb as X
@@ -27,7 +28,7 @@ def test_identity_substitution_has_zero_delta(spark, small_dir):
     m = QS.model(spark, small_dir)
     s = QL.seq(spark, small_dir).limit(200)
     e = X.substitution_expand(s, m.symbols, "a", keep=["chain_b"])
-    ident = e.withColumn("same", replace_at(F.col("modified"), F.col("idx"), F.upper("orig")))
+    ident = e.withColumn("same", replace_at(F.col("modified"), F.col("idx"), F.col("orig")))
     rows = ident.select(
         *[(m.logit(F.col("same"), F.col("chain_b"), lb)
            - m.logit(F.col("modified"), F.col("chain_b"), lb)).alias(f"d_{lb}") for lb in m.labels],
@@ -44,7 +45,7 @@ def test_user_model_path_equals_native(spark, small_dir):
     m = QS.model(spark, small_dir)
     test = QL.split_seq(spark, small_dir).where(F.col("split") == "test")
     native = {r["seq_id"]: r["prob"] for r in SC.score_log_odds(test, m).select("seq_id", "prob").collect()}
-    user = {r["seq_id"]: r["prob"] for r in SC.score_with_model(test, SC.python_log_odds(m)).collect()}
+    user = {r["seq_id"]: r["prob"] for r in SC.score_with_model(test, SC.numpy_log_odds(m)).collect()}
     assert native.keys() == user.keys()
     for k in native:
         assert all(abs(a - b) < 1e-9 for a, b in zip(native[k], user[k]))
@@ -94,26 +95,133 @@ def test_pca_matches_centred_svd_with_fixed_signs(spark, small_dir):
 
 def test_logistic_fits_learn_the_language_label(spark, small_dir):
     from tessera.operators import fit as FT
-    rows = {r["label"]: r["auc"] for r in FT.logreg_multilabel(QL.split_seq(spark, small_dir)).collect()}
-    assert rows["X"] > 0.7      # non-English words are easy to tell from their letters
+    from tessera.operators import metrics as M
+    split = QL.labelled_split(spark, small_dir)
+    out = FT.logreg_multilabel(split)
+    assert out.count() == 3 * split.count()
+    test = out.where("split = 'test'")
+    auc = {r["label"]: r["auc"] for r in M.roc_auc(test).collect()}
+    assert auc["X"] > 0.7      # non-English words are easy to tell from their letters
+    # the engine's AUC is exact: the share of (positive, negative) pairs in the right order
+    rows = test.where("label = 'X'").select("prob", "target").collect()
+    pos, neg = np.sort([r.prob for r in rows if r.target]), np.sort([r.prob for r in rows if not r.target])
+    below = np.searchsorted(neg, pos, "left").sum() + np.searchsorted(neg, pos, "right").sum()
+    assert auc["X"] == round(below / 2 / len(pos) / len(neg), 6)
+
+
+def test_multiclass_fit_beats_the_largest_class_by_its_labels(spark, small_dir):
+    from collections import Counter
+    from tessera.operators import fit as FT
+    rows = [r for r in FT.logreg_multiclass(QL.labelled_split(spark, small_dir)).collect() if r.split == "test"]
+    assert {r.predicted for r in rows} <= {r.tags for r in rows} | {None} | set("QTX")| {"negative", "Q|X", "Q|T", "T|X", "Q|T|X"}
+    largest = Counter(r.tags for r in rows).most_common(1)[0][1]
+    assert sum(r.predicted == r.tags for r in rows) >= largest
 
 
-def test_bucketed_sources_join_without_exchange(spark, small_dir):
+def test_grid_scores_the_same_rows_with_every_parameter(spark, small_dir):
+    from tessera.operators import fit as FT
+    train = QL.labelled_split(spark, small_dir).where("split = 'train'")
+    out = FT.param_grid(train).groupBy("regParam", "elasticNetParam").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("seq_id").cast("decimal(20,0)")).alias("ids")).collect()
+    n = train.count()
+    assert len(out) == 4 and len({(r.n, r.ids) for r in out}) == 1
+    assert out[0].n == n - int(np.ceil(0.7 * n))
+    again = FT.param_grid(train.repartition(13)).agg(F.sum(F.xxhash64("seq_id").cast("decimal(20,0)")).alias("ids")).first()
+    assert again.ids == 4 * out[0].ids
+
+
+def test_dense_classifier_predicts_every_vector(spark, small_dir):
+    from tessera.plans import q_reps as QR
+    rows = QR.mlp_classify(spark, small_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{small_dir}/embeddings.parquet").count()
+    assert {r.prediction for r in rows} <= set(range(10))
+    assert {r.split for r in rows} == {"train", "test"}
+
+
+def test_pca_centroids_are_means_of_the_projection(spark, small_dir):
+    from tessera.plans import q_reps as QR
+    points = QR.pca_project(spark, small_dir).collect()
+    for c in QR.pca_centroids(spark, small_dir).collect():
+        own = np.array([[p.pc1, p.pc2, p.pc3] for p in points if p.label == c.label])
+        assert np.allclose([c.c1, c.c2, c.c3], own.mean(axis=0), atol=2e-6)
+
+
+def test_counts_follow_an_append(spark, small_dir, tmp_path):
+    """A changed source is read anew: nothing depends on what ran before."""
+    import shutil
+    from tessera.plans import q_text as QT
+    for t in ("documents", "labels"):
+        (tmp_path / f"{t}.parquet").mkdir()
+        shutil.copy(f"{small_dir}/{t}.parquet", tmp_path / f"{t}.parquet" / "part-0.parquet")
+    at = str(tmp_path)
+    first = QL.row_count(spark, at).first().n
+    train = QL.split_seq(spark, at).where("split = 'train'").count()
+    weights = QS.model(spark, at).prior["Q"]
+    for t in ("documents", "labels"):
+        more = spark.read.parquet(f"{small_dir}/{t}.parquet").withColumn("doc_id", F.col("doc_id") + 10_000)
+        if t == "labels":
+            more = more.withColumn("quality", F.lit(1))
+        more.write.mode("append").parquet(f"{at}/{t}.parquet")
+    spark.catalog.refreshByPath(at)
+    assert QL.row_count(spark, at).first().n == 2 * first
+    assert QL.split_seq(spark, at).where("split = 'train'").count() == int(np.ceil(0.7 * 2 * first)) != train
+    assert QS.model(spark, at).prior["Q"] > weights
+    assert QT.train_words(spark, at).agg(F.sum("n")).first()[0] > 0
+
+
+def test_streaming_leaves_the_file_schema_alone(spark, small_dir):
+    from tessera.plans import q_io as QI
+    QI.stream_score(spark, small_dir).count()
+    assert QI.scan_sequences(spark, small_dir).columns == ["seq_id", "chain_a", "chain_b", "tags"]
+
+
+def test_no_letter_of_a_text_is_lost(spark, small_dir):
+    s = QL.seq(spark, small_dir).agg(F.sum(F.length("chain_a") + F.length("chain_b")).alias("n")).first().n
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    raw = docs.agg(F.sum(F.length(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}]", ""))).alias("n")).first().n
+    assert s == raw
+    with_words = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert QL.seq(spark, small_dir).select("doc_id").distinct().count() == with_words
+
+
+def test_too_long_a_text_raises_instead_of_colliding(spark, tmp_path, monkeypatch):
+    import pytest
     from tessera.sources import tables as T
+    monkeypatch.setattr(T, "PAIR_KEY_STRIDE", 3)
+    spark.createDataFrame([(1, "a b c d e f g h", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.raises(Exception, match="too many words"):
+        T.derive_sequences(spark, str(tmp_path)).collect()
+
+
+def test_a_large_vocabulary_is_joined_with_equal_ids(spark, small_dir):
+    from tessera.operators import tokens as K
+    from tessera.plans import q_tokens as QK
+    s, v = QL.seq(spark, small_dir).limit(500), QK.vocab_df(spark, small_dir)
+    pick = lambda df: sorted((r.seq_id, r.ids_a, r.ids_b) for r in df.collect())
+    assert pick(K.encode_ids(s, v)) == pick(K.encode_ids(s, v, max_inline=3))
+
+
+def test_label_and_split_joins_do_not_shuffle_the_rows(spark, small_dir):
+    """With broadcasts by size turned off, nothing data-sized is exchanged on a tiny key."""
+    from tessera.plans import QUERIES
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # force the sort-merge join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        w = T.labelled_words(spark, small_dir, bucketed=True)
-        plain = T.labelled_words(spark, small_dir)
-        w.select("doc_id").collect()
-        plan = _plan(w)
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        key = lambda r: (r["doc_id"], r["is_q"], r["is_t"], r["is_x"], tuple(r["words"]))
-        assert sorted(map(key, w.collect())) == sorted(map(key, plain.collect()))
+        for key in ("label_encode", "one_hot", "pad_ids", "attention_mask", "pair_concat", "matrix_embed"):
+            plan = _plan(QUERIES[key](spark, small_dir))
+            assert "SortMergeJoin" not in plan, key
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
+def test_expansion_is_not_exchanged_by_row(spark, small_dir):
+    plan = _plan(QS.substitution_expand(spark, small_dir))
+    assert "hashpartitioning" in plan and not any(
+        "seq_id" in line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
 def test_spread_only_repartitions_inputs_with_few_splits(spark):
     from tessera.sources.tables import spread
     few = spark.range(1000, numPartitions=1)
@@ -123,11 +231,10 @@ def test_spread_only_repartitions_inputs_with_few_splits(spark):
 
 
 def test_pair_table_is_rederived_when_its_folder_is_gone(spark, small_dir):
-    import os
-
     from tessera.sources import tables as T
     n = T.sequences(spark, small_dir).count()
-    key = (spark.sparkContext.applicationId, os.path.abspath(small_dir))
+    path = T.sequence_table(spark, small_dir)
+    key = next(k for k, v in T._SEQ_TABLES.items() if v == path)
     T._SEQ_TABLES[key] = "/tmp/tessera-missing-folder-for-test"   # as if cleaned up
     again = T.sequences(spark, small_dir)
     assert again.count() == n and T._SEQ_TABLES[key] != "/tmp/tessera-missing-folder-for-test"
