@@ -31,7 +31,7 @@ from xxhash import xxh64_intdigest
 from .arrow import list_array, with_columns
 from .sample import labelled_sample
 
-PER_CLASS = 4000          # labelled texts of each class to fit on, about
+PER_CLASS = 3000          # labelled texts of each class to fit on, about
 BUCKETS = 1 << 18
 MIN_TEXTS = 3             # an n-gram of fewer sampled texts says nothing
 KEPT_TOKENS = 400_000
@@ -89,7 +89,7 @@ def hinge_fit(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, c
     The dual of a row stays in [0, its cost]; a step sets it to the best value given all others."""
     w = np.zeros(size)
     dual = np.zeros(len(rows))
-    square = np.array([v @ v for v in values])
+    square = np.array([float(v @ v) for v in values])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -151,7 +151,8 @@ def scaled(ratio: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = ids[ratio[ids] != 0]
     v = ratio[ids]
     length = np.sqrt(v @ v)
-    return np.append(ids, len(ratio)), np.append(v / length if length else v, 1.0)
+    values = np.append(v / length if length else v, 1.0).astype(np.float32)
+    return np.append(ids, np.int32(len(ratio))).astype(np.int32), values
 
 
 def fit_rows(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Model:

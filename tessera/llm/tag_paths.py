@@ -15,6 +15,8 @@ and comments, known by element, role or the words of class and id, and lists of
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed in page order. ``br`` is white space.
 
+If that leaves nothing, as when a form spans the page, the marks are not heeded.
+
 Cases: null, empty and text-free pages give ''; text without any markup is one block;
 unclosed and crossing tags are closed as their parent or a sibling demands; a comment,
 script or tag that never ends reaches to the end of the page. Work is per row and
@@ -59,6 +61,7 @@ MARKS = frozenset(
     "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations toolbar pagination pager skip".split())
+UNMARKED = frozenset("has with without no".split())       # 'has-sidebar' says something about a page's layout
 COMMENTS = frozenset("comment comments commentlist reply replies respond".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…·'\"«»()、。，；：！？؟،।-]")
 
@@ -71,7 +74,8 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 class Page:
     """The block elements and text nodes of a page, in page order."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, strict: bool = True):
+        self.strict = strict                 # leave out what is marked, not only what can't be text
         # elements: parent, tag, tag path, left out
         self.parent, self.tag, self.path, self.out = [0], ["#root"], [0], [False]
         self.paths: dict[tuple[int, str], int] = {}
@@ -152,6 +156,8 @@ class Page:
                 return
 
     def _left_out(self, name: str, attributes: str, stack: list[int]) -> bool:
+        if not self.strict:
+            return name == "head"
         if name in NEVER:
             return True
         if name == "header" and not any(self.tag[e] in ("article", "main") for e in stack[-8:]):
@@ -168,7 +174,7 @@ class Page:
                 return True
             if key in ("class", "id"):
                 words = {w.lower() for w in _word.findall(value)}
-                if words & (COMMENTS if name in ("article", "main", "header") else MARKS):
+                if words & (COMMENTS if name in ("article", "main", "header") else MARKS) and not words & UNMARKED:
                     return True
         return False
 
@@ -215,6 +221,8 @@ def region(page: Page, content: np.ndarray) -> int:
 def main_text(html: str | None) -> str:
     """The main text of a page."""
     page = Page(html or "")
+    if not page.texts:                       # all of it is marked, as when a form spans the page
+        page = Page(html or "", strict=False)
     if not page.texts:
         return ""
     fused = ratios(page)

@@ -195,7 +195,8 @@ def test_classifier_edges(spark, edge, none, monkeypatch, module, label):
 
 # ---- pipeline
 
-def test_stages_apply_their_operators(spark, small_dir, documents, labels):
+def test_stages_apply_their_operators(spark, small_dir, documents, labels, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 200)
     docs = documents
     seen = docs.where(~queries.held_out())
     model = nbsvm.fit(seen, labels)
@@ -221,7 +222,8 @@ def test_stages_apply_their_operators(spark, small_dir, documents, labels):
     assert coded.count() == sum(want.values()) and all(r.n_tokens == len(r.ids) for r in coded.collect())
 
 
-def test_pipeline_is_registered_and_runs(spark, small_dir):
+def test_pipeline_is_registered_and_runs(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 200)
     assert E.queries()["pipeline"] is corpus_pipeline.run
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "mixture", "encode"]
     assert corpus_pipeline.run(spark, small_dir).count() > 0

@@ -229,6 +229,8 @@ def test_main_text_without_an_article_element():
     ("<main><p>Text, here.</p><div hidden><p>Not, this.</p></div><div style='display: none'>nor this</div></main>", "Text, here."),
     ("<article><p>Body, text.</p></article><article class='comment'><p>I say, much longer than the text, really.</p></article>",
      "Body, text."),
+    ("<body><form action=x><div><p>All of the page, in a form.</p></div></form></body>", "All of the page, in a form."),
+    ("<div class='layout with-sidebar'><p>Text, here it is.</p><div class='sidebar'><p>Not, this.</p></div></div>", "Text, here it is."),
     ("<p>a &#65;&#x42;&nbsp;b</p><script>if (a < b) { x = '<p>no</p>' }", "a AB b"),
 ])
 def test_main_text_cases(page, want):
