@@ -154,3 +154,18 @@ def test_merges_that_share_a_round_are_those_taken_one_by_one():
                     s = "<" + "><".join(seqs[w]) + ">"
                     seqs[w] = s.replace(f"<{a}><{b}>", f"<{a + b}>")[1:-1].split("><")
         assert got == want
+
+
+def test_bpe_stops_at_the_reference_frequency_at_every_size(spark, small_dir):
+    words = QT.train_words(spark, small_dir)
+    _, merges = QT.trained(spark, small_dir)
+    assert QT.least_frequency(words) == 10 and merges[-1][2] in (10, 11) and len(merges) > 1000
+    ids, rest = B.train(words, 60)
+    assert (ids, rest) == B.train(words, 60, driver_words=0) and rest == merges[:60]
+    ids, capped = B.train(words, vocab_size=200)
+    assert len(ids) == 200 and capped == merges[:len(capped)]
+
+
+def test_bpe_encodes_tokens_made_in_two_ways():
+    merges = [("b", "c"), ("a", "bc"), ("x", "abc"), ("a", "b"), ("ab", "c")]
+    assert B.in_order(merges) == [*merges, ("x", "abc")]
