@@ -6,9 +6,11 @@ summed per path and divided by its number of nodes; both ratios are smoothed ove
 neighbouring nodes in page order with a Gaussian window and multiplied; nodes whose
 fused ratio reaches a threshold (the spread of the ratios) are content.
 
-The content nodes tell where the article is: the deepest element that holds most of
-their weight, widened to the ``article`` or ``main`` around it, or to its parent. All
-text in there is returned but what is no part of an article wherever it stands:
+The content nodes tell where the article is: the smallest element that holds all of
+them, widened to the ``article`` or ``main`` around it. Where that is the whole page, it
+is the deepest element that holds most of their weight, each part of the page that holds
+any, and what stands between the first and the last. All text in there is returned but
+what is no part of an article wherever it stands:
 navigation, headers and footers of the page, asides, forms, scripts, adverts, notices
 and comments, known by element, role or the words of class and id, and lists of links.
 
@@ -36,7 +38,7 @@ from .arrow import with_columns
 
 SMOOTHING = (0.25, 0.5, 0.25)       # Gaussian window over neighbouring nodes
 THRESHOLD = 0.8                     # of the spread of fused ratios
-MOST = 0.75                         # of the content's weight, for an element to hold it
+MOST = 0.75                         # of the content's weight, for an element of the whole page to hold it
 
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +49,7 @@ BLOCKS = frozenset(
     "summary dialog center hgroup search select optgroup option button label object video audio canvas head".split())
 NEVER = frozenset("nav footer aside form fieldset select button dialog menu object video audio canvas head search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WHOLE = frozenset("body html #root".split())
 CLOSES_P = BLOCKS - frozenset("select optgroup option button label object video audio canvas".split())
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
             "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
@@ -196,24 +199,32 @@ def ratios(page: Page) -> np.ndarray:
     return length * (1.0 + smooth((np.bincount(kind, marks) / n)[kind]))
 
 
-def region(page: Page, content: np.ndarray) -> int:
-    """The element that holds the article, given which text nodes are content."""
+def region(page: Page, content: np.ndarray) -> list[bool]:
+    """Whether each element belongs to the article, given which text nodes are content."""
     weight = np.zeros(len(page.tag))
     for e, t, c in zip(page.owner, page.texts, content):
         if c:
             weight[e] += len(t)
     for e in range(len(weight) - 1, 0, -1):                       # parents come before children
         weight[page.parent[e]] += weight[e]
-    most = np.flatnonzero(weight >= MOST * weight[0])
-    at = int(most[-1])                                            # nested, so the last is the deepest
+    around = lambda share: _widened(page, int(np.flatnonzero(weight >= share * weight[0])[-1]))
+    home = around(1.0)                                            # nested, so the last is the deepest
+    inside = [False] * len(page.tag)
+    most = around(MOST)
+    for e in range(len(inside)):
+        part = page.tag[home] in WHOLE and e > 0 and page.parent[e] == home and weight[e] > 0
+        inside[e] = e == most or part or e == home and page.tag[e] not in WHOLE or (e > 0 and inside[page.parent[e]])
+    return inside
+
+
+def _widened(page: Page, at: int) -> int:
+    """The ``article`` or ``main`` around an element, else the nearest element that can hold an article."""
     up = at
     while up and page.tag[up] not in ("article", "main"):
         up = page.parent[up]
     if up:
         return up
-    if page.tag[at] in ("section", "div", "body", "html", "#root"):
-        return at
-    while page.tag[at] not in ("section", "div", "body", "html", "#root"):
+    while page.tag[at] not in ("section", "div") and page.tag[at] not in WHOLE:
         at = page.parent[at]
     return at
 
@@ -227,13 +238,11 @@ def main_text(html: str | None) -> str:
         return ""
     fused = ratios(page)
     content = fused >= min(THRESHOLD * fused.std(), fused.max())
-    home = region(page, content)
-    inside = [False] * len(page.tag)
-    for e in range(len(inside)):
-        inside[e] = e == home or (e > 0 and inside[page.parent[e]])
+    inside = region(page, content)
+    chosen = np.flatnonzero(content)
     blocks: dict[int, list[int]] = {}
     for i, e in enumerate(page.owner):
-        if inside[e]:
+        if inside[e] or chosen[0] <= i <= chosen[-1]:
             blocks.setdefault(page.block[i], []).append(i)
     out = []
     for nodes in blocks.values():

@@ -257,3 +257,15 @@ def test_extract_edges(spark):
     assert sorted(out.columns) == ["html", "page_id", "text"] and out.count() == 6
     assert {r.text for r in out.where("page_id = 1").collect()} == {""}
     assert tag_paths.extract(df.limit(0)).count() == 0
+
+
+LONG_TEXT = "A sentence, with some words and marks; it goes on. " * 4
+
+
+@pytest.mark.parametrize("page", [
+    "<div>Site</div><div id=post><section><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></section><section><h2>More</h2><p>{0}</p></section></div>",
+    "<body><div>Site</div><article><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></article><article><h2>More</h2><p>{0}</p></article></body>",
+    "<body><div>Site</div><div><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></div><div><h2>More</h2><p>{0}</p></div></body>"])
+def test_main_text_of_sibling_parts_is_whole(page):
+    got = tag_paths.main_text(page.format(LONG_TEXT)).split("\n")
+    assert got[-2:] == ["More", LONG_TEXT.strip()] and got.count(LONG_TEXT.strip()) == 5
