@@ -12,12 +12,15 @@ is the deepest element that holds most of their weight, each part of the page th
 any, and what stands between the first and the last. All text in there is returned but
 what is no part of an article wherever it stands:
 navigation, headers and footers of the page, asides, forms, scripts, adverts, notices
-and comments, known by element, role or the words of class and id, and lists of links.
+and comments, known by element, role or the words of class and id, and lists of links
+whose path the ratios reject. In an ``article`` or ``main`` a word that may name a subject
+or a part of the article is no mark.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed in page order. ``br`` is white space.
 
-If that leaves nothing, as when a form spans the page, the marks are not heeded.
+If that leaves nothing, forms and marked elements that wrap parts of a page are not left
+out; what is no part of an article in them still is.
 
 Cases: null, empty and text-free pages give ''; text without any markup is one block;
 unclosed and crossing tags are closed as their parent or a sibling demands; a comment,
@@ -65,6 +68,12 @@ MARKS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations toolbar pagination pager skip".split())
 UNMARKED = frozenset("has with without no".split())       # 'has-sidebar' says something about a page's layout
+# Marks that may also name the subject or a part of an article.
+TOPICAL = frozenset("header banner menu menus navigation notice notices notification alert related recommended recommendations "
+                    "social share sharing subscription promotion reply replies respond consent cookie cookies".split())
+PARTS = frozenset("entry post article story section content".split())     # 'entry-header' is a header of an article
+WRAPS = frozenset("article main section header footer nav aside h1 form".split())     # stand in wrappers, not in adverts
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promos".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…·'\"«»()、。，；：！？؟،।-]")
 
@@ -78,15 +87,18 @@ class Page:
     """The block elements and text nodes of a page, in page order."""
 
     def __init__(self, html: str, strict: bool = True):
-        self.strict = strict                 # leave out what is marked, not only what can't be text
-        # elements: parent, tag, tag path, left out
+        self.strict = strict                 # leave out forms and wrappers, too
+        # elements: parent, tag, tag path, left out, in an article, left out unless they wrap
         self.parent, self.tag, self.path, self.out = [0], ["#root"], [0], [False]
+        self.within, self.perhaps = [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.texts: list[str] = []
         self.owner: list[int] = []           # element of each text node
         self.block: list[int] = []           # number of its block
         self.linked: list[bool] = []
         self._read(html)
+        if not strict:
+            self._drop_unless_wrapping()
 
     def _read(self, html: str) -> None:
         stack, count = [0], {}
@@ -140,7 +152,9 @@ class Page:
             self.parent.append(up)
             self.tag.append(name)
             self.path.append(self.paths.setdefault((self.path[up], name), len(self.paths) + 1))
-            self.out.append(self.out[up] or self._left_out(name, attributes, stack))
+            self.within.append(self.within[up] or name in ("article", "main"))
+            self.perhaps.append(False)
+            self.out.append(self.out[up] or self._left_out(name, attributes, self.within[up]))
             stack.append(len(self.tag) - 1)
             count[name] = count.get(name, 0) + 1
 
@@ -158,12 +172,10 @@ class Page:
             if tag in until:
                 return
 
-    def _left_out(self, name: str, attributes: str, stack: list[int]) -> bool:
-        if not self.strict:
-            return name == "head"
+    def _left_out(self, name: str, attributes: str, within: bool) -> bool:
         if name in NEVER:
-            return True
-        if name == "header" and not any(self.tag[e] in ("article", "main") for e in stack[-8:]):
+            return self.strict or name not in ("form", "fieldset")
+        if name == "header" and not within:
             return True
         if not attributes or name in ("html", "body"):
             return False
@@ -173,14 +185,33 @@ class Page:
             key, value = key.lower(), "".join(values)
             if key == "style" and _hidden.search(value) or key == "aria-hidden" and value.lower() == "true":
                 return True
-            if key == "role" and value.lower() in ROLES:
+            if key == "role" and value.lower() in ROLES and (self.strict or value.lower() != "form"):
                 return True
             if key in ("class", "id"):
                 words = {w.lower() for w in _word.findall(value)}
-                if words & (COMMENTS if name in ("article", "main", "header") else MARKS) and not words & UNMARKED:
-                    return True
+                marks = words & (COMMENTS if name in ("article", "main", "header") else MARKS)
+                if name not in ("article", "main", "header"):
+                    if within:
+                        marks -= TOPICAL
+                    if words & PARTS:
+                        marks -= {"header"}
+                if marks and not words & UNMARKED:
+                    if self.strict or marks & ADVERTS:
+                        return True
+                    self.perhaps[-1] = True
         return False
 
+    def _drop_unless_wrapping(self) -> None:
+        """Leave out the text of marked elements that hold no part of a page."""
+        wraps = [False] * len(self.tag)
+        for e in range(len(wraps) - 1, 0, -1):                    # parents come before children
+            wraps[self.parent[e]] |= wraps[e] or self.tag[e] in WRAPS and not self.out[e]
+        for e in range(1, len(wraps)):
+            self.out[e] |= self.out[self.parent[e]] or self.perhaps[e] and not wraps[e]
+        kept = [i for i, e in enumerate(self.owner) if not self.out[e]]
+        for column in ("texts", "owner", "block", "linked"):
+            setattr(self, column, [getattr(self, column)[i] for i in kept])
+
     def _add(self, text: str, owner: int, block: int, linked: bool) -> None:
         self.texts.append(unescape(text))
         self.owner.append(owner)
@@ -240,13 +271,14 @@ def main_text(html: str | None) -> str:
     content = fused >= min(THRESHOLD * fused.std(), fused.max())
     inside = region(page, content)
     chosen = np.flatnonzero(content)
+    read = {page.path[page.owner[i]] for i in chosen}             # the paths that the ratios do not reject
     blocks: dict[int, list[int]] = {}
     for i, e in enumerate(page.owner):
         if inside[e] or chosen[0] <= i <= chosen[-1]:
             blocks.setdefault(page.block[i], []).append(i)
     out = []
     for nodes in blocks.values():
-        if page.tag[page.owner[nodes[0]]] in ("li", "ul", "ol") and all(page.linked[i] or page.texts[i].isspace() for i in nodes):
+        if page.path[page.owner[nodes[0]]] not in read and page.tag[page.owner[nodes[0]]] in ("li", "ul", "ol") and all(page.linked[i] or page.texts[i].isspace() for i in nodes):
             continue                                              # a menu
         text = " ".join("".join([page.texts[i] for i in nodes]).split())
         if text:

@@ -269,3 +269,18 @@ LONG_TEXT = "A sentence, with some words and marks; it goes on. " * 4
 def test_main_text_of_sibling_parts_is_whole(page):
     got = tag_paths.main_text(page.format(LONG_TEXT)).split("\n")
     assert got[-2:] == ["More", LONG_TEXT.strip()] and got.count(LONG_TEXT.strip()) == 5
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>{0}</p><h2>Sources</h2><ol><li><a href=x>{0}</a></li><li><a href=y>{0}</a></li></ol></article>",
+     ["{0}", "Sources", "{0}", "{0}"]),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>{0}</p><section id='related-work'><p>{0}</p></section></article>",
+     ["Title", "{0}", "{0}"]),
+    ("<div id=post><div class='post-header'><h1>Title</h1></div><p>{0}</p></div>", ["Title", "{0}"]),
+    ("<article>" + "<div>" * 12 + "<header><h1>Title</h1></header><p>{0}</p>" + "</div>" * 12 + "</article>", ["Title", "{0}"]),
+    ("<body><nav><a href=x>Home</a></nav><div class=advert><p>{0}</p></div><footer>{0}</footer></body>", []),
+    ("<body><nav>Home</nav><div class='sidebar'><p>{0}</p></div></body>", []),
+    ("<body><div class='sidebar-layout'><nav>Home</nav><section><p>{0}</p></section></div></body>", ["{0}"]),
+    ("<body><nav>Home</nav><form><p>{0}</p></form></body>", ["{0}"])])
+def test_main_text_keeps_parts_of_articles_and_only_these(page, want):
+    assert tag_paths.main_text(page.format(LONG_TEXT)) == "\n".join(want).format(LONG_TEXT.strip())
