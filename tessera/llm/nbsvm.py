@@ -3,7 +3,8 @@
 A text is a set of hashed n-grams (indicators): its tokens and pairs of tokens as
 written, the shapes of tokens and pairs of shapes (capitals, small letters, digits and
 marks, runs shortened), and runs of four flags that tell whether neighbouring tokens
-are equal. Each indicator is scaled by the log ratio of its smoothed shares in the two classes, the vector brought to length
+are equal. A token of more than ``PIECE`` characters, as in text without spaces, counts as
+its pieces of that many. Each indicator is scaled by the log ratio of its smoothed shares in the two classes, the vector brought to length
 1, and a linear model with hinge loss is fitted by dual coordinate descent. Margins of
 texts kept from that fit are turned into probabilities by a logistic curve.
 
@@ -35,6 +36,7 @@ PER_CLASS = 3000          # labelled texts of each class to fit on, about
 BUCKETS = 1 << 18
 MIN_TEXTS = 3             # an n-gram of fewer sampled texts says nothing
 KEPT_TOKENS = 400_000
+PIECE = 64                # characters
 EPOCHS = 20
 COST = 1.0                # of a violated margin, shared out evenly between the classes
 CALIBRATED = 4            # every so-manieth sampled text is kept for the logistic curve
@@ -42,7 +44,7 @@ CALIBRATED = 4            # every so-manieth sampled text is kept for the logist
 
 def shape(token: str) -> str:
     """'Hello,' -> 'Xx,'; 'NO!!' -> 'X!!'; a run of one kind is shortened to two at most."""
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64])
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token)
     out = re.sub(r"X+", "X", re.sub(r"x+", "x", re.sub(r"9+", "9", kinds)))
     return re.sub(r"(.)\1{2,}", r"\1\1\1", out)
 
@@ -67,6 +69,8 @@ class Grams:
         tokens = (text or "").split()
         if not tokens:
             return np.zeros(0, np.int32)
+        if max(map(len, tokens)) > PIECE:
+            tokens = [t[i:i + PIECE] for t in tokens for i in range(0, len(t), PIECE)]
         if len(self.rows) > KEPT_TOKENS:
             self.rows.clear()
         get, add = self.rows.get, self._row

@@ -245,3 +245,13 @@ def test_stages_take_odd_rows(spark, edge, none, small_dir, monkeypatch):
 def test_every_operator_has_one_query():
     names = sorted(k for k in E.queries() if k.startswith("op") and k[2].isdigit())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_quality_reads_tokens_past_64_characters():
+    start, plain, marked = "日本語の文章です。" * 9, "続きの文です。" * 12, "!?12!?Ab" * 12
+    of = lambda text: set(nbsvm.Grams().of(text).tolist())
+    ends = of(marked[:nbsvm.PIECE])
+    assert nbsvm.shape("a" * 64 + "9!") == "x9!"
+    for text in (start + marked, start[:nbsvm.PIECE] + marked):
+        assert len(of(text) - of(text[:nbsvm.PIECE] + plain)) > 2
+    assert len(of(start[:nbsvm.PIECE] + marked) & ends) >= 2
