@@ -10,9 +10,10 @@ Learning counts n-grams of a bounded sample of labelled texts, at most about
 ``MAX_TEXTS`` of each language, chosen by a hash of the text's id; the counts are summed
 by Spark and the model (languages x ``BUCKETS`` numbers) is sent to every task.
 
-Viterbi is exact. Where no stretch of words gains more than the penalty by any other
-language than the best single one, the best path doesn't change language; this is seen
-from running sums, and only other texts are walked through word by word.
+Viterbi is exact. Where no stretch of words gains half the penalty by any other language
+than the best single one, the best path doesn't change language, as a path has at most
+two such stretches for its first change and one for each further; this is seen from
+running sums, and only other texts are walked through word by word.
 
 Cases: a null text and one without a letter are ``und`` with score 0, as is every text
 if nothing could be learned; words in a script that no language was seen in count for
@@ -148,7 +149,7 @@ class Model:
         best = int(s.sum(axis=0).argmax())
         gain = np.cumsum(s - s[:, [best]], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros(s.shape[1]), gain[:-1]]), axis=0)
-        if (gain - low).max(initial=0.0) <= PENALTY:
+        if (gain - low).max(initial=0.0) < PENALTY / 2:
             return np.full(len(rows), best)
         value = s[0].tolist()
         back: list[list[int]] = []

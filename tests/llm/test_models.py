@@ -255,3 +255,9 @@ def test_quality_reads_tokens_past_64_characters():
     for text in (start + marked, start[:nbsvm.PIECE] + marked):
         assert len(of(text) - of(text[:nbsvm.PIECE] + plain)) > 2
     assert len(of(start[:nbsvm.PIECE] + marked) & ends) >= 2
+
+
+def test_viterbi_pays_one_penalty_for_two_gains():
+    m = langid.Model(["a", "b", "c"], np.zeros((langid.BUCKETS + 1, 3), np.float32), np.ones((len(langid.NAMES), 3), bool))
+    m.scores = np.array([[0.0, -28.0, -13.0], [-28.0, 0.0, -13.0]])
+    assert m.path(np.arange(2)).tolist() == [0, 1]
