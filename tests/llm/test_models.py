@@ -261,3 +261,9 @@ def test_viterbi_pays_one_penalty_for_two_gains():
     m = langid.Model(["a", "b", "c"], np.zeros((langid.BUCKETS + 1, 3), np.float32), np.ones((len(langid.NAMES), 3), bool))
     m.scores = np.array([[0.0, -28.0, -13.0], [-28.0, 0.0, -13.0]])
     assert m.path(np.arange(2)).tolist() == [0, 1]
+
+
+def test_fitting_samples_are_as_documented():
+    import pathlib
+    readme = (pathlib.Path(__file__).parents[2] / "README.md").read_text()
+    assert f"at most about {toxicity_cnn.PER_CLASS:,} and {nbsvm.PER_CLASS:,} labelled texts of each class" in readme
