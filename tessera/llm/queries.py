@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.tables import table
-from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, tag_paths, toxicity_cnn, unigram_counts
+from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, tag_paths, toxicity_cnn, unigram_counts, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +107,26 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.digests(bpe_codec.encode(docs, WORD_BPE, decoded="decoded"))
+
+
+#: Letters of Western European words.
+LETTERS = "[A-Za-z\u00C0-\u00FF]+"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def misspelt_runs(docs: DataFrame) -> DataFrame:
+    """(run): the runs of letters of every text in lower case; one in 97, by the crc32 of
+    `<doc_id>:<run>` (null id: ''), lacks one letter."""
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(
+        F.regexp_extract_all(F.translate("text", CAPITALS, SMALL), F.lit(LETTERS), F.lit(0))).alias("run"))
+    drawn = runs.withColumn("h", F.crc32(F.concat_ws(":", "id", "run")))
+    at = F.pmod("h", F.length("run")).cast("int")
+    shorter = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
+    return drawn.select(F.when(F.col("h") % 97 == 0, shorter).otherwise(F.col("run")).alias("run"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least 5 letters and 3 occurrences with its form and root."""
+    runs = misspelt_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return variants.group(materialize(variants.count_words(runs, "run", 5, 3), "words"))

@@ -1,0 +1,98 @@
+"""Spelling variants, collocations and quality rules: against brute force."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import queries, variants
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+# ---- operator 11
+
+def words_slowly(docs):
+    n = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            n[run] += 1
+    return {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+
+
+def groups_slowly(n):
+    by_length = defaultdict(list)
+    for w in n:
+        by_length[len(w)].append(w)
+    near = {w: [v for k in (-1, 0, 1) for v in by_length.get(len(w) + k, []) if one_edit(w, v)] for w in n}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.add((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
+
+
+def as_set(df):
+    rows = [tuple(r) for r in df.select("word", "form", "root", "n", "n_near", "form_n").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_op11_against_brute_force(spark, small_dir, documents):
+    got = queries.QUERIES["op11_spelling_variants"](spark, small_dir)
+    assert [t for _, t in got.dtypes] == ["string"] * 3 + ["bigint"] * 3
+    want = groups_slowly(words_slowly([(r.doc_id, r.text) for r in documents.collect()]))
+    assert as_set(got) == want
+    assert sum(w[1] is not None for w in want) > 20
+
+
+@pytest.mark.parametrize("crowd", [1, 3, variants.CROWD])
+def test_op11_no_near_pair_is_missed(spark, crowd):
+    rnd = random.Random(5)
+    n = {}
+    for _ in range(700):                                     # few letters: anagrams, repeats, crowded signatures
+        n["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 7)))] = rnd.randint(1, 40)
+    for w in ["\U0001F600bcde", "\U0001F601bcde", "bcde", "x" * 400, "x" * 401, "x" * 399 + "y"]:
+        n[w] = rnd.randint(1, 40)
+    words = spark.createDataFrame(list(n.items()), "word string, n int")
+    assert as_set(variants.group(words, crowd=crowd)) == groups_slowly(n)
+
+
+def test_op11_chains_and_ties(spark):
+    chain = {"aaaaaaa" + "b" * i: 3 ** i for i in range(1, 9)}
+    chain |= {"ccccc": 4, "ccccd": 8, "cccce": 8}            # a tie goes to the first in code point order
+    got = {r.word: (r.form, r.root) for r in variants.group(spark.createDataFrame(list(chain.items()), "word string, n long")).collect()}
+    assert got["aaaaaaab"][1] == "aaaaaaabbbbbbbb" and got["aaaaaaab"][0] == "aaaaaaabb"
+    assert got["ccccc"] == ("ccccd", "ccccd") and got["cccce"] == (None, "cccce")
+
+
+def test_op11_edge_cases(spark, edge, none):
+    words = variants.count_words(queries.misspelt_runs(edge), "run", 5, 3)
+    assert {r.word: r.n for r in words.collect()} == words_slowly([(r.doc_id, r.text) for r in edge.collect()])
+    assert variants.group(variants.count_words(queries.misspelt_runs(none), "run")).count() == 0
+    assert variants.group(spark.createDataFrame([(None, 4), ("hello", 3), ("", 3)], "word string, n long")).count() == 2
