@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import table
-from . import bpe_codec, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, tag_paths, toxicity_cnn, unigram_counts, variants
+from . import (bpe_codec, collocations, divergence, langid, lcp, nbsvm, one_bit_ann, poisson_mix, simhash, sql, tag_paths, toxicity_cnn,
+               unigram_counts, variants)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +131,25 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of at least 5 letters and 3 occurrences with its form and root."""
     runs = misspelt_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return variants.group(materialize(variants.count_words(runs, "run", 5, 3), "words"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best-scoring phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+ORACLE["op12_collocations"] = sql.COLLOCATIONS
+
+
+@query
+def op13_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances from the language's reference and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = divergence.judge(docs, divergence.references(docs))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         F.round("words_apart", 6).alias("words_apart"), F.round("chars_apart", 6).alias("chars_apart"), "kept")
+
+
+ORACLE["op13_divergence_rules"] = sql.DIVERGENCE_RULES.replace("WORDS_LIMIT", repr(divergence.WORDS_APART)) \
+    .replace("CHARS_LIMIT", repr(divergence.CHARS_APART)).replace("CHANCE", repr(divergence.CHANCE))

@@ -1,14 +1,18 @@
 """Spelling variants, collocations and quality rules: against brute force."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import queries, variants
+from tests.oracle_check import compare, duck
+from tessera.llm import collocations, divergence, queries, variants
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -96,3 +100,184 @@ def test_op11_edge_cases(spark, edge, none):
     assert {r.word: r.n for r in words.collect()} == words_slowly([(r.doc_id, r.text) for r in edge.collect()])
     assert variants.group(variants.count_words(queries.misspelt_runs(none), "run")).count() == 0
     assert variants.group(spark.createDataFrame([(None, 4), ("hello", 3), ("", 3)], "word string, n long")).count() == 2
+
+
+# ---- operator 12
+
+def phrases_slowly(docs, least, longest):
+    n, f = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        n[lang] += 0
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            n[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i:i + k])] += 1
+    return n, {p: c for p, c in f.items() if c >= least}
+
+
+def collocations_slowly(docs, least, longest, top):
+    n, f = phrases_slowly(docs, least, longest)
+    rows = defaultdict(list)
+    for (lang, p), a in f.items():
+        if len(p) < 2:
+            continue
+        longer = (q for (other, q), b in f.items() if other == lang and len(q) > len(p) and 100 * b >= 100 * a)
+        if any(q[i:i + len(p)] == p for q in longer for i in range(len(q) - len(p) + 1)):
+            continue
+        cuts = [(1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        rows[lang].append((score, a, " ".join(p), f[lang, p[:k]], f[lang, p[k:]]))
+    out = []
+    for lang, found in rows.items():
+        found.sort(key=lambda r: (-r[0], -r[1], r[2].encode()))
+        out += [(lang, i + 1, p, a, left, right, n[lang], score) for i, (score, a, p, left, right) in enumerate(found[:top])]
+    return sorted(out)
+
+
+def prose(seed, rows):
+    rnd = random.Random(seed)
+    words = ["a", "be", "Of", "the", "é", "日本", "x" * 40, "no", "b\x1cc", "word"]
+    marks = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "!? ", "\r\n"]
+    text = lambda: "".join(rnd.choice(words[:3 + rnd.randint(0, 7)]) + rnd.choice(marks) for _ in range(rnd.randint(0, 60)))
+    return [(text(), rnd.choice(["en", "de", None, "und"])) for _ in range(rows)] + [(None, "en"), ("", None), ("...", "xx")]
+
+
+@pytest.mark.parametrize("least,longest,top", [(3, 5, 2000), (8, 3, 10), (1, 2, 50)])
+def test_op12_against_brute_force(spark, least, longest, top):
+    docs = prose(least, 90)
+    got = collocations.collocations(spark.createDataFrame(docs, "text string, lang string"), least, longest, top)
+    assert sorted(tuple(r) for r in got.collect()) == collocations_slowly(docs, least, longest, top)
+
+
+def test_op12_verifies_colliding_fingerprints(monkeypatch):
+    """With a polynomial that gives all words and phrases one fingerprint, counts still go by text."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["the cat sat, the cat ran", "a cat the cat", "the cat"]), pa.array(["en", "en", "de"])],
+                                       names=["text", "lang"])
+    monkeypatch.setattr(collocations, "LETTERS", np.zeros(256, np.uint64))
+    monkeypatch.setattr(collocations, "_text_hash", lambda text: 0)
+    block = collocations.Block(batch)
+    assert len(set(block.word.tolist())) == 1
+    kind, texts = block.classes()
+    assert [texts[k] for k in kind] == "the cat sat the cat ran a cat the cat the cat".split()
+    full = np.full(16, (1 << 64) - 1, np.uint64)
+
+    class Kept:
+        value = {k: full for k in range(1, 3)}
+    rows = {tuple(r.values())[:3]: r["n"] for b in collocations._spell(2, Kept, [batch]) for r in b.to_pylist()}
+    n, f = phrases_slowly([("the cat sat, the cat ran", "en"), ("a cat the cat", "en"), ("the cat", "de")], 1, 2)
+    assert rows == {(lang, len(p), " ".join(p)): c for (lang, p), c in f.items()} | {(lang, 0, ""): c for lang, c in n.items()}
+
+
+def test_op12_bitmap_holds_what_was_put_in(spark):
+    rnd = random.Random(1)
+    keys = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)] + [-1, 0, 1, (1 << 63) - 1, -(1 << 63)]
+    bits = collocations.bitmap(spark.createDataFrame([(k,) for k in keys], "fp long"))
+    assert collocations.has(bits, np.array(keys, np.int64).view(np.uint64)).all()
+    others = np.array([rnd.getrandbits(64) for _ in range(10_000)], np.uint64)
+    assert collocations.has(bits, others).mean() < 0.1
+
+
+def test_op12_exact_beyond_64_bits(spark):
+    big = 9 * 10 ** 14
+    found = [("en", 0, "", 9 * big), ("en", 1, "a", 3 * big), ("en", 1, "b", 2 * big), ("en", 2, "a b", big)]
+    got = collocations.scored(spark.createDataFrame(found, "lang string, words int, phrase string, n long")).first()
+    assert got.score == 1000 * big * 9 * big // (3 * big * 2 * big)
+
+
+def test_op12_edge_cases(spark, edge, none):
+    got = sorted(tuple(r) for r in collocations.collocations(edge, 2, 5, 2000).collect())
+    assert got == collocations_slowly([(r.text, r.lang) for r in edge.collect()], 2, 5, 2000)
+    assert collocations.collocations(none).count() == 0
+
+
+# ---- operator 13
+
+def repeated_slowly(words):
+    seen = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    return len({i + j for i in range(len(words) - 2) if seen[tuple(words[i:i + 3])] > 1 for j in range(3)})
+
+
+def measures_slowly(text):
+    text = text or ""
+    words = [w for w in re.split("[ \t-\r]+", text) if w]
+    lines = [x for x in text.split("\n") if re.search("[^ \t-\r]", x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeated_slowly(words))
+
+
+def jsd(a, b):
+    if not sum(a) or not sum(b):
+        return None
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    part = lambda u, v: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(u, v) if x)
+    return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def test_op13_measures_against_brute_force(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["a", "b", "c", "é", "#", "日", " ", " ", " ", "\n", "\t", "\x0b", "<|"]) for _ in range(rnd.randint(0, 200)))
+             for _ in range(300)] + [None, "", "\n\n", "a a a", "a a a a", "x\nx\ny\n x\nx", "one two three", "a b c a b c"]
+    got = divergence.measures(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).collect()
+    assert [tuple(r[m] for m in MEASURES) for r in sorted(got, key=lambda r: r.i)] == [measures_slowly(t) for t in texts]
+
+
+@pytest.mark.parametrize("bits", [2, 4, 60])                # places that do not fit; windows that share a hash
+def test_op13_repeated_words_whatever_the_hashes_do(spark, monkeypatch, bits):
+    rnd = random.Random(bits)
+    texts = [[rnd.choice("abcd") for _ in range(n % 40)] for n in range(120)]
+    monkeypatch.setattr(divergence, "PLACE_BITS", bits)
+    df = spark.createDataFrame([(t,) for t in texts], "w array<string>").select(divergence.repeated_words(F.col("w")).alias("n"))
+    assert [r.n for r in df.collect()] == [repeated_slowly(t) for t in texts]
+
+
+def test_op13_distance(spark):
+    rnd = random.Random(4)
+    pairs = [([rnd.randint(0, 5) for _ in range(6)], [rnd.randint(0, 9) for _ in range(6)]) for _ in range(60)]
+    pairs += [([0] * 6, [1] * 6), ([1, 0], [0, 1]), ([2, 4], [1, 2])]
+    got = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(divergence.distance(F.col("a"), F.col("b")).alias("d"))
+    for r, (a, b) in zip(got.collect(), pairs):
+        assert r.d == pytest.approx(jsd(a, b), abs=1e-9) if jsd(a, b) is not None else r.d is None
+
+
+def test_op13_rejects_noise_and_keeps_clean_texts(spark, small_dir, documents, labels):
+    got = queries.QUERIES["op13_divergence_rules"](spark, small_dir).join(labels, "doc_id").collect()
+    clean = [r for r in got if r.quality == 1 and not r.base_failed]
+    noise = [r for r in got if r.quality == 0]
+    assert all(r.kept for r in clean) and not any(r.kept for r in noise if r.n_words >= 100)
+    rows = {r.doc_id: r.text for r in documents.collect()}
+    assert all(tuple(r[m] for m in MEASURES) == measures_slowly(rows[r.doc_id]) for r in got)
+
+
+def test_op13_copies_do_not_make_a_reference(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("alpha beta gamma delta of the and".split())
+    plain = [(i, " ".join(word() for _ in range(120)), "en") for i in range(40)]
+    copies = [(100 + i, "## $$ %% && " * 60, "en") for i in range(60)]
+    refs = divergence.references(spark.createDataFrame(plain + copies, "doc_id long, text string, lang string"))
+    assert sorted(refs.first().common) == sorted("alpha beta gamma delta of the and".split())
+
+
+def test_op13_edge_cases(spark, edge, none):
+    refs = divergence.references(edge)
+    got = divergence.judge(edge, refs)
+    assert set(edge.columns) <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == edge.count()
+    assert all(tuple(r[m] for m in MEASURES) == measures_slowly(r.text) for r in rows)
+    assert all(r.base_failed and not r.kept for r in rows if not r.text)
+    assert divergence.judge(none, divergence.references(none)).count() == 0
+    assert divergence.judge(edge, divergence.references(none)).count() == len(rows)
+    assert divergence.filtered(edge).columns == edge.columns
+
+
+@pytest.mark.parametrize("key", ["op12_collocations", "op13_divergence_rules"])
+def test_words_equal_duckdb(spark, small_dir, key):
+    df = queries.QUERIES[key](spark, small_dir)
+    sql = duck(small_dir).execute(queries.ORACLE[key])
+    ok, why = compare([tuple(r) for r in df.collect()], df.columns, sql.fetchall(), [d[0] for d in sql.description])
+    assert ok, why
