@@ -23,7 +23,7 @@ language's list is cut in ``SALTS`` shares before it is put together.
 
 Cases: null text is empty; null languages are ``und``; empty and repeated rows count as
 they stand; an empty table gives no rows; ties in score and count go by the phrase's
-bytes. Blocks hold about 4 MB of text or one longer text. Other columns are not read.
+bytes. Blocks hold about 0.5 MB of text or one longer text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .arrow import slices
 
+BLOCK_BYTES = 1 << 19    # of text read at once (or one longer text)
 MAX_BITS = 27            # size of the bitmap of kept fingerprints, as a power of two
 SALTS = 64
 UNKNOWN = "und"
@@ -69,7 +70,7 @@ LETTERS = mixed(np.arange(1, 257))       # a random number for each byte
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64."""
     if len(_powers.get(base, ())) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         _powers[base] = np.cumprod(p, dtype=np.uint64)
     return _powers[base][:n]
@@ -165,7 +166,7 @@ def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _blocks(batches):
     for b in batches:
-        for part in slices(b, 0):
+        for part in slices(b, 0, BLOCK_BYTES):
             yield Block(part)
 
 
