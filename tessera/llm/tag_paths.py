@@ -1,27 +1,26 @@
 """Main text of web pages by tag-path ratios (operator 2).
 
-A page is read as a tree of block elements (inline markup is transparent). Every text
-node has the tag path from the root to its block. Text length and punctuation are
-summed per path and divided by its number of nodes; both ratios are smoothed over
-neighbouring nodes in page order with a Gaussian window and multiplied; nodes whose
-fused ratio reaches a threshold (the spread of the ratios) are content.
-
-The content nodes tell where the article is: the smallest element that holds all of
-them, widened to the ``article`` or ``main`` around it. Where that is the whole page, it
-is the deepest element that holds most of their weight, each part of the page that holds
-any, and what stands between the first and the last. All text in there is returned but
-what is no part of an article wherever it stands:
-navigation, headers and footers of the page, asides, forms, scripts, adverts, notices
-and comments, known by element, role or the words of class and id, and lists of links
-whose path the ratios reject. In an ``article`` or ``main`` a word that may name a subject
-or a part of the article is no mark.
+A page is read as a tree of block elements (inline markup is transparent). Every text block
+has the tag path from the root to its element. Text length and punctuation are summed per
+path and divided by its number of blocks; both ratios are smoothed over neighbouring blocks
+in page order with a Gaussian window and multiplied, and by a factor for marks. A path is
+content if the mean over its blocks reaches the threshold: a share of the spread of the ratios, and a share of their mean weighted by text.
+
+Marks are the words of class and id that name adverts, comments, menus and the like. They
+only lower a ratio: for adverts, comments and, outside ``article`` and ``main``, all marks so
+far that a marked path passes just beside next to nothing else; inside, names made of such
+words alone halve it and others count nothing. A mark on an element that wraps parts of a page counts
+nothing, but for adverts and comments. Navigation, headers and footers of the page, asides,
+forms, scripts and hidden elements are left out by element, role and attribute.
+
+What is written are the blocks of content paths and, of the other unmarked blocks, those that
+belong to them: blocks in an ``article`` or ``main`` or in the same container as content
+(between content if that is the whole page), and headings right before content; but no
+lists of links. If that gives nothing, forms are read, too, as when one spans the page.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed in page order. ``br`` is white space.
 
-If that leaves nothing, forms and marked elements that wrap parts of a page are not left
-out; what is no part of an article in them still is.
-
 Cases: null, empty and text-free pages give ''; text without any markup is one block;
 unclosed and crossing tags are closed as their parent or a sibling demands; a comment,
 script or tag that never ends reaches to the end of the page. Work is per row and
@@ -39,9 +38,11 @@ from pyspark.sql import types as T
 
 from .arrow import with_columns
 
-SMOOTHING = (0.25, 0.5, 0.25)       # Gaussian window over neighbouring nodes
-THRESHOLD = 0.8                     # of the spread of fused ratios
-MOST = 0.75                         # of the content's weight, for an element of the whole page to hold it
+SMOOTHING = (0.1, 0.8, 0.1)         # Gaussian window over neighbouring blocks
+SPREAD = 0.8                        # a content path's score is at least so much of the spread of the ratios,
+SHARE = 0.2                         # and of their mean weighted by text
+MARKED, HALF = 0.02, 0.5            # factors for marks outside and inside articles
+ADVERT = 0.01                       # for adverts and comments
 
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +54,7 @@ BLOCKS = frozenset(
 NEVER = frozenset("nav footer aside form fieldset select button dialog menu object video audio canvas head search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("body html #root".split())
+PLACES = WHOLE | frozenset("div section article main td th center blockquote dialog".split())    # that hold blocks
 CLOSES_P = BLOCKS - frozenset("select optgroup option button label object video audio canvas".split())
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
             "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
@@ -74,7 +76,9 @@ TOPICAL = frozenset("header banner menu menus navigation notice notices notifica
 PARTS = frozenset("entry post article story section content".split())     # 'entry-header' is a header of an article
 WRAPS = frozenset("article main section header footer nav aside h1 form".split())     # stand in wrappers, not in adverts
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promos".split())
-COMMENTS = frozenset("comment comments commentlist reply replies respond".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+# Words that say nothing about what a box holds.
+BOXES = frozenset("list lists area areas section thread box wrapper container form block slot bar".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…·'\"«»()、。，；：！？؟،।-]")
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -84,21 +88,20 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Page:
-    """The block elements and text nodes of a page, in page order."""
+    """The block elements and text blocks of a page, in page order."""
 
-    def __init__(self, html: str, strict: bool = True):
-        self.strict = strict                 # leave out forms and wrappers, too
-        # elements: parent, tag, tag path, left out, in an article, left out unless they wrap
+    def __init__(self, html: str, forms: bool = False):
+        self.forms = forms                   # read forms, too
+        # elements: parent, tag, tag path, left out, in an article or main, own mark
         self.parent, self.tag, self.path, self.out = [0], ["#root"], [0], [False]
-        self.within, self.perhaps = [False], [False]
+        self.within, self.mark = [False], [1.0]
         self.paths: dict[tuple[int, str], int] = {}
         self.texts: list[str] = []
-        self.owner: list[int] = []           # element of each text node
-        self.block: list[int] = []           # number of its block
-        self.linked: list[bool] = []
+        self.owner: list[int] = []           # element of each block
+        self.linked: list[bool] = []         # whether all of its text is in links
+        self._block = -1                     # number of the last one
         self._read(html)
-        if not strict:
-            self._drop_unless_wrapping()
+        self._settle_marks()
 
     def _read(self, html: str) -> None:
         stack, count = [0], {}
@@ -107,11 +110,7 @@ class Page:
             m = _token.search(html, at)
             end = m.start() if m else len(html)
             if end > at and not self.out[stack[-1]]:
-                text = html[at:end]
-                if not text.isspace():
-                    self._add(text, stack[-1], block, links > 0)
-                elif self.texts and self.block[-1] == block:
-                    self.texts[-1] += " "
+                self._add(html[at:end], stack[-1], block, links > 0)
             if not m:
                 return
             at = m.end()
@@ -138,8 +137,8 @@ class Page:
             if name in VOID or name not in BLOCKS:
                 if name == "hr":
                     block += 1
-                elif name == "br" and self.texts and self.block[-1] == block:
-                    self.texts[-1] += " "
+                elif name == "br":
+                    self._add(" ", stack[-1], block, links > 0)
                 elif name == "a":
                     links = 1
                 continue
@@ -153,8 +152,8 @@ class Page:
             self.tag.append(name)
             self.path.append(self.paths.setdefault((self.path[up], name), len(self.paths) + 1))
             self.within.append(self.within[up] or name in ("article", "main"))
-            self.perhaps.append(False)
             self.out.append(self.out[up] or self._left_out(name, attributes, self.within[up]))
+            self.mark.append(self._marked(name, attributes, self.within[up]))
             stack.append(len(self.tag) - 1)
             count[name] = count.get(name, 0) + 1
 
@@ -173,9 +172,7 @@ class Page:
                 return
 
     def _left_out(self, name: str, attributes: str, within: bool) -> bool:
-        if name in NEVER:
-            return self.strict or name not in ("form", "fieldset")
-        if name == "header" and not within:
+        if name in NEVER and not (self.forms and name in ("form", "fieldset")) or name == "header" and not within:
             return True
         if not attributes or name in ("html", "body"):
             return False
@@ -185,105 +182,125 @@ class Page:
             key, value = key.lower(), "".join(values)
             if key == "style" and _hidden.search(value) or key == "aria-hidden" and value.lower() == "true":
                 return True
-            if key == "role" and value.lower() in ROLES and (self.strict or value.lower() != "form"):
+            if key == "role" and value.lower() in ROLES and not (self.forms and value.lower() == "form"):
                 return True
-            if key in ("class", "id"):
-                words = {w.lower() for w in _word.findall(value)}
-                marks = words & (COMMENTS if name in ("article", "main", "header") else MARKS)
-                if name not in ("article", "main", "header"):
-                    if within:
-                        marks -= TOPICAL
-                    if words & PARTS:
-                        marks -= {"header"}
-                if marks and not words & UNMARKED:
-                    if self.strict or marks & ADVERTS:
-                        return True
-                    self.perhaps[-1] = True
         return False
 
-    def _drop_unless_wrapping(self) -> None:
-        """Leave out the text of marked elements that hold no part of a page."""
+    def _marked(self, name: str, attributes: str, within: bool) -> float:
+        """The factor of the words of class and id."""
+        if not attributes or name in ("html", "body"):
+            return 1.0
+        least = 1.0
+        for key, *values in _attribute.findall(attributes):
+            if key.lower() in ("class", "id"):
+                named = [frozenset(w.lower() for w in _word.findall(n)) for n in "".join(values).split()]
+                words = frozenset().union(*named)
+                if words & UNMARKED:
+                    continue
+                only = lambda kinds: any(n & kinds and n <= kinds | BOXES for n in named)  # noqa: B023,E731
+                if name in ("article", "main", "header") or within:
+                    least = min(least, ADVERT if only(ADVERTS) or only(COMMENTS) else
+                                HALF if within and only(MARKS - TOPICAL) else 1.0)
+                elif words & (ADVERTS | COMMENTS):
+                    least = min(least, ADVERT)
+                elif words & (MARKS - {"header"} if words & PARTS else MARKS):
+                    least = min(least, MARKED)
+        return least
+
+    def _settle_marks(self) -> None:
+        """Every element's factor: the least of its own and those around it, but for elements that wrap parts of a page."""
         wraps = [False] * len(self.tag)
         for e in range(len(wraps) - 1, 0, -1):                    # parents come before children
-            wraps[self.parent[e]] |= wraps[e] or self.tag[e] in WRAPS and not self.out[e]
+            wraps[self.parent[e]] |= wraps[e] or self.tag[e] in WRAPS
         for e in range(1, len(wraps)):
-            self.out[e] |= self.out[self.parent[e]] or self.perhaps[e] and not wraps[e]
-        kept = [i for i, e in enumerate(self.owner) if not self.out[e]]
-        for column in ("texts", "owner", "block", "linked"):
-            setattr(self, column, [getattr(self, column)[i] for i in kept])
+            if wraps[e] and self.mark[e] in (MARKED, HALF):
+                self.mark[e] = 1.0
+            self.mark[e] = min(self.mark[e], self.mark[self.parent[e]])
 
     def _add(self, text: str, owner: int, block: int, linked: bool) -> None:
-        self.texts.append(unescape(text))
-        self.owner.append(owner)
-        self.block.append(block)
-        self.linked.append(linked)
-
-
-def ratios(page: Page) -> np.ndarray:
-    """The smoothed and fused text and punctuation ratio of each text node's path."""
-    path = np.array([page.path[e] for e in page.owner])
-    size = np.array([len(" ".join(t.split())) for t in page.texts], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for t in page.texts], float)
-    _, kind, n = np.unique(path, return_inverse=True, return_counts=True)
+        blank = text.isspace()
+        if block == self._block:
+            self.texts[-1] += text
+            self.linked[-1] &= linked or blank
+        elif not blank:
+            self._block = block
+            self.texts.append(text)
+            self.owner.append(owner)
+            self.linked.append(linked)
+
+    def decoded(self) -> list[str]:
+        """The blocks' texts."""
+        return [" ".join(unescape(t).split()) for t in self.texts]
+
+
+def ratios(page: Page, texts: list[str]) -> np.ndarray:
+    """The smoothed and fused text and punctuation ratio of each block, times the factor of its marks."""
+    kind = _kinds(page)
+    size = np.array([len(t) for t in texts], float)
+    marks = np.array([len(PUNCTUATION.findall(t)) for t in texts], float)
+    n = np.bincount(kind)
     smooth = lambda x: np.convolve(np.concatenate([x[:1], x, x[-1:]]), SMOOTHING, "valid")
-    length = smooth((np.bincount(kind, size) / n)[kind])
-    return length * (1.0 + smooth((np.bincount(kind, marks) / n)[kind]))
-
-
-def region(page: Page, content: np.ndarray) -> list[bool]:
-    """Whether each element belongs to the article, given which text nodes are content."""
-    weight = np.zeros(len(page.tag))
-    for e, t, c in zip(page.owner, page.texts, content):
-        if c:
-            weight[e] += len(t)
-    for e in range(len(weight) - 1, 0, -1):                       # parents come before children
-        weight[page.parent[e]] += weight[e]
-    around = lambda share: _widened(page, int(np.flatnonzero(weight >= share * weight[0])[-1]))
-    home = around(1.0)                                            # nested, so the last is the deepest
-    inside = [False] * len(page.tag)
-    most = around(MOST)
-    for e in range(len(inside)):
-        part = page.tag[home] in WHOLE and e > 0 and page.parent[e] == home and weight[e] > 0
-        inside[e] = e == most or part or e == home and page.tag[e] not in WHOLE or (e > 0 and inside[page.parent[e]])
-    return inside
-
-
-def _widened(page: Page, at: int) -> int:
-    """The ``article`` or ``main`` around an element, else the nearest element that can hold an article."""
-    up = at
-    while up and page.tag[up] not in ("article", "main"):
-        up = page.parent[up]
-    if up:
-        return up
-    while page.tag[at] not in ("section", "div") and page.tag[at] not in WHOLE:
-        at = page.parent[at]
-    return at
+    factor = np.array([page.mark[e] for e in page.owner])
+    return smooth((np.bincount(kind, size) / n)[kind]) * (1.0 + smooth((np.bincount(kind, marks) / n)[kind])) * factor
+
+
+def _kinds(page: Page) -> np.ndarray:
+    """A number for each block, equal for blocks of one tag path and factor."""
+    known: dict = {}
+    return np.array([known.setdefault((page.path[e], page.mark[e]), len(known)) for e in page.owner])
+
+
+def content(page: Page, texts: list[str], fused: np.ndarray) -> np.ndarray:
+    """Whether each block's path is content: its mean ratio reaches the threshold that the
+    unmarked blocks set."""
+    size = np.array([len(t) for t in texts], float)
+    plain = np.array([page.mark[e] == 1.0 for e in page.owner]) & (size > 0)
+    if not plain.any():
+        return np.zeros(len(texts), bool)
+    threshold = max(SPREAD * fused[plain].std(), SHARE * np.average(fused[plain], weights=size[plain]))
+    kind = _kinds(page)
+    score = (np.bincount(kind, fused) / np.bincount(kind))[kind]
+    return (score >= min(threshold, score[plain].max())) & (size > 0)
+
+
+def belonging(page: Page, chosen: np.ndarray) -> np.ndarray:
+    """Whether each block is written, given those on content paths."""
+    held = np.zeros(len(page.tag), int)                           # content blocks in each element
+    for e in np.array(page.owner)[chosen].tolist():
+        held[e] += 1
+    for e in range(len(held) - 1, 0, -1):                         # parents come before children
+        held[page.parent[e]] += held[e]
+    place, home = [0] * len(page.tag), [0] * len(page.tag)        # the nearest element that holds blocks; that is an article
+    for e in range(1, len(place)):
+        up = page.parent[e]
+        place[e] = e if page.tag[e] in PLACES else place[up]
+        home[e] = e if page.tag[e] in ("article", "main") else home[up]
+    out = chosen.copy()
+    after = False                                                 # the next block is content, or a heading before some
+    at = np.flatnonzero(chosen)
+    for i in range(len(out) - 1, -1, -1):
+        e = page.owner[i]
+        heading = page.tag[e] in HEADINGS
+        if not chosen[i] and page.mark[e] == 1.0 and not (page.linked[i] and page.tag[e] in ("li", "ul", "ol")):
+            if home[e] and held[home[e]]:
+                out[i] = True
+            elif held[place[e]]:
+                out[i] = page.tag[place[e]] not in WHOLE or at[0] < i < at[-1]
+            out[i] |= heading and after
+        after = bool(chosen[i] or heading and after)
+    return out
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page."""
-    page = Page(html or "")
-    if not page.texts:                       # all of it is marked, as when a form spans the page
-        page = Page(html or "", strict=False)
-    if not page.texts:
-        return ""
-    fused = ratios(page)
-    content = fused >= min(THRESHOLD * fused.std(), fused.max())
-    inside = region(page, content)
-    chosen = np.flatnonzero(content)
-    read = {page.path[page.owner[i]] for i in chosen}             # the paths that the ratios do not reject
-    blocks: dict[int, list[int]] = {}
-    for i, e in enumerate(page.owner):
-        if inside[e] or chosen[0] <= i <= chosen[-1]:
-            blocks.setdefault(page.block[i], []).append(i)
-    out = []
-    for nodes in blocks.values():
-        if page.path[page.owner[nodes[0]]] not in read and page.tag[page.owner[nodes[0]]] in ("li", "ul", "ol") and all(page.linked[i] or page.texts[i].isspace() for i in nodes):
-            continue                                              # a menu
-        text = " ".join("".join([page.texts[i] for i in nodes]).split())
-        if text:
-            out.append(text)
-    return "\n".join(out)
+    for forms in (False, True):
+        page = Page(html or "", forms)
+        texts = page.decoded()
+        if page.owner:
+            chosen = content(page, texts, ratios(page, texts))
+            if chosen.any():
+                return "\n".join([t for t, kept in zip(texts, belonging(page, chosen)) if kept and t])
+    return ""
 
 
 def extract(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -284,3 +284,55 @@ def test_main_text_of_sibling_parts_is_whole(page):
     ("<body><nav>Home</nav><form><p>{0}</p></form></body>", ["{0}"])])
 def test_main_text_keeps_parts_of_articles_and_only_these(page, want):
     assert tag_paths.main_text(page.format(LONG_TEXT)) == "\n".join(want).format(LONG_TEXT.strip())
+
+
+@pytest.mark.parametrize("part", ["<section id='widget-factory'><p>{0}</p></section>", "<section id='related-widgets'><p>{0}</p></section>",
+                                  "<div class='ad-hoc'><p>{0}</p></div>", "<div class='skip-lists'><p>{0}</p></div>",
+                                  "<p class='footer-note'>{0}</p>", "<p class='footer-note'>Short.</p>"])
+def test_words_of_class_do_not_delete_parts_of_articles(part):
+    got = tag_paths.main_text(f"<article><h1>T</h1><p>{LONG_TEXT}</p>{part.format(LONG_TEXT)}</article>")
+    assert got.split("\n")[:2] == ["T", LONG_TEXT.strip()] and len(got.split("\n")) == 3
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class=kopfzeile>Startseite</div><div class=inhalt><p>{0}</p></div><div class=fusszeile>Impressum</div>", ["{0}"]),
+    ("<div class=kopfzeile>Startseite</div><div class=inhalt><h1>Titel</h1><p>{0}</p><p>Kurz.</p></div><div>Impressum</div>",
+     ["Titel", "{0}", "Kurz."]),
+    ("<body><div>Home | About | Contact</div><div><p>{0}</p></div><div><h2>Two</h2><p>{0}</p></div><div>Copyright</div></body>",
+     ["{0}", "Two", "{0}"]),
+    ("<body><div>Home | About</div><div id=a><p>{0}</p><ul><li>one</li><li>two</li></ul><p>{0}</p></div><div>Copyright</div></body>",
+     ["{0}", "one", "two", "{0}"]),
+    ("<body><div class=ad>Buy it now, all of you.</div><article><p>{0}</p></article></body>", ["{0}"]),
+    ("<body><article><p>{0}</p><div class='comments'><p>{0}</p></div></article></body>", ["{0}"])])
+def test_ratios_decide_what_is_unmarked_boilerplate(monkeypatch, page, want):
+    page = page.format(LONG_TEXT)
+    assert tag_paths.main_text(page) == "\n".join(want).format(LONG_TEXT.strip())
+    monkeypatch.setattr(tag_paths, "ratios", lambda page, texts: np.ones(len(texts)))
+    assert tag_paths.main_text(page) != "\n".join(want).format(LONG_TEXT.strip())
+
+
+def test_ratios_on_the_given_pages(small_dir, spark, monkeypatch):
+    """Without ratios an advert is read on every page that has one."""
+    pages = [r.html for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()]
+    want = [tag_paths.main_text(p) for p in pages]
+    monkeypatch.setattr(tag_paths, "ratios", lambda page, texts: np.ones(len(texts)))
+    assert all(tag_paths.main_text(p) != w for p, w in zip(pages, want) if 'class="ad"' in p)
+
+
+def test_ratios_threshold_and_belonging_by_hand():
+    page = tag_paths.Page("<div>ab</div><div><p>abcd, efgh.</p><p>ab.</p></div>")
+    texts = page.decoded()
+    assert texts == ["ab", "abcd, efgh.", "ab."]
+    # paths: div (2 characters, no mark), div/p twice (mean 7 characters, 1.5 marks); smoothed by 0.1, 0.8, 0.1
+    length = [0.9 * 2 + 0.1 * 7, 0.1 * 2 + 0.9 * 7, 7.0]
+    marks = [0.1 * 1.5, 0.9 * 1.5, 1.5]
+    want = [a * (1 + b) for a, b in zip(length, marks)]
+    fused = tag_paths.ratios(page, texts)
+    assert fused == pytest.approx(want)
+    spread = np.std(want)
+    weighted = np.average(want, weights=[2, 11, 3])
+    threshold = max(tag_paths.SPREAD * spread, tag_paths.SHARE * weighted)
+    assert want[0] < threshold < (want[1] + want[2]) / 2
+    chosen = tag_paths.content(page, texts, fused)
+    assert chosen.tolist() == [False, True, True]
+    assert tag_paths.belonging(page, chosen).tolist() == [False, True, True]
