@@ -206,14 +206,57 @@ def test_blocks_do_not_change_the_result(spark, small_dir, monkeypatch):
 @pytest.mark.parametrize("dim", [1, 3, 64, 100, 130])
 def test_error_bounds_hold(dim):
     r = np.random.default_rng(dim)
-    vectors, mean, rotate = r.standard_normal((400, dim)), r.standard_normal(dim), one_bit_ann.rotation(dim, 1)
-    codes, norm, own = one_bit_ann.encode(vectors, mean, rotate)
-    ones = np.bitwise_count(codes).sum(axis=1).astype(float)
-    inside = []
-    for q in r.standard_normal((20, dim)):
-        guess, bound = one_bit_ann.estimate(q, codes, norm, own, ones, mean, rotate)
-        inside.append(np.abs(guess - vectors @ q) <= bound + 1e-9)
-    assert np.mean(inside) > 0.97
+    vectors, centres = r.standard_normal((400, dim)), r.standard_normal((3, dim))
+    cells = one_bit_ann.Cells(one_bit_ann.rotation(dim, -(-4 * dim // 64) * 64, 1), centres, 3, vectors)
+    asked = r.standard_normal((20, dim))
+    guess, bound = cells.estimate(asked, *cells.encode(vectors))
+    assert np.mean(np.abs(guess - asked @ vectors.T) <= bound + 1e-6) > 0.97
+
+
+def test_codes_are_turned_back_by_the_rotation():
+    """With many bits a code says nearly the direction itself."""
+    r = np.random.default_rng(3)
+    vectors = r.standard_normal((50, 5))
+    cells = one_bit_ann.Cells(one_bit_ann.rotation(5, 4096, 1), np.zeros((1, 5)), 1, vectors)
+    guess, bound = cells.estimate(vectors, *cells.encode(vectors))
+    assert np.abs(guess - vectors @ vectors.T).max() < 0.4 and bound.max() < 0.6
+
+
+def test_few_cells_are_looked_into_where_vectors_cluster():
+    r = np.random.default_rng(4)
+    centres = 10 * r.standard_normal((40, 16))
+    clustered = np.repeat(centres, 50, axis=0) + r.standard_normal((2000, 16))
+    assert one_bit_ann.probes_needed(clustered, one_bit_ann.kmeans(clustered, 40, 1), 20, 0.97) <= 8
+    even = r.standard_normal((2000, 16))
+    assert one_bit_ann.probes_needed(even, one_bit_ann.kmeans(even, 40, 1), 20, 0.97) > 8
+
+
+def test_few_rows_are_scored_exactly(spark):
+    """On the 2,000 vectors of the largest small table: recall, and the share of all pairs scored."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = one_bit_ann.OneBitIndex(rows)
+    asked = index.rows.where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    share = index.candidates(asked, 21).count() / (asked.count() * index.count)
+    assert share < 0.2
+    found = {}
+    for r in index.search(index.rows.where("id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest_slowly(rows.collect(), 20, 20)
+    assert np.mean([len(found[q] & set(want[q])) / 20 for q in want]) >= 0.95
+
+
+def test_copies_of_vectors(spark):
+    """Many copies of one vector, more than k: ties go to the smaller ids, none is lost, and no query finds itself."""
+    r = np.random.default_rng(5)
+    hot = [float(x) for x in r.standard_normal(8)]
+    rows = [(i, hot if i % 3 == 0 else [float(x) for x in r.standard_normal(8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = one_bit_ann.OneBitIndex(df, k=5, target=1.0)
+    got = {}
+    for x in index.search(index.rows.where("id % 30 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    best = [i for i in range(0, 300, 3)]
+    assert got == {q: [i for i in best if i != q][:5] for q in range(0, 300, 30)}
 
 
 def test_vector_edges(spark):
