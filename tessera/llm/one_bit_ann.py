@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_small, materialize
 
-SAMPLE = 20_000          # rows that centres, probes and floors are taken from
+SAMPLE = 40_000          # rows that centres, probes and floors are taken from
 CELL_ROWS = 512          # rows of a cell, if that needs no more than
 MAX_CELLS = 1024
 TRIED = 300              # sample rows that set the number of cells to look into
 TARGET = 0.97            # share of their neighbours that these must hold
-LENGTHEN = 4             # code bits for each dimension
+LENGTHEN = 8             # code bits for each dimension
 EPSILON = 2.4            # bound in standard deviations of the estimate
 DATA_BLOCK = 8192
 QUERY_BLOCK = 2048
