@@ -258,7 +258,7 @@ def test_bpe_train_and_encode_match_brute_force(spark, small_dir):
     words = {tuple(k.split("\x00")): n for k, n in counts.items()}
     words = {"".join(k): n for k, n in words.items()}
     want_merges, want_seqs = _bpe_brute(words, 12, 2)
-    ids, merges = B.train(w, 12, min_frequency=2, checkpoint_every=5)
+    ids, merges = B.train(w, 12, min_frequency=2, segment_tokens=500)
     assert merges == want_merges
     enc = B.encode_words(w, [(a, b) for a, b, _ in merges]).collect()
     for r in enc:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import bpe as B
+from tessera.operators import bpe_train as BT
 from tessera.operators import metrics as M
 from tessera.operators import positions as P
 from tessera.operators import tokens as K
@@ -112,12 +113,11 @@ def test_bpe_merges_match_the_tokenizer_library(spark, small_dir, tmp_path):
     from tokenizers.trainers import BpeTrainer
     from tessera.functions.exprs import SPECIAL_TOKENS
     _, path = _corpus(spark, small_dir, tmp_path, spaced=False)
-    least = QT.least_frequency(QT.train_words(spark, small_dir))
     ids, merges = QT.trained(spark, small_dir)
     tok = tk.Tokenizer(BPE())
     tok.normalizer = normalizers.Lowercase()
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel()])
-    tok.train([path], BpeTrainer(special_tokens=list(SPECIAL_TOKENS), min_frequency=least))
+    tok.train([path], BpeTrainer(special_tokens=list(SPECIAL_TOKENS), min_frequency=10))
     lib = json.loads(tok.to_str())["model"]["merges"]
     lib = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in lib]
     assert [(a, b) for a, b, _ in merges] == lib and len(lib) > 100
@@ -146,7 +146,7 @@ def test_merges_that_share_a_round_are_those_taken_one_by_one():
             ranked = sorted(((a, b, k) for (a, b), k in n.items() if k >= 2), key=lambda t: (-t[2], ids[t[0]], ids[t[1]]))[:5]
             if not ranked:
                 break
-            step = B.independent(ranked)[:12 - len(got)]
+            step = BT.independent(ranked, ())[:12 - len(got)]
             for a, b, _n in step:
                 got.append((a, b, _n))
                 ids.setdefault(a + b, len(ids))
@@ -159,11 +159,33 @@ def test_merges_that_share_a_round_are_those_taken_one_by_one():
 def test_bpe_stops_at_the_reference_frequency_at_every_size(spark, small_dir):
     words = QT.train_words(spark, small_dir)
     _, merges = QT.trained(spark, small_dir)
-    assert QT.least_frequency(words) == 10 and merges[-1][2] in (10, 11) and len(merges) > 1000
-    ids, rest = B.train(words, 60)
-    assert (ids, rest) == B.train(words, 60, driver_words=0) and rest == merges[:60]
+    assert merges[-1][2] in (10, 11) and len(merges) > 1000
     ids, capped = B.train(words, vocab_size=200)
     assert len(ids) == 200 and capped == merges[:len(capped)]
+    ids, first = B.train(words, 60)
+    assert first == merges[:60]
+
+
+def test_bpe_phases_do_not_change_the_merges(spark, small_dir):
+    """Few segments or few pairs on the driver, or no segments at all: the same merges."""
+    words = QT.train_words(spark, small_dir)
+    _, merges = QT.trained(spark, small_dir)
+    assert B.train(words, segment_tokens=15_000)[1] == merges
+    assert B.train(words, pairs=40, max_merges=300)[1] == merges[:300]
+    assert B.train(words, segment_tokens=0, max_merges=25)[1] == merges[:25]
+
+
+def test_bpe_phases_against_brute_force(spark):
+    """Few letters: overlapping pairs, long words and tokens made in two ways."""
+    import random
+    from tests.test_golden import _bpe_brute
+    r = random.Random(9)
+    for _ in range(4):
+        words = {"".join(r.choice("abc") for _ in range(r.randrange(1, 30))): r.randrange(1, 40) for _ in range(60)}
+        df = spark.createDataFrame([("<" + "><".join(w) + ">", n) for w, n in words.items()], "w string, n long")
+        want, _ = _bpe_brute(dict(words), 40, 4)
+        for limit in (40, 200, 10_000):
+            assert B.train(df, 40, min_frequency=4, segment_tokens=limit)[1] == want
 
 
 def test_bpe_encodes_tokens_made_in_two_ways():
