@@ -1,0 +1,159 @@
+"""Models learned by Spark jobs: gradients, joint fits, components, persistence."""
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from tessera.operators import dense, fit, linear, reps
+from tessera.plans import q_labels as QL
+from tessera.plans import q_reps as QR
+from tessera.sources import tables as T
+
+
+def features(spark, n=400, width=12, seed=1):
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        index = r.integers(0, width, r.integers(0, 9)).tolist()
+        z = sum(0.7 if j % 3 == 0 else -0.4 for j in index)
+        rows.append((i, index, int(r.random() < 1 / (1 + np.exp(-z))), int(r.random() < 0.3), None if i % 5 == 0 else int(r.random() < 0.6)))
+    return spark.createDataFrame(rows, "id long, features array<int>, u int, v int, w int").repartition(3), rows
+
+
+TASKS = [linear.Task("u", "u", 0.01), linear.Task("v", "v", 0.1), linear.Task("u1", "u", 0.02, 0.5), linear.Task("w", "w", 0.05)]
+
+
+def test_joint_fit_equals_the_separate_fits(spark):
+    df, _ = features(spark)
+    both = linear.fit(df, TASKS, 300, tol=1e-10)
+    for m, t in enumerate(TASKS):
+        one = linear.fit(df, [t], 300, tol=1e-10)
+        assert np.allclose(one.weights[0], both.weights[m], atol=1e-6)
+
+
+def test_joint_fit_equals_spark_ml(spark):
+    df, rows = features(spark)
+    both = linear.fit(df, TASKS, 500, tol=1e-10)
+    width = 12
+    dense_rows = df.withColumn("x", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.size(
+        F.filter("features", lambda f: f == j)).cast("double"))))
+    for m, t in enumerate(TASKS):
+        lr = LogisticRegression(featuresCol="x", labelCol=t.target, regParam=t.reg, elasticNetParam=t.alpha,
+                                standardization=False, maxIter=1000, tol=1e-14).fit(dense_rows.where(F.col(t.target).isNotNull()))
+        want = np.append(lr.coefficients.toArray()[both.used], lr.intercept)
+        assert np.allclose(both.weights[m], want, atol=2e-6 if t.alpha == 0 else 2e-4)
+
+
+def test_joint_fit_reads_the_table_once_a_step(spark, monkeypatch):
+    df, _ = features(spark)
+    asked = []
+    real = linear.minimise
+
+    def counted(*args):
+        inner = real(*args)
+        point = next(inner)
+        n = 0
+        try:
+            while True:
+                n += 1
+                point = inner.send((yield point))
+        except StopIteration as end:
+            asked.append(n)
+            return end.value
+    monkeypatch.setattr(linear, "minimise", counted)
+    jobs = []
+    real_count = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (jobs.append(len(value)), real_count(value))[1])
+    linear.fit(df, TASKS, 30)
+    assert len(jobs) == max(asked) < sum(asked) == sum(jobs)
+
+
+def test_linear_scores_and_files(spark, tmp_path):
+    df, rows = features(spark)
+    model = linear.fit(df, TASKS[:2], 50)
+    got = {r.id: r.probs for r in model.score(df).collect()}
+    for i, index, *_ in rows:
+        z = [w[:-1][np.searchsorted(model.used, index)].sum() + w[-1] for w in model.weights]
+        assert np.allclose(got[i], 1 / (1 + np.exp(-np.array(z))))
+    model.save(spark, str(tmp_path / "m"))
+    again = linear.LinearModels.load(spark.newSession(), str(tmp_path / "m"))
+    assert again.names == model.names and np.array_equal(again.weights, model.weights) and np.array_equal(again.used, model.used)
+    odd = spark.createDataFrame([(1, [999_999, 0]), (2, []), (3, None)], "id long, features array<int>")
+    assert all(0 < p < 1 for r in model.score(odd).collect() for p in r.probs)
+
+
+def test_dense_gradient_equals_finite_differences():
+    r = np.random.default_rng(2)
+    net = dense.start([5, 7, 6, 3], [0, 1, 2], 3)
+    x, y = r.standard_normal((11, 5)), r.integers(0, 3, 11)
+    _, g = net.gradient(x, y)
+    p = net.flat()
+    for i in r.choice(len(p), 60, replace=False):
+        step = np.zeros(len(p))
+        step[i] = 1e-6
+        up, down = net.with_flat(p + step).gradient(x, y)[0], net.with_flat(p - step).gradient(x, y)[0]
+        assert (up - down) / 2e-6 == pytest.approx(g[i], rel=1e-4, abs=1e-6)
+
+
+def test_dense_gradient_of_tasks_is_that_of_all_rows(spark):
+    r = np.random.default_rng(4)
+    x, y = r.standard_normal((90, 6)), r.integers(0, 4, 90)
+    net = dense.start([6, 300, 200, 100, 4], [0, 1, 2, 3], 1)
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "vec array<double>, y int").repartition(5)
+    loss, g = dense.gradient(rows, net)
+    want_loss, want = net.gradient(x, y)
+    assert loss == pytest.approx(want_loss / 90) and np.allclose(g, want / 90)
+
+
+def test_dense_learns_and_shows_its_hidden_layer(spark, tmp_path):
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((3, 8)) * 3
+    rows = [(i, (centres[i % 3] + r.standard_normal(8)).tolist(), "abc"[i % 3]) for i in range(300)] + [(999, None, "a"), (998, [0.0] * 8, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    net = dense.fit(df, "vec", "label", "id", hidden=(20, 10), epochs=25, rate=0.01, batch_rows=100)
+    assert net.classes == ["a", "b", "c"]
+    out = {x.id: x for x in net.predict(df, features="h").collect()}
+    assert len(out) == len(rows) and out[999].prediction is None and out[999].h is None
+    assert np.mean([out[i].prediction == lb for i, _, lb in rows[:300]]) > 0.95
+    x = np.array([v for _, v, _ in rows[:300]])
+    assert np.allclose([out[i].h for i in range(300)], net.forward(x)[-2]) and min(out[0].h) >= 0
+    net.save(spark, str(tmp_path / "net"))
+    again = dense.DenseNet.load(spark.newSession(), str(tmp_path / "net"))
+    assert again.classes == net.classes and np.array_equal(again.flat(), net.flat())
+
+
+@pytest.mark.parametrize("basis", [14, 64])
+def test_components_equal_the_centred_svd(spark, basis):
+    """Fewer random directions than dimensions, and as many; many partitions."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((500, 40)) * np.linspace(3, 0.5, 40) + 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>").repartition(9)
+    mean, got = reps.principal_components(df, "vec", 3, basis=basis)
+    want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3]
+    want *= np.sign(want[np.arange(3), np.abs(want).argmax(axis=1)])[:, None]
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(got.T, want, atol=1e-6)
+    cov = {(c.i, c.j): c.cov for c in reps.covariance_long(df).collect()}
+    assert np.allclose([cov[i, j] for i in range(40) for j in range(i, 40)], np.cov(x.T)[np.triu_indices(40)])
+
+
+def test_saved_models_predict_what_they_did(spark, small_dir):
+    got = {}
+    for r in QR.saved_models(spark, small_dir).collect():
+        got.setdefault(r.model, {})[r.id] = r.predicted
+    sp = QL.labelled_split(spark, small_dir)
+    several = {}
+    for r in fit.logreg_multilabel(sp).collect():
+        several.setdefault(r.seq_id, []).append((r.label, r.prob))
+    near = {i for i, s in several.items() if any(abs(p - 0.5) < 1e-6 for _, p in s)}      # sums of tasks in another order
+    assert all(got["multilabel"][i] == "|".join(lb for lb, p in s if p > 0.5) for i, s in several.items() if i not in near)
+    one = {r.seq_id: r.predicted for r in fit.logreg_multiclass(sp).collect()}
+    assert np.mean([got["multiclass"][i] == p for i, p in one.items()]) > 0.999 and got["multiclass"].keys() == one.keys()
+    vec = {r.vec_id: str(r.prediction) for r in QR.mlp_classify(spark, small_dir).collect()}
+    assert got["dense"].keys() == vec.keys() and np.mean([got["dense"][i] == p for i, p in vec.items()]) > 0.99
+
+
+def test_hidden_features_of_every_vector(spark, small_dir):
+    rows = QR.mlp_hidden(spark, small_dir).collect()
+    assert len(rows) == T.vectors(spark, small_dir).count() and all(len(r.features) == 100 and min(r.features) >= 0 for r in rows)
