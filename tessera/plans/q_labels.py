@@ -23,10 +23,10 @@ _BOUNDARY: dict[str, str | None] = {}
 
 def split_seq(spark, sf):
     """The pair table with its seeded 70/30 split. The split boundary is a property of
-    the materialized pair table, so it is found once (two small passes over the ``h``
-    column) and kept with that table's path."""
+    the materialized pair table, so it is found once (two small passes over the order
+    keys) and kept with that table's path."""
     path = T.sequence_table(spark, sf)
-    s = spark.read.parquet(path)
+    s = T.sequences(spark, sf)
     if path not in _BOUNDARY:
         _BOUNDARY[path] = S.split_boundary(s)
     return S.apply_split(s, _BOUNDARY[path])

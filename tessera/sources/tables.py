@@ -67,6 +67,9 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Columns of the kept table; the document and the order key follow from seq_id.
+STORED = ("seq_id", "chain_a", "chain_b", "tags", "is_q", "is_t", "is_x")
+
 _SEQ_TABLES: dict[tuple[str, str, int], str] = {}
 
 
@@ -84,8 +87,8 @@ def sequence_table(spark: SparkSession, sf_dir: str) -> str:
     The table is derived once for each state of its sources (file names, sizes and
     times), so a changed ``documents`` or ``labels`` is read anew. Every later pass --
     the split-threshold passes, the fit, the final scan -- reads only the columns it
-    needs (``h`` alone for the split). It lies on shared storage, so a lost executor
-    costs a re-read, not a re-derivation.
+    needs (``seq_id`` alone for the split, as the order key ``h`` is its digest). It lies
+    on shared storage, so a lost executor costs a re-read, not a re-derivation.
     """
     from ..session import scratch_path
     base = sf_dir.rstrip("/")
@@ -94,14 +97,16 @@ def sequence_table(spark: SparkSession, sf_dir: str) -> str:
     path = _SEQ_TABLES.get(key)
     if path is None or not _exists(spark, path):
         path = scratch_path(spark, "seq")
-        derive_sequences(spark, sf_dir).write.mode("overwrite").parquet(path)
+        derive_sequences(spark, sf_dir).select(*STORED).write.mode("overwrite").option("compression", "zstd").parquet(path)
         _SEQ_TABLES[key] = path
     return path
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``seq`` view over all documents (see ``derive_sequences``)."""
-    return spark.read.parquet(sequence_table(spark, sf_dir))
+    s = spark.read.parquet(sequence_table(spark, sf_dir))
+    doc_id = F.expr(f"(seq_id - pmod(seq_id, {PAIR_KEY_STRIDE})) div {PAIR_KEY_STRIDE}")
+    return s.select("seq_id", doc_id.alias("doc_id"), *STORED[1:], seeded_key("seq_id").alias("h"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
