@@ -109,24 +109,24 @@ _LONG_CELLS = [("'Loss/' || split || ':'", "loss"), ("'Accuracy/' || split || ':
 for _lb in LABEL_NAMES:
     _LONG_CELLS += [(f"'Recall/{_lb}_' || split", f"recall_{_lb}"),
                     (f"'Precision/{_lb}_' || split", f"precision_{_lb}")]
-EPOCHS = 3       # of the written log: an epoch evaluates every third pair
-_BY_EPOCH = EPOCH_SQL.replace("SELECT split, count(*)", "SELECT split, epoch, count(*)") \
-    .replace("SELECT seq_id, split,", f"SELECT seq_id, split, seq_id % {EPOCHS} AS epoch,") \
-    .replace("GROUP BY split", "GROUP BY split, epoch")
-METRICS_LONG_SQL = "WITH em AS (" + _BY_EPOCH.strip() + ")\n" + "\nUNION ALL\n".join(
-    f"SELECT split, {t} AS tag, CAST(epoch AS BIGINT) AS step, CAST({c} AS DOUBLE) AS value FROM em"
-    for t, c in _LONG_CELLS)
+THRESHOLDS = (0.4, 0.5, 0.6)       # of the steps of the written log
+METRICS_LONG_SQL = "WITH " + ",\n".join(
+    f"em{e} AS (" + EPOCH_SQL.strip().replace("0.5E0", f"{t}E0") + ")" for e, t in enumerate(THRESHOLDS)) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT split, {t} AS tag, CAST({e} AS BIGINT) AS step, CAST({c} AS DOUBLE) AS value FROM em{e}"
+    for e in range(len(THRESHOLDS)) for t, c in _LONG_CELLS)
 
 
 @query("metrics_long", with_views(METRICS_LONG_SQL, "model_scores"))
 def metrics_long(spark, sf):
-    """Scalar-log rows of each epoch, appended to a log folder epoch by epoch and read back."""
+    """Scalar-log rows of each step, over the whole of both splits with a threshold of its
+    own, written to a log folder step by step; the last is written twice, as after a retry."""
     path = scratch_path(spark, "metrics-log")
-    scored = M.predict(model_scores(spark, sf), 0.5).withColumn("epoch", F.col("seq_id") % EPOCHS)
-    for e in range(EPOCHS):
-        wide = M.metric_bundle(scored.where(F.col("epoch") == e), LABEL_NAMES, by=["split", "epoch"])
-        FS.append_metrics(R.metrics_long(wide, LABEL_NAMES, step_col="epoch"), path)
-    return spark.read.parquet(path).select("split", "tag", "step", "value")
+    scores = model_scores(spark, sf)
+    for e in (*range(len(THRESHOLDS)), len(THRESHOLDS) - 1):
+        wide = M.metric_bundle(M.predict(scores, THRESHOLDS[e]), LABEL_NAMES, by=["split"]) \
+            .withColumn("epoch", F.lit(e).cast("long"))
+        FS.append_metrics(R.metrics_long(wide, LABEL_NAMES, step_col="epoch"), path, run="scorer")
+    return FS.read_metrics(spark, path).select("split", "tag", "step", "value")
 
 
 @query("run_logs_scan", with_views("SELECT run, tag, step, value FROM runs", "runs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,15 +19,43 @@ SEQUENCE_SCHEMA = T.StructType([
 ])
 
 
+CORRUPT = "_corrupt"
+
+
 def read_sequences(spark: SparkSession, path: str, schema: T.StructType = SEQUENCE_SCHEMA,
                    fmt: str = "csv") -> DataFrame:
-    """Sequence files with a header and a declared schema (no inference)."""
-    r = spark.read.schema(schema)
+    """Sequence files with a header and a declared schema (no inference). Rows that cannot be
+    read, and those with a null chain, are left out (``read_checked`` returns and counts them);
+    an empty chain, written as "", is kept."""
+    return read_checked(spark, path, schema, fmt)[0]
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType = SEQUENCE_SCHEMA,
+                 fmt: str = "csv", header: bool = True) -> tuple[DataFrame, DataFrame, Observation]:
+    """(good rows, rejects, counts). Rejects (raw, reason) are lines that do not fit the schema
+    (``corrupt``: the line; other formats: rows without an id) and rows without a chain
+    (``null chain``: the row as JSON). The counts (rows, corrupt, null_chain) are taken as the
+    good rows are read, in the same pass, and are known once an action on them has run."""
+    names = schema.fieldNames()
     if fmt == "csv":
-        # empty chains are written as "" and must come back as '' (not null)
-        return r.option("header", True).option("emptyValue", "").csv(path) \
-            .fillna("", ["chain_a", "chain_b"])
-    return r.format(fmt).load(path)
+        # an empty chain is written as "" and read as ''; nothing between the commas is null
+        raw = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])) \
+            .option("header", header).option("emptyValue", "").option("nullValue", "\0").option("mode", "PERMISSIVE") \
+            .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    else:
+        raw = spark.read.schema(schema).format(fmt).load(path)
+        whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+        raw = raw.withColumn(CORRUPT, F.when(F.col(names[0]).isNull(), whole))
+    corrupt = F.col(CORRUPT).isNotNull()
+    missing = ~corrupt & F.greatest(*[F.col(c).isNull() for c in names if c.startswith("chain")])
+    seen = Observation("rows read")
+    marked = raw.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(corrupt, 1)).alias("corrupt"),
+                         F.count(F.when(missing, 1)).alias("null_chain"))
+    good = marked.where(~corrupt & ~missing).select(*names)
+    as_json = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    rejects = raw.where(corrupt | missing).select(
+        F.when(corrupt, F.col(CORRUPT)).otherwise(as_json).alias("raw"), F.when(corrupt, "corrupt").otherwise("null chain").alias("reason"))
+    return good, rejects, seen
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
@@ -36,7 +64,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("emptyValue", "").csv(path)
+        w.option("header", True).csv(path)         # '' is written as "", null as nothing
     else:
         w.format(fmt).save(path)
 
@@ -51,9 +79,18 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Add scalar-log rows (split, tag, step, value) to a log folder."""
-    rows.write.mode("append").parquet(path)
+def append_metrics(rows: DataFrame, path: str, run: str) -> None:
+    """Add the scalar-log rows (split, tag, step, value) of a run to a log folder. The folders
+    of the steps written, run=/step=, are replaced and no others, so an epoch that is tried
+    again is in the log once."""
+    rows.withColumn("run", F.lit(run)).repartition("step").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("run", "step").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """(run, split, tag, step, value) of a log folder, or of one run's folder in it."""
+    log = spark.read.schema("split string, tag string, value double, run string, step long").parquet(path)
+    return log if run is None else log.where(F.col("run") == run)
 
 
 def write_run_logs(log: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
