@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chars, relative_position
@@ -71,15 +71,52 @@ def hist_fixed(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20
     return out.drop("_tot")
 
 
-def _quartiles(value: str, exact: bool, weight: str | None = None) -> Column:
-    """25th/75th percentiles. ``exact`` (NumPy's linear interpolation; ``weight`` = row
-    multiplicity) keeps one entry per distinct value of a group -- bounded for relative
-    positions (fractions of short chains); ``exact=False`` uses percentile_approx for
-    continuous unbounded values."""
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    if exact:
-        return F.percentile(F.col(value), probs, F.col(weight) if weight else F.lit(1))
-    return F.percentile_approx(F.col(value), probs, 10000).cast("array<double>")
+QUARTILES = (0.25, 0.75)
+CELLS = 1024          # ranges that a pass of ``exact_quantiles`` cuts a group's values into
+
+
+def exact_quantiles(counts: DataFrame, value: str, by: Sequence[str], probs: Sequence[float], weight: str = "_w") -> DataFrame:
+    """(*by, _n, _lo, _hi, _q): rows, bounds and the quantiles of a value-count table, with
+    linear interpolation between neighbouring values (NumPy's rule), for finite numbers.
+
+    The ranks are found by narrowing: a pass cuts the range that holds a rank into ``CELLS``
+    equal ones, sums the weights in each by a shuffle, and goes on with the one that holds the
+    rank, from its smallest to its largest value, until that is one value. No task holds more
+    of a group than ``CELLS`` sums, whatever the number of its values; a hot group's rows are
+    added up where they are. ``counts`` is read once a pass, so give a table that is written."""
+    by = list(by)
+    stats = counts.groupBy(*by).agg(F.sum(weight).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = F.array(*[F.struct(F.lit(2 * i + j).alias("k"), (f(at(p)).cast("long") + 1).alias("rank"))
+                      for i, p in enumerate(probs) for j, f in enumerate((F.floor, F.ceil))])
+    stats = materialize(stats, "group-bounds")
+    open_ = stats.select(*by, F.explode(ranks).alias("_t"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b")) \
+        .select(*by, F.col("_t.k").alias("_k"), F.col("_t.rank").alias("_rank"), "_a", "_b")
+    done = []
+    while True:
+        x = counts.select(*by, F.col(value).alias("_v"), F.col(weight).alias("_x")).join(broadcast_small(open_), by) if by else \
+            counts.select(F.col(value).alias("_v"), F.col(weight).alias("_x"), F.lit(0).alias("_g")).join(
+                F.broadcast(open_.withColumn("_g", F.lit(0))), "_g").drop("_g")
+        cell = F.when(F.col("_b") > F.col("_a"), F.least(F.floor(
+            (F.col("_v") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+        sums = x.where((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b"))) \
+            .groupBy(*by, "_k", "_rank", cell.alias("_cell")).agg(F.sum("_x").alias("_s"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        w = Window.partitionBy(*by, "_k").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        upto = sums.withColumn("_upto", F.sum("_s").over(w))
+        found = materialize(upto.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_s") < F.col("_rank"))).select(
+            *by, "_k", (F.col("_rank") - F.col("_upto") + F.col("_s")).alias("_rank"), "_a", "_b"), "quantile-cells")
+        done.append(found.where("_a = _b"))
+        open_ = found.where("_a < _b")
+        if open_.isEmpty():
+            break
+    values = done[0]
+    for d in done[1:]:
+        values = values.unionByName(d)
+    per = values.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == k, F.col("_a"))).alias(f"_v{k}") for k in range(2 * len(probs))])
+    joined = stats.join(per, by) if by else stats.withColumn("_g", F.lit(0)).join(per.withColumn("_g", F.lit(0)), "_g").drop("_g")
+    q = [F.when(F.floor(at(p)) == F.ceil(at(p)), F.col(f"_v{2 * i}")).otherwise(
+        (F.ceil(at(p)) - at(p)) * F.col(f"_v{2 * i}") + (at(p) - F.floor(at(p))) * F.col(f"_v{2 * i + 1}")) for i, p in enumerate(probs)]
+    return joined.select(*by, "_n", "_lo", "_hi", F.array(*q).alias("_q"))
 
 
 def _auto_width(n: Column, lo: Column, hi: Column, q: Column) -> tuple[Column, Column, Column]:
@@ -94,29 +131,25 @@ def _auto_width(n: Column, lo: Column, hi: Column, q: Column) -> tuple[Column, C
 
 def auto_bin_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """NumPy 'auto' bins per group: min(Freedman-Diaconis, Sturges) width, Sturges when
-    the IQR is 0; n_bins = ceil(range / width), 1 when the width is 0."""
-    vc = value_counts(df, value, by)
+    the IQR is 0; n_bins = ceil(range / width), 1 when the width is 0. Quartiles are exact,
+    or those of a sketch of 10,000 values (``exact=False``)."""
     if exact:
-        s = vc.groupBy(*by).agg(F.sum("_w").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-                                _quartiles(value, True, "_w").alias("_q"))
+        s = exact_quantiles(materialize(value_counts(df, value, by), "value-counts"), value, by, QUARTILES)
     else:
-        s = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("lo"),
-                                F.max(value).alias("hi"), _quartiles(value, False).alias("_q"))
-    iqr, width, nb = _auto_width(F.col("n"), F.col("lo"), F.col("hi"), F.col("_q"))
-    return s.select(*by, "n", "lo", "hi", F.round(iqr, 6).alias("iqr"),
+        s = df.groupBy(*by).agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                F.percentile_approx(F.col(value), list(QUARTILES), 10000).cast("array<double>").alias("_q"))
+    iqr, width, nb = _auto_width(F.col("_n"), F.col("_lo"), F.col("_hi"), F.col("_q"))
+    return s.select(*by, F.col("_n").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.round(iqr, 6).alias("iqr"),
                     F.round(width, 6).alias("width"), nb.alias("n_bins"))
 
 
-def hist2d(df: DataFrame, value: str, discrete: str, by: Sequence[str], exact: bool = True) -> DataFrame:
+def hist2d(df: DataFrame, value: str, discrete: str, by: Sequence[str]) -> DataFrame:
     """Joint distribution of a binned ``value`` (auto bins per group) and a discrete
     column, as probability of the group: *by, bin, discrete, n, prob (non-empty cells).
     One pass over the data (value counts per discrete symbol); the rest is on that table."""
     by = list(by)
-    vc = value_counts(df, value, by, [discrete])
-    per_value = vc.groupBy(*by, value).agg(F.sum("_w").alias("_w"))
-    stats = per_value.groupBy(*by).agg(
-        F.sum("_w").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        _quartiles(value, exact, "_w").alias("_q"))
+    vc = materialize(value_counts(df, value, by, [discrete]), "value-counts")
+    stats = exact_quantiles(vc, value, by, QUARTILES)
     _, _, nb = _auto_width(F.col("_n"), F.col("_lo"), F.col("_hi"), F.col("_q"))
     stats = stats.select(*by, "_n", "_lo", "_hi", nb.alias("_nb"))
     x = vc.join(stats, by)
