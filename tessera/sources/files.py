@@ -145,13 +145,21 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return m.select("rank", parts[0].alias("left"), parts[1].alias("right"))
 
 
-def read_lookup(spark: SparkSession, path: str, symbols: Sequence[str]) -> DataFrame:
-    """Wide numeric matrix (one column per symbol, one row per symbol, CSV with header and
-    a ``symbol`` column) -> (symbol, vec ARRAY<DOUBLE>) in ``symbols`` column order."""
-    schema = T.StructType([T.StructField("symbol", T.StringType())] +
-                          [T.StructField(s, T.DoubleType()) for s in symbols])
-    wide = spark.read.schema(schema).option("header", True).csv(path)
-    return wide.select("symbol", F.array(*[F.col(s) for s in symbols]).alias("vec"))
+def write_lookup(rows: DataFrame, symbols: DataFrame, path: str) -> None:
+    """A numeric matrix as CSV text: a header naming a column per symbol (token, k; in the
+    order of k), then one line per symbol. ``rows``: (k, symbol, vec). Symbols hold no commas."""
+    names = symbols.agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("s"))
+    head = names.select(F.lit(-1).cast("long").alias("k"), F.concat_ws(",", F.lit("symbol"), F.transform("s", lambda e: e["token"])).alias("line"))
+    body = rows.select(F.col("k").cast("long").alias("k"), F.concat_ws(",", F.col("symbol"), F.col("vec").cast("array<string>")).alias("line"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("line").write.mode("overwrite").text(path)
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """A numeric matrix of ``write_lookup`` -> (symbol, vec ARRAY<DOUBLE>), columns in file
+    order. The plan is the same for any number of columns."""
+    parts = F.split("value", ",")
+    return spark.read.text(path).where(~F.col("value").startswith("symbol,")) \
+        .select(parts[0].alias("symbol"), F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<double>").alias("vec"))
 
 
 def write_deltas(mean: DataFrame, path: str) -> None:
