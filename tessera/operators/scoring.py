@@ -9,8 +9,9 @@ per label:
     p(label | a, b)       = sigmoid(prior + sum_{t in a} lw(a, label, t) + sum_{t in b} lw(b, label, t))
 
 Training is one aggregate over the token table. The weight table has
-chains x labels x |vocabulary| rows, so it is fetched to the driver and inlined as map
-literals: scoring is then row-local (no join, no shuffle) on any data size.
+chains x labels x |vocabulary| rows, which the driver holds. For up to ``MAX_INLINE_SYMBOLS``
+symbols it is written into the plan: scoring is then row-local (no join, no shuffle) on any
+data size. For more, it is a table that the symbols of the distinct chains are joined to.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import SPECIAL_TOKENS, chars, clamped_log, sigmoid
 from ..sources.tables import LABEL_NAMES
+from ..session import broadcast_small
 from .tokens import CHAINS, map_literal, tokens_long
 
+MAX_INLINE_SYMBOLS = 2000    # beyond this weights are joined instead of written into the plan
+BLOCK = 1000                 # symbols in a row of a table that every position meets
+
 FLAG_OF_LABEL = {"Q": "is_q", "T": "is_t", "X": "is_x"}
 
 
@@ -59,9 +64,38 @@ class LogOddsModel:
 
     def with_logits(self, df: DataFrame, names: Sequence[str], a: str = "chain_a", b: str = "chain_b") -> DataFrame:
         """``df`` with one logit column per label."""
+        if len(self.symbols) > MAX_INLINE_SYMBOLS:
+            return self._joined_logits(df, names, a, b)
         x = df.withColumn("_numbers", self.symbol_numbers(F.col(a), F.col(b)))
         return x.select("*", *[self.logit_of(F.col("_numbers"), lb).alias(n) for lb, n in zip(self.labels, names)]).drop("_numbers")
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(c, symbol, place, w): the weights of every symbol in each chain (c, its number), by
+        label; places from 1 in the order of the symbols."""
+        rows = [(c, t, i + 1, [float(self.weights[ch][lb].get(t, 0.0)) for lb in self.labels])
+                for c, (ch, _) in enumerate(CHAINS) for i, t in enumerate(self.symbols)]
+        return spark.createDataFrame(rows, "c int, symbol string, place int, w array<double>")
+
+    def blocks(self, spark: SparkSession) -> DataFrame:
+        """(c, symbols): the rows of ``table`` in blocks of ``BLOCK``, as arrays of (symbol, place, w)."""
+        return self.table(spark).groupBy("c", F.floor((F.col("place") - 1) / BLOCK).alias("block")) \
+            .agg(F.collect_list(F.struct("symbol", "place", "w")).alias("symbols")).drop("block")
+
+    def _joined_logits(self, df: DataFrame, names: Sequence[str], a: str, b: str) -> DataFrame:
+        """The weights of the distinct chains' symbols are joined and summed, and the sums joined to the rows."""
+        chain = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lower(col).alias("chain")) for c, col in enumerate((a, b))]))
+        once = df.select(chain.alias("z")).select("z.c", "z.chain").where("chain <> ''").distinct()
+        n = once.select("c", "chain", F.explode(chars(F.col("chain"))).alias("symbol")).groupBy("c", "chain", "symbol").agg(F.count("*").alias("n"))
+        met = n.join(broadcast_small(self.table(df.sparkSession)), ["c", "symbol"])
+        sums = met.groupBy("c", "chain").agg(*[F.sum(F.col("n") * F.col("w")[i]).alias(f"_s{i}") for i in range(len(self.labels))])
+        out = df
+        for c, col in enumerate((a, b)):
+            side = sums.where(F.col("c") == c).select(F.col("chain").alias("_chain"), *[F.col(f"_s{i}").alias(f"_s{c}{i}") for i in range(len(self.labels))])
+            out = out.join(side, F.lower(col) == F.col("_chain"), "left").drop("_chain")
+        part = lambda c, i: F.coalesce(f"_s{c}{i}", F.lit(0.0))
+        return out.select(*df.columns, *[(F.lit(float(self.prior[lb])) + part(0, i) + part(1, i)).alias(n)
+                                         for i, (lb, n) in enumerate(zip(self.labels, names))])
+
 
 def weight_table(train: DataFrame, symbols: Sequence[str],
                  labels: Sequence[str] = LABEL_NAMES) -> tuple[DataFrame, DataFrame]:
