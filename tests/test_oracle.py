@@ -20,7 +20,7 @@ def test_every_sql_key_has_a_query():
     assert set(SQL) <= set(E.queries())
 
 
-PYTHON_ALLOWED = {"normalize_nfd", "score_mapinpandas"}   # NFD fallback, user-model path
+PYTHON_ALLOWED = {"score_mapinpandas"}   # user-model path
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
