@@ -7,7 +7,7 @@ a penalty for every change of language, labels spans; a text's language is the o
 the most letters in its spans, and the score is their share.
 
 Learning counts n-grams of a bounded sample of labelled texts, at most about
-``MAX_TEXTS`` of each language, chosen by a hash of the text's id; the counts are summed
+``MAX_TEXTS`` of each of at most ``MAX_LANGUAGES`` languages (more raise), chosen by a hash of the text's id; the counts are summed
 by Spark and the model (languages x ``BUCKETS`` numbers) is sent to every task.
 
 Viterbi is exact. Where no stretch of words gains half the penalty by any other language
@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from .arrow import slices, with_columns
 
 MAX_TEXTS = 3000        # sampled for each language, about
+MAX_LANGUAGES = 200     # a column with more values raises
 BUCKETS = 1 << 16       # of hashed n-grams
 ORDERS = (1, 2, 3, 4)
 PENALTY = 15.0          # of a change of language, in units of log-probability
@@ -215,8 +216,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         max_texts: int = MAX_TEXTS) -> Model:
     """Learn from the rows of ``labelled`` whose language is not null."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = [F.when(F.col(lang_col) == r[lang_col], F.lit(max_texts / r["n"]))
-             for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).collect()]
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col!r}: not a column of languages")
+    share = [F.when(F.col(lang_col) == r[lang_col], F.lit(max_texts / r["n"])) for r in sizes]
     if not share:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((len(NAMES), 0), bool))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)) / 1e6

@@ -46,9 +46,9 @@ def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from those that are not held out."""
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out()).select("doc_id", "held_out", "text")
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out()).select("doc_id", "held_out", "text", "lang")
     model = toxicity_cnn.fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
-    return toxicity_cnn.score(docs, model) \
+    return toxicity_cnn.score(docs.drop("lang"), model) \
         .select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, seed: str,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label, weight): about ``per_class`` documents of each class 0 and 1 (all
+                    id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """(id, text, label, weight, *also): about ``per_class`` documents of each class 0 and 1 (all
     of a smaller class), chosen by a hash of the id; weight is how many labelled documents
     one stands for.
 
@@ -24,5 +26,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     draw = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(seed)), F.lit(1_000_000)) / 1e6
     stands_for = F.when(F.col("label") == 1, 1 / share.get(1, 1.0)).otherwise(1 / share.get(0, 1.0))
     chosen = marks.where(draw < rate).withColumn("weight", stands_for)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")) \
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *also) \
         .join(F.broadcast(chosen), "__id").withColumnRenamed("__id", "id")

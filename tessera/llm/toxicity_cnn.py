@@ -9,8 +9,10 @@ texts count as clean. It is trained in numpy by Adagrad: the forward pass finds
 window of each maximum, and only those windows are corrected.
 
 Thresholds are calibrated by language on texts kept from training: each language's
-logits are shifted so that 0.5 has the best F1, in the widest gap. A text's
-language is told from its own function words; the ``lang`` column is not read.
+logits are shifted so that 0.5 has the best F1, in the widest gap. The words that tell a
+language are learned from the sampled texts: those that most texts of a language hold and
+few of the others. A score reads the text alone: its language is the one with the most such
+words. Languages with few sampled texts share one threshold, as do texts without a language.
 
 Training takes about ``PER_CLASS`` labelled whole texts of each class, chosen by a hash
 of the id; Spark makes their token numbers and only these reach the driver. Scoring is
@@ -50,19 +52,10 @@ CALIBRATED = 4              # every so-manieth sampled text is kept for the thre
 MIN_CALIBRATED = 8          # texts of either class that a language needs for a threshold of its own
 KEPT_TOKENS = 300_000
 
-#: Common function words by language.
-FUNCTION_WORDS = {
-    "de": "der die das und ist ein eine nicht mit von den zu im für auf sich des dem als auch".split(),
-    "en": "the of and to in is that it for was with as by this are be from or on have".split(),
-    "es": "el la los las de y que en un una es por con para del se su al lo como".split(),
-    "fr": "le la les de des et un une est dans que qui pour du au sur avec par ne pas".split(),
-    "it": "il lo gli di e che un una per con non sono del della è si nel come ma".split(),
-    "nl": "de het een en van is dat op te in met voor niet zijn aan ook als bij door".split(),
-    "pt": "o os as de e que em um uma para com não do da por se no na mais".split(),
-}
-LANGUAGES = list(FUNCTION_WORDS)
-_BIT = {w: sum(1 << i for i, l in enumerate(LANGUAGES) if w in FUNCTION_WORDS[l])
-        for ws in FUNCTION_WORDS.values() for w in ws}
+MARKS = 30                  # words that tell a language, at most
+MARK_SHARE = 0.25           # by which the share of texts with such a word is above that of other languages
+MIN_LANGUAGE = 30           # sampled texts that a language needs
+MAX_LANGUAGES = 19          # told apart: the most frequent of the sample
 _edges = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -70,11 +63,11 @@ _WORD, _STEM = (1 << WORD_BITS) - 1, (1 << STEM_BITS) - 1
 
 
 def token_number(token: str) -> int:
-    """Hash of the word, hash of the stem and languages of a token, packed; 0 is blank."""
+    """Hash of the word and hash of the stem of a token, packed; 0 is blank."""
     plain = _edges.sub("", token.lower()) or token.lower()
     word = xxh64_intdigest(plain, 3) % _WORD + 1
     stem = xxh64_intdigest(plain[:STEM], 4) % _STEM + 1
-    return word | stem << WORD_BITS | _BIT.get(plain, 0) << WORD_BITS + STEM_BITS
+    return word | stem << WORD_BITS
 
 
 class Tokens(dict):
@@ -95,13 +88,38 @@ class Tokens(dict):
         return np.array(list(map(self.__getitem__, (text or "").split())) or [0], np.int64)
 
 
-def language(numbers: np.ndarray) -> int:
-    """Index of the language with the most function words in a text; -1: none."""
+def language(numbers: np.ndarray, languages: int) -> int:
+    """Number of the language with the most of its words in a text (as a model numbers it); -1: none."""
     bits = numbers >> WORD_BITS + STEM_BITS
     bits = bits[bits > 0]
     if not len(bits):
         return -1
-    return int(((bits[:, None] >> np.arange(len(LANGUAGES))) & 1).sum(axis=0).argmax())
+    return int(((bits[:, None] >> np.arange(languages)) & 1).sum(axis=0).argmax())
+
+
+def learn_marks(texts: list[np.ndarray], langs: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages told apart, and ascending word hashes with a bit for each language that
+    they tell. Texts are token numbers; a null language counts for none."""
+    sizes: dict[str, int] = {}
+    for lang in langs:
+        if lang is not None:
+            sizes[lang] = sizes.get(lang, 0) + 1
+    names = sorted((n for n, k in sizes.items() if k >= MIN_LANGUAGE), key=lambda n: (-sizes[n], n))[:MAX_LANGUAGES]
+    if len(names) < 2:
+        return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = [np.concatenate([np.unique(t & _WORD) for t, lang in zip(texts, langs) if lang == n]) for n in names]
+    words = np.unique(np.concatenate(held))
+    words = words[words > 0]
+    share = np.zeros((len(names), len(words)))
+    for i, (n, h) in enumerate(zip(names, held)):
+        seen, k = np.unique(h[h > 0], return_counts=True)
+        share[i, np.searchsorted(words, seen)] = k / sizes[n]
+    bits = np.zeros(len(words), np.int64)
+    for i in range(len(names)):
+        ahead = share[i] - np.delete(share, i, axis=0).mean(axis=0)
+        best = np.argsort(-ahead, kind="stable")[:MARKS]
+        bits[best[ahead[best] >= MARK_SHARE]] |= 1 << i
+    return names, words[bits > 0], bits[bits > 0]
 
 
 def frequent(parts: list[np.ndarray]) -> np.ndarray:
@@ -125,7 +143,10 @@ class Model:
     filters: list[np.ndarray]        # [width, DIM, FILTERS] for each width
     bias: np.ndarray                 # of all filters
     out: np.ndarray                  # weights of the pooled responses; the last is the bias
-    cut: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES) + 1))   # threshold by language; last: any other
+    languages: list = field(default_factory=list)
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))    # ascending hashes of words that tell a language
+    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))     # and which
+    cut: np.ndarray = field(default_factory=lambda: np.zeros(1))   # threshold by language; last: any other
     slope: float = 1.0
     parts: list | None = None        # responses to each word and stem alone, by width and offset
 
@@ -139,16 +160,19 @@ class Model:
                    np.zeros(FILTERS * len(WIDTHS), np.float32), np.abs(f(FILTERS * len(WIDTHS) + 1, by=0.1)))
 
     def renumber(self, numbers: np.ndarray) -> np.ndarray:
-        """Hashes -> rows, in the same packing."""
-        return rows_of(self.words, numbers & _WORD) | rows_of(self.stems, numbers >> WORD_BITS & _STEM) << WORD_BITS \
-            | numbers >> WORD_BITS + STEM_BITS << WORD_BITS + STEM_BITS
+        """Hashes -> rows, in the same packing, with the languages that a word tells above."""
+        word = numbers & _WORD
+        at = np.minimum(np.searchsorted(self.marks, word), max(len(self.marks) - 1, 0))
+        told = np.where(self.marks[at] == word, self.bits[at], 0) if len(self.marks) else np.zeros_like(word)
+        return rows_of(self.words, word) | rows_of(self.stems, numbers >> WORD_BITS & _STEM) << WORD_BITS \
+            | told << WORD_BITS + STEM_BITS
 
     def tokens(self) -> Tokens:
         """Reads texts into rows of this model."""
         word = {int(h): i for i, h in enumerate(self.words)}
         stem = {int(h): i << WORD_BITS for i, h in enumerate(self.stems)}
-        flags = ~(_STEM << WORD_BITS | _WORD)
-        return Tokens(lambda n: word.get(n & _WORD, 0) | stem.get(n >> WORD_BITS & _STEM, 0) | n & flags)
+        told = {int(h): int(b) << WORD_BITS + STEM_BITS for h, b in zip(self.marks, self.bits)}
+        return Tokens(lambda n: word.get(n & _WORD, 0) | stem.get(n >> WORD_BITS & _STEM, 0) | told.get(n & _WORD, 0))
 
     def pool(self, texts: list[np.ndarray], places: bool = False):
         """Largest responses [texts, filters] and, if asked for, where they are and the
@@ -186,7 +210,7 @@ class Model:
         return np.concatenate(out or [np.zeros(0)]).astype(np.float64) + float(self.out[-1])
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        cut = self.cut[[language(t) for t in texts]] if texts else np.zeros(0)
+        cut = self.cut[[language(t, len(self.languages)) for t in texts]] if texts else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.logits(texts) - cut), -40, 40)))
 
 
@@ -196,6 +220,35 @@ def _some(text: np.ndarray, r: np.random.Generator) -> np.ndarray:
     return kept if len(kept) else text
 
 
+def gradients(model: Model, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> tuple[list, list]:
+    """Of the weighted mean logistic loss of texts (numbers of rows): by the filters of each
+    width, the bias and the output weights; and (rows, gradients) by word and stem vectors,
+    of the windows with the largest responses."""
+    pooled, where, words, stems = model.pool(texts, places=True)
+    p = 1 / (1 + np.exp(-(pooled @ model.out[:-1] + model.out[-1])))
+    slope = ((p - label) * weight / len(texts)).astype(np.float32)
+    back = (slope[:, None] * model.out[:-1]) * np.where(pooled > 0, np.float32(1), LEAK)
+    grads = [*[np.zeros_like(f) for f in model.filters], back.sum(axis=0), np.append(slope @ pooled, slope.sum())]
+    at, push = [], []
+    for k, f in enumerate(model.filters):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        w, g = where[:, cols], back[:, cols]
+        for o in range(len(f)):
+            x = model.word[words[w + o]] + model.stem[stems[w + o]]           # [texts, filters, DIM]
+            grads[k][o] = np.einsum("tfd,tf->df", x, g)
+            at.append((w + o).ravel())
+            push.append((g[:, :, None] * f[o].T[None]).reshape(-1, DIM))
+    at, push = np.concatenate(at), np.concatenate(push)
+    vectors = []
+    for rows in (words[at], stems[at]):
+        touched, back_to = np.unique(rows, return_inverse=True)
+        g = np.zeros((len(touched), DIM), np.float32)
+        np.add.at(g, back_to, push)
+        g[touched == 0] = 0                                                    # blanks stay zero
+        vectors.append((touched, g))
+    return grads, vectors
+
+
 def train(texts: list[np.ndarray], label: np.ndarray, seed: int = 0) -> Model:
     """Adagrad on the logistic loss, the classes weighted alike."""
     model = Model.random(frequent([t & _WORD for t in texts]), frequent([t >> WORD_BITS & _STEM for t in texts]), seed)
@@ -207,30 +260,11 @@ def train(texts: list[np.ndarray], label: np.ndarray, seed: int = 0) -> Model:
         order = r.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             part = order[i:i + BATCH]
-            pooled, where, words, stems = model.pool([_some(texts[j], r) for j in part], places=True)
-            p = 1 / (1 + np.exp(-(pooled @ model.out[:-1] + model.out[-1])))
-            slope = ((p - label[part]) * weight[part] / len(part)).astype(np.float32)
-            back = (slope[:, None] * model.out[:-1]) * np.where(pooled > 0, np.float32(1), LEAK)
-            grads = [None, None, *[np.zeros_like(f) for f in model.filters], back.sum(axis=0),
-                     np.append(slope @ pooled, slope.sum())]
-            at, push = [], []
-            for k, f in enumerate(model.filters):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                w, g = where[:, cols], back[:, cols]
-                for o in range(len(f)):
-                    x = model.word[words[w + o]] + model.stem[stems[w + o]]           # [texts, filters, DIM]
-                    grads[2 + k][o] = np.einsum("tfd,tf->df", x, g)
-                    at.append((w + o).ravel())
-                    push.append((g[:, :, None] * f[o].T[None]).reshape(-1, DIM))
-            at, push = np.concatenate(at), np.concatenate(push)
-            for table, kept, rows in ((model.word, past[0], words[at]), (model.stem, past[1], stems[at])):
-                touched, back_to = np.unique(rows, return_inverse=True)
-                g = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(g, back_to, push)
-                g[touched == 0] = 0                                                    # blanks stay zero
+            grads, vectors = gradients(model, [_some(texts[j], r) for j in part], label[part], weight[part])
+            for table, kept, (touched, g) in zip(params, past, vectors):
                 kept[touched] += g * g
                 table[touched] -= RATE * g / np.sqrt(kept[touched])
-            for p_, kept, g in zip(params[2:], past[2:], grads[2:]):
+            for p_, kept, g in zip(params[2:], past[2:], grads):
                 g = g.astype(np.float32) + DECAY * p_
                 kept += g * g
                 p_ -= RATE * g / np.sqrt(kept)
@@ -249,8 +283,10 @@ def best_cut(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2)
 
 
-def fit_texts(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int = 0) -> Model:
-    """Train on token numbers and calibrate the thresholds on the texts kept from it."""
+def fit_texts(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, seed: int = 0,
+              langs: list[str | None] | None = None) -> Model:
+    """Train on token numbers and calibrate the thresholds on the texts kept from it, by what
+    their words say of ``langs``."""
     if len(set(label.tolist())) < 2:
         model = Model.random(np.zeros(1, np.int64), np.zeros(1, np.int64), seed)
         model.out[:] = 0
@@ -261,15 +297,17 @@ def fit_texts(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, se
         kept = np.ones(len(texts), bool)
     on = np.flatnonzero(~kept) if not kept.all() else np.arange(len(texts))
     model = train([texts[i] for i in on], label[on], seed)
+    model.languages, model.marks, model.bits = learn_marks(texts, langs or [None] * len(texts))
     of = np.flatnonzero(kept)
-    z, y = model.logits([model.renumber(texts[i]) for i in of]), label[of]
-    langs = np.array([language(texts[i]) for i in of])
-    model.cut[:] = best_cut(z, y, weight[of])
-    for k in range(len(LANGUAGES)):
-        own = langs == k
+    read = [model.renumber(texts[i]) for i in of]
+    z, y = model.logits(read), label[of]
+    told = np.array([language(t, len(model.languages)) for t in read])
+    model.cut = np.full(len(model.languages) + 1, best_cut(z, y, weight[of]))
+    for k in range(len(model.languages)):
+        own = told == k
         if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= MIN_CALIBRATED:
             model.cut[k] = best_cut(z[own], y[own], weight[of][own])
-    shifted = z - model.cut[langs]
+    shifted = z - model.cut[told]
     model.slope = logistic_curve(shifted, y, np.ones(len(y)))[0]
     return model
 
@@ -283,15 +321,18 @@ def _numbers_setup():
     return fn
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Learn from the documents (doc_id, text) that have a label 0 or 1 in ``labels``."""
-    sample = labelled_sample(docs, labels, label_col, per_class, "toxicity")
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, lang_col: str = "lang") -> Model:
+    """Learn from the documents (doc_id, text) that have a label 0 or 1 in ``labels``; if they
+    have a column of that name, also which words tell a language."""
+    also = [lang_col] if lang_col in docs.columns else []
+    sample = labelled_sample(docs, labels, label_col, per_class, "toxicity", also=also)
+    lang = F.col(lang_col).cast("string") if also else F.lit(None).cast("string")
     got = with_columns(sample, "text", _numbers_setup, [T.StructField("numbers", T.ArrayType(T.LongType(), False))]) \
-        .select("id", "numbers", "label", "weight").toArrow().sort_by("id")
+        .select("id", "numbers", "label", "weight", lang.alias("lang")).toArrow().sort_by("id")
     lists = got.column("numbers").combine_chunks()
     flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     return fit_texts([flat[a - at[0]:b - at[0]] for a, b in zip(at, at[1:])],
-                     got.column("label").to_numpy(), got.column("weight").to_numpy())
+                     got.column("label").to_numpy(), got.column("weight").to_numpy(), langs=got.column("lang").to_pylist())
 
 
 def _score_setup(content):
@@ -303,7 +344,8 @@ def _score_setup(content):
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the toxicity of each whole text, calibrated to split at 0.5. A column of that name is replaced."""
     content = df.sparkSession.sparkContext.broadcast(
-        (model.words, model.stems, model.word, model.stem, model.filters, model.bias, model.out, model.cut, model.slope))
+        (model.words, model.stems, model.word, model.stem, model.filters, model.bias, model.out, model.languages, model.marks,
+         model.bits, model.cut, model.slope))
     return with_columns(df, text_col, partial(_score_setup, content), [T.StructField(out, T.DoubleType(), False)])
 
 

@@ -267,3 +267,79 @@ def test_fitting_samples_are_as_documented():
     import pathlib
     readme = (pathlib.Path(__file__).parents[2] / "README.md").read_text()
     assert f"at most about {toxicity_cnn.PER_CLASS:,} and {nbsvm.PER_CLASS:,} labelled texts of each class" in readme
+
+
+def test_toxicity_training_step_by_finite_differences(monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "LEAK", np.float32(0.1))
+    r = np.random.default_rng(8)
+    words, stems = np.arange(12), np.arange(7)
+    m = toxicity_cnn.Model.random(words, stems, 2)
+    for name in ("word", "stem", "bias", "out"):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    m.filters = [f.astype(np.float64) for f in m.filters]
+    texts = [r.integers(1, 12, n) | r.integers(1, 7, n) << toxicity_cnn.WORD_BITS for n in (1, 4, 9)]
+    label, weight = np.array([1, 0, 1]), np.array([0.7, 1.3, 1.0])
+
+    def loss():
+        z = (m.pool(texts) * m.out[:-1]).sum(axis=1) + m.out[-1]
+        return float((weight * np.logaddexp(0, np.where(label == 1, -z, z))).mean())
+
+    grads, vectors = toxicity_cnn.gradients(m, texts, label, weight)
+    dense = [(p, g) for p, g in zip([*m.filters, m.bias, m.out], grads)]
+    for table, (rows, g) in zip((m.word, m.stem), vectors):
+        full = np.zeros_like(table)
+        full[rows] = g
+        dense.append((table, full))
+    for p, g in dense:
+        flat, got = p.reshape(-1), np.asarray(g).reshape(-1)
+        for i in r.choice(len(flat), min(25, len(flat)), replace=False):
+            if p is m.word and i < toxicity_cnn.DIM or p is m.stem and i < toxicity_cnn.DIM:
+                continue                                       # row 0 is blank and stays zero
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            down = loss()
+            flat[i] = old
+            assert (up - down) / 2e-5 == pytest.approx(got[i], rel=2e-2, abs=2e-4)
+
+
+def test_best_cut_against_all_cuts():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(r.integers(2, 30))
+        z, y, w = r.integers(0, 12, n).astype(float), r.integers(0, 2, n), r.integers(1, 4, n).astype(float)
+        if len(set(y.tolist())) < 2 or len(set(z.tolist())) < 2:
+            continue
+        f1 = lambda c: 2 * (w * y)[z > c].sum() / ((w * y).sum() + w[z > c].sum())  # noqa: B023,E731
+        values = np.unique(z)
+        cuts = (values[1:] + values[:-1]) / 2
+        best = max(f1(c) for c in cuts)
+        cut = toxicity_cnn.best_cut(z, y, w)
+        assert f1(cut) == pytest.approx(best)
+        gap = {c: b - a for a, b, c in zip(values, values[1:], cuts)}
+        assert gap[min(cuts, key=lambda c: abs(c - cut))] == max(g for c, g in gap.items() if f1(c) == pytest.approx(best))
+
+
+def test_words_that_tell_a_language_are_learned(monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "MIN_LANGUAGE", 5)
+    r = np.random.default_rng(10)
+    own = {"xx": ["ba", "be", "bi"], "yy": ["ka", "ke", "ba"], "zz": ["lo"]}
+    made = lambda lang: " ".join([*own[lang], *[f"w{r.integers(1000)}" for _ in range(5)]])
+    langs = ["xx"] * 20 + ["yy"] * 10 + ["zz"] * 2 + [None] * 3
+    texts = [toxicity_cnn.Tokens().of(made(lang or "zz")) for lang in langs]
+    names, marks, bits = toxicity_cnn.learn_marks(texts, langs)
+    assert names == ["xx", "yy"]
+    number = {w: toxicity_cnn.token_number(w) & toxicity_cnn._WORD for w in ("be", "bi", "ka", "ke", "ba")}
+    assert dict(zip(marks.tolist(), bits.tolist())) == {number["be"]: 1, number["bi"]: 1, number["ka"]: 2, number["ke"]: 2}
+    m = toxicity_cnn.Model.random(np.array([0]), np.array([0]))
+    m.languages, m.marks, m.bits = names, marks, bits
+    told = [toxicity_cnn.language(m.renumber(toxicity_cnn.Tokens().of(t)), 2) for t in ("be x", "ka ke be", "ba", "")]
+    assert told == [0, 1, -1, -1]
+    assert (m.tokens().of("be ka q ba") == m.renumber(toxicity_cnn.Tokens().of("be ka q ba"))).all()
+
+
+def test_a_column_of_many_values_is_no_language(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.fit(df)

@@ -336,3 +336,22 @@ def test_ratios_threshold_and_belonging_by_hand():
     chosen = tag_paths.content(page, texts, fused)
     assert chosen.tolist() == [False, True, True]
     assert tag_paths.belonging(page, chosen).tolist() == [False, True, True]
+
+
+def test_every_code_point_as_the_library_encodes_it():
+    """All assigned and unassigned code points, each inside a word, between digits and alone."""
+    from itertools import chain
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(queries.WORD_BPE)
+    tok.no_truncation()
+    tok.no_padding()
+    codec = bpe_codec.WordBpe(bpe_codec.load(queries.WORD_BPE))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    bad = []
+    for i in range(0, len(points), 50_000):
+        part = points[i:i + 50_000]
+        texts = [f"ab{chr(c)}c 1{chr(c)}2 {chr(c)}" for c in part]
+        for c, t, e in zip(part, texts, tok.encode_batch(texts, add_special_tokens=False)):
+            if list(chain.from_iterable(codec.encode(t))) != e.ids:
+                bad.append(hex(c))
+    assert not bad
