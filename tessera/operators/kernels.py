@@ -20,6 +20,7 @@ from ..functions.exprs import hex_prefix_value
 
 
 ROWS_PER_BUCKET = 200_000
+SKETCHED = 64                # quantiles taken along with the row count
 
 
 def index_digits(n: int) -> int:
@@ -69,9 +70,9 @@ def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: S
     """Running ``sum``/``max``/``min`` of ``values`` ordered by the numeric ``order_col``
     within ``by`` (inclusive of the current row, ties broken by nothing: give a unique order).
 
-    Buckets are approximate-quantile ranges of ``order_col`` (``approxQuantile``: one
-    pass, at most ``buckets`` boundaries reach the driver; by default the count sets
-    about ROWS_PER_BUCKET rows per bucket, at least two buckets), assigned with the ML
+    Buckets are approximate-quantile ranges of ``order_col`` (at most ``buckets``
+    boundaries reach the driver; by default the count sets about ROWS_PER_BUCKET rows per
+    bucket, at least two buckets, and both are found in one pass), assigned with the ML
     ``Bucketizer`` (binary search in the JVM). Quantile ranges keep buckets balanced when
     the values crowd into a narrow range, where equal-width ranges would put most rows
     into one bucket (one task). Output: input columns + ``<value><suffix>`` for each value
@@ -80,10 +81,16 @@ def prefix_aggregate(df: DataFrame, by: Sequence[str], order_col: str, values: S
     """
     by = list(by)
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    if buckets is None:
-        buckets = max(2, math.ceil(df.count() / ROWS_PER_BUCKET))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(order_col, probs, 1.0 / (2 * buckets)) if probs else []
+    cuts = None
+    if buckets is None:                      # rows and quantiles in one pass, if these are enough
+        probs = [i / SKETCHED for i in range(1, SKETCHED)]
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(order_col).cast("double"), probs, 20 * SKETCHED).alias("q")).first()
+        buckets = max(2, math.ceil(r["n"] / ROWS_PER_BUCKET))
+        if buckets <= SKETCHED:
+            cuts = [r["q"][i * SKETCHED // buckets - 1] for i in range(1, buckets)] if r["q"] else []
+    if cuts is None:
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = df.approxQuantile(order_col, probs, 1.0 / (2 * buckets)) if probs else []
     splits = [float("-inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     x = df.withColumn("_o", F.col(order_col).cast("double"))
     x = Bucketizer(splits=splits, inputCol="_o", outputCol="_bd", handleInvalid="keep").transform(x)

@@ -132,27 +132,34 @@ def max_len(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "max_len", F.greatest("max_len_a", "max_len_b"))
 
 
-def encode_padded(df: DataFrame, vocab: dict[str, int], by: Sequence[str] = ("split",),
+def encode_padded(df: DataFrame, vocab: dict[str, int] | DataFrame, by: Sequence[str] = ("split",),
                   pad_id: int = 0, on_unknown: str = "error") -> DataFrame:
     """ids + attention mask of both chains, right-padded to the max length of the row's
-    group (train and test pad to their own length, as the reference does)."""
+    group (train and test pad to their own length, as the reference does). A vocabulary
+    given as a table (token, id) may have any size (``encode_ids``; unknown tokens raise)."""
     lens = max_len(df, by).select(*by, "max_len")
     if by:
         x = df.join(broadcast_small(lens), list(by))      # one row per group
     else:                                      # a scalar: inline it
         x = df.withColumn("max_len", F.lit(lens.first()["max_len"]))
-    out = x
-    for ch, col in CHAINS:
-        ids = encode_wl(col, vocab, on_unknown)
-        out = out.withColumn(f"ids_{ch}", pad(ids, F.col("max_len"), pad_id)) \
-                 .withColumn(f"mask_{ch}", attention_mask(F.size(ids), F.col("max_len")))
+    if isinstance(vocab, DataFrame):
+        out = encode_ids(x, vocab)
+    else:
+        out = x.select("*", *[encode_wl(col, vocab, on_unknown).alias(f"ids_{ch}") for ch, col in CHAINS])
+    for ch, _ in CHAINS:
+        out = out.withColumn(f"mask_{ch}", attention_mask(F.size(f"ids_{ch}"), F.col("max_len"))) \
+                 .withColumn(f"ids_{ch}", pad(F.col(f"ids_{ch}"), F.col("max_len"), pad_id))
     return out
 
 
-def encode_combined(df: DataFrame, vocab: dict[str, int], truncate: int | None = None, pad_id: int = 0) -> DataFrame:
+def encode_combined(df: DataFrame, vocab: dict[str, int] | DataFrame, truncate: int | None = None, pad_id: int = 0) -> DataFrame:
     """``df`` with the ids of both chains as one string, padded to the longest row; cut to
-    ``truncate`` symbols only if that is given."""
+    ``truncate`` symbols only if that is given. A vocabulary given as a table may have any size."""
     longest = df.agg(F.max(F.length("chain_a") + F.length("chain_b"))).first()[0] or 0
     length = longest if truncate is None else min(truncate, longest)
-    ids = encode_wl(F.concat("chain_a", "chain_b"), vocab)
-    return df.withColumn("ids", pad(ids if truncate is None else F.slice(ids, 1, truncate), length, pad_id))
+    if isinstance(vocab, DataFrame):
+        x, ids = encode_ids(df, vocab), F.concat("ids_a", "ids_b")
+    else:
+        x, ids = df, encode_wl(F.concat("chain_a", "chain_b"), vocab)
+    out = pad(ids if truncate is None else F.slice(ids, 1, truncate), length, pad_id)
+    return x.select(*df.columns, out.alias("ids"))

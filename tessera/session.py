@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):       # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage: checkpoints "
                            "and materialized tables must survive the loss of an executor")
     d = tempfile.mkdtemp(prefix="tessera-ckpt-")   # local mode only (tests)

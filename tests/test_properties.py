@@ -191,3 +191,18 @@ def test_bpe_phases_against_brute_force(spark):
 def test_bpe_encodes_tokens_made_in_two_ways():
     merges = [("b", "c"), ("a", "bc"), ("x", "abc"), ("a", "b"), ("ab", "c")]
     assert B.in_order(merges) == [*merges, ("x", "abc")]
+
+
+def test_large_vocabularies_are_joined_not_written_into_the_plan(spark):
+    words = [(i, "abc"[: 1 + i % 3], "" if i % 4 == 0 else "cba", "train" if i % 2 else "test") for i in range(20)]
+    df = spark.createDataFrame(words, "seq_id long, chain_a string, chain_b string, split string")
+    small = {"a": 5, "b": 6, "c": 7}
+    rows = [*small.items(), *((chr(0x4E00 + i), 8 + i) for i in range(11_000))]
+    large = spark.createDataFrame(rows, "token string, id int")
+    key = lambda d: sorted(tuple(map(str, r)) for r in d.collect())
+    cols = ["seq_id", "ids_a", "mask_a", "ids_b", "mask_b"]
+    got = K.encode_padded(df, large)
+    assert key(got.select(cols)) == key(K.encode_padded(df, small).select(cols))
+    assert chr(0x4E00 + 500) not in got._jdf.queryExecution().analyzed().toString()
+    assert key(K.encode_combined(df, large).select("seq_id", "ids")) == key(K.encode_combined(df, small).select("seq_id", "ids"))
+    assert key(K.encode_combined(df, large, 2).select("seq_id", "ids")) == key(K.encode_combined(df, small, 2).select("seq_id", "ids"))
