@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chars, relative_position
-from ..session import broadcast_small, materialize
+from ..session import MAX_BROADCAST_ROWS, broadcast_small, materialize
 
 CHAINS = (("a", "chain_a"), ("b", "chain_b"))
 
@@ -90,11 +90,12 @@ def exact_quantiles(counts: DataFrame, value: str, by: Sequence[str], probs: Seq
     ranks = F.array(*[F.struct(F.lit(2 * i + j).alias("k"), (f(at(p)).cast("long") + 1).alias("rank"))
                       for i, p in enumerate(probs) for j, f in enumerate((F.floor, F.ceil))])
     stats = materialize(stats, "group-bounds")
+    met = F.broadcast if stats.count() * 2 * len(probs) <= MAX_BROADCAST_ROWS else (lambda d: d)
     open_ = stats.select(*by, F.explode(ranks).alias("_t"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b")) \
         .select(*by, F.col("_t.k").alias("_k"), F.col("_t.rank").alias("_rank"), "_a", "_b")
     done = []
     while True:
-        x = counts.select(*by, F.col(value).alias("_v"), F.col(weight).alias("_x")).join(broadcast_small(open_), by) if by else \
+        x = counts.select(*by, F.col(value).alias("_v"), F.col(weight).alias("_x")).join(met(open_), by) if by else \
             counts.select(F.col(value).alias("_v"), F.col(weight).alias("_x"), F.lit(0).alias("_g")).join(
                 F.broadcast(open_.withColumn("_g", F.lit(0))), "_g").drop("_g")
         cell = F.when(F.col("_b") > F.col("_a"), F.least(F.floor(
