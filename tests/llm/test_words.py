@@ -262,6 +262,28 @@ def test_op13_copies_do_not_make_a_reference(spark):
     assert sorted(refs.first().common) == sorted("alpha beta gamma delta of the and".split())
 
 
+def test_op13_a_rare_language_has_a_reference(spark):
+    rows = [(i, " ".join(["alpha beta gamma delta"] * 2500) + f" {i}", "en") for i in range(160)]
+    rows += [(1000 + i, " ".join(["uno dos tres"] * 40) + f" {i}", "es") for i in range(10)]
+    refs = {r.lang: r for r in divergence.references(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert refs.keys() == {"en", "es"} and sorted(refs["es"].common[:3]) == ["dos", "tres", "uno"]
+
+
+def test_op13_any_number_of_references(spark, monkeypatch):
+    rnd = random.Random(9)
+    text = lambda k: " ".join(f"{k}{rnd.randint(0, 40)}" for _ in range(120))
+    rows = [(100 * j + i, text("vwxyz"[j]) + f" {i}", lang) for j, lang in enumerate(["l1", "l2", "l3", None]) for i in range(12 + j)]
+    rows += [(900, text("z"), "l2"), (901, "short", "l1"), (902, None, "l3"), (903, text("q"), "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = divergence.references(df)
+    assert refs.count() == 4
+    whole = sorted(divergence.judge(df, refs).collect())
+    monkeypatch.setattr(divergence, "HOT", 2)
+    parts = sorted(divergence.judge(df, refs).collect())
+    assert parts == whole
+    assert all(r.words_apart is not None for r in parts if r.doc_id < 900) and not next(r for r in parts if r.doc_id == 900).kept
+
+
 def test_op13_edge_cases(spark, edge, none):
     refs = divergence.references(edge)
     got = divergence.judge(edge, refs)
