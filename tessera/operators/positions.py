@@ -19,13 +19,24 @@ def residue_positions(df: DataFrame, extra: Sequence[str] = ("tags",)) -> DataFr
     parts = F.array(*[F.struct(F.lit(ch).alias("chain"), F.col(col).alias("s"))
                       for ch, col in CHAINS])
     x = df.select("seq_id", *extra, F.explode(parts).alias("c"))
-    x = x.select("seq_id", *extra, F.col("c.chain").alias("chain"),
-                 F.length("c.s").cast("long").alias("len"),
-                 F.posexplode(chars(F.lower("c.s"))).alias("idx", "aa"))
-    return x.select("seq_id", *extra, "chain", F.col("idx").cast("long").alias("idx"), "len", "aa",
+    return _placed(x.select("seq_id", *extra, "c.chain", "c.s"), ["seq_id", *extra])
+
+
+def _placed(x: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(*keep, chain, idx, len, aa, position) of the symbols of strings (*keep, chain, s)."""
+    x = x.select(*keep, "chain", F.length("s").cast("long").alias("len"), F.posexplode(chars(F.lower("s"))).alias("idx", "aa"))
+    return x.select(*keep, "chain", F.col("idx").cast("long").alias("idx"), "len", "aa",
                     relative_position(F.col("idx"), F.col("len")).alias("position"))
 
 
+def counted_positions(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """``residue_positions`` without seq_id, of the distinct chains: ``_n`` tells how many rows
+    each stands for. What is counted by symbol and position reads it as well."""
+    parts = F.array(*[F.struct(F.lit(ch).alias("chain"), F.col(col).alias("s")) for ch, col in CHAINS])
+    x = df.select(*extra, F.explode(parts).alias("c")).select(*extra, "c.chain", "c.s").where("s <> ''")
+    return _placed(x.groupBy(*extra, "chain", "s").agg(F.count(F.lit(1)).alias("_n")), [*extra, "_n"])
+
+
 def _bin_expr(x: Column, lo: Column, hi: Column, bins: Column) -> Column:
     """NumPy equal-width bin: (x - lo) * (bins / (hi - lo)), last bin closed.
     A zero range is widened to lo-0.5 .. hi+0.5 as NumPy does."""
@@ -39,8 +50,10 @@ def _bin_expr(x: Column, lo: Column, hi: Column, bins: Column) -> Column:
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
     """(*by, *extra, value, _w): the one pass over the data every histogram needs
     (partial aggregation before the shuffle); the rest runs on this table, which is
-    small when values repeat (relative positions take few distinct values)."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by, *extra, value).agg(F.count(F.lit(1)).alias("_w"))
+    small when values repeat (relative positions take few distinct values). A row with a
+    column ``_n`` stands for so many."""
+    n = F.sum("_n") if "_n" in df.columns else F.count(F.lit(1))
+    return df.where(F.col(value).isNotNull()).groupBy(*by, *extra, value).agg(n.alias("_w"))
 
 
 def hist_fixed(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20,
@@ -133,7 +146,7 @@ def _auto_width(n: Column, lo: Column, hi: Column, q: Column) -> tuple[Column, C
 def auto_bin_stats(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """NumPy 'auto' bins per group: min(Freedman-Diaconis, Sturges) width, Sturges when
     the IQR is 0; n_bins = ceil(range / width), 1 when the width is 0. Quartiles are exact,
-    or those of a sketch of 10,000 values (``exact=False``)."""
+    or those of a sketch of 10,000 values (``exact=False``, for rows that stand for themselves alone)."""
     if exact:
         s = exact_quantiles(materialize(value_counts(df, value, by), "value-counts"), value, by, QUARTILES)
     else:

@@ -24,7 +24,7 @@ SELECT chain, aa, position, count(*) AS n FROM positions GROUP BY chain, aa, pos
                                          "positions"))
 def positions_by_symbol(spark, sf):
     # the list of positions per symbol, as a multiset (position, n): bounded per symbol
-    return positions(spark, sf).groupBy("chain", "aa", "position").agg(F.count(F.lit(1)).alias("n"))
+    return P.counted_positions(seq(spark, sf)).groupBy("chain", "aa", "position").agg(F.sum("_n").alias("n"))
 
 
 _HIST20 = """
@@ -43,7 +43,7 @@ FROM g LEFT JOIN c ON g.chain = c.chain AND g.aa = c.aa AND g.bin = c.bin"""
 
 @query("hist20_by_symbol", with_views(_HIST20, "positions"))
 def hist20_by_symbol(spark, sf):
-    return P.hist_fixed(positions(spark, sf), "position", ["chain", "aa"], bins=20)
+    return P.hist_fixed(P.counted_positions(seq(spark, sf)), "position", ["chain", "aa"], bins=20)
 
 
 _AUTO = """
@@ -59,7 +59,7 @@ FROM (SELECT *, CASE WHEN fd > 0 THEN least(fd, st) ELSE st END AS width
 
 @query("auto_bins", with_views(_AUTO, "positions"))
 def auto_bins(spark, sf):
-    return P.auto_bin_stats(positions(spark, sf), "position", ["chain", "aa"])
+    return P.auto_bin_stats(P.counted_positions(seq(spark, sf)), "position", ["chain", "aa"])
 
 
 _HIST2D = """
@@ -86,6 +86,6 @@ GROUP BY chain, label, bin, aa"""
 
 @query("hist2d_symbol_position", with_views(_HIST2D, "positions"))
 def hist2d_symbol_position(spark, sf):
-    p = positions(spark, sf).where(F.col("tags").isin("Q", "T", "X", "negative")) \
+    p = P.counted_positions(seq(spark, sf), ["tags"]).where(F.col("tags").isin("Q", "T", "X", "negative")) \
         .withColumnRenamed("tags", "label")
     return P.hist2d(p, "position", "aa", ["chain", "label"])
