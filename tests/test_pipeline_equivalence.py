@@ -238,3 +238,70 @@ def test_pair_table_is_rederived_when_its_folder_is_gone(spark, small_dir):
     T._SEQ_TABLES[key] = "/tmp/tessera-missing-folder-for-test"   # as if cleaned up
     again = T.sequences(spark, small_dir)
     assert again.count() == n and T._SEQ_TABLES[key] != "/tmp/tessera-missing-folder-for-test"
+
+
+def test_scan_digest_equals_the_raw_deltas(spark, small_dir, monkeypatch):
+    """Repeated pairs, an unknown symbol and an empty chain; more blocks than one."""
+    monkeypatch.setattr(X, "DELTAS_AT_ONCE", 100)
+    m = QS.model(spark, small_dir)
+    rows = [(1, "the", "cat", "Q"), (2, "the", "cat", "Q"), (3, "dog", "", "X"), (4, "d€g", "the", "X"), (5, "x", "the", "negative")]
+    df = spark.createDataFrame(rows, "seq_id long, chain_a string, chain_b string, grp string")
+    want = {}
+    for r in X.substitution_deltas(df, m).collect():
+        want.setdefault((r.chain, r.grp, r.aa), []).append(r)
+    got = {(r.chain, r.grp, r.aa): r for r in X.delta_digest(df, m).collect()}
+    assert got.keys() == want.keys()
+    for key, rs in want.items():
+        assert got[key].n == len(rs)
+        for lb in m.labels:
+            d = np.array([r[f"d_{lb}"] for r in rs])
+            assert np.allclose([got[key][f"{k}_{lb}"] for k in ("total", "squares", "lowest", "highest")],
+                               [d.sum(), (d * d).sum(), d.min(), d.max()], atol=1e-9)
+
+
+def test_counted_chains_tell_what_all_rows_do(spark):
+    """Each distinct chain is taken apart once, and counts for all of its rows."""
+    from tessera.operators import positions as P
+    from tessera.operators import tokens as K
+    rows = [(1, "aab", "", "Q"), (2, "aab", "b", None), (3, "ä𝒳", "aab", "Q"), (4, None, "b", "Q")]
+    df = spark.createDataFrame(rows, "seq_id long, chain_a string, chain_b string, tags string")
+    for extra in ([], ["tags"]):
+        by = [*extra, "chain", "aa", "position"]
+        want = P.residue_positions(df).groupBy(*by).count().collect()
+        assert {r[:-1]: r[-1] for r in want} == {r[:-1]: r[-1] for r in P.counted_positions(df, extra).groupBy(*by).sum("_n").collect()}
+    assert K.chain_table(df, [F.count("*").alias("n")]).count() == 4
+    assert {r.token: r.n for r in K.token_counts(df).collect()} == {"a": 6, "b": 5, "ä": 1, "𝒳": 1}
+
+
+def test_equal_chains_are_expanded_once(spark, small_dir):
+    from tessera.sources import tables as T
+    s = T.sequences(spark, small_dir)
+    words = s.select(F.explode(F.array("chain_a", "chain_b")).alias("w")).where("w <> ''")
+    distinct = sum(s.select(c).where(f"{c} <> ''").distinct().count() for c in ("chain_a", "chain_b"))
+    plan = QS.substitution_expand(spark, small_dir)
+    read = plan.inputFiles()
+    assert all("/chains-" in f for f in read) and spark.read.parquet(read[0].rsplit("/", 1)[0]).count() == distinct < words.count()
+
+
+def test_pair_representation_by_row_equals_the_joins(spark, monkeypatch):
+    from tessera.operators import reps as RP
+    rows = spark.createDataFrame([("a", 0, 0.25), ("a", 2, 0.75), ("b", 1, 1.0), ("𝒳", 2, 0.5)], "symbol string, k int, value double")
+    data = [(1, "ab", "ba"), (2, "Aa?", ""), (3, "_a", "𝒳"), (4, "??", None), (5, "ab", "b_")]
+    df = spark.createDataFrame(data, "seq_id long, chain_a string, chain_b string")
+    flat = lambda d: sorted((r.seq_id, [(e.k, round(e.value, 9)) for e in r.rep], [(e.k, round(e.value, 9)) for e in r.rep_first]) for r in d.collect())
+    fast = RP.pair_representation(df, rows, 3)
+    assert "hashpartitioning" not in _plan(fast)
+    monkeypatch.setattr(RP, "CELLS", 0)
+    assert flat(fast) == flat(RP.pair_representation(df, rows, 3))
+
+
+def test_only_the_named_columns_meet_the_encoder(spark, small_dir):
+    """Nulls stay null, empty chains are empty, unknown symbols raise."""
+    import pytest
+
+    from tessera.operators import tokens as K
+    v = spark.createDataFrame([("[UNK]", 0), ("a", 5), ("𝒳", 7)], "token string, id int")
+    df = spark.createDataFrame([(1, "A𝒳", ""), (2, None, "a")], "seq_id long, chain_a string, chain_b string")
+    assert sorted(tuple(r) for r in K.encode_ids(df, v).select("seq_id", "ids_a", "ids_b").collect()) == [(1, [5, 7], []), (2, None, [5])]
+    with pytest.raises(Exception, match="token not in vocabulary"):
+        K.encode_ids(df.withColumn("chain_b", F.lit("z")), v).collect()
