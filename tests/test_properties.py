@@ -206,3 +206,21 @@ def test_large_vocabularies_are_joined_not_written_into_the_plan(spark):
     assert chr(0x4E00 + 500) not in got._jdf.queryExecution().analyzed().toString()
     assert key(K.encode_combined(df, large).select("seq_id", "ids")) == key(K.encode_combined(df, small).select("seq_id", "ids"))
     assert key(K.encode_combined(df, large, 2).select("seq_id", "ids")) == key(K.encode_combined(df, small, 2).select("seq_id", "ids"))
+
+
+def test_every_row_has_the_encoding_of_its_own_chains(spark, monkeypatch):
+    merges, ids = [("Ġ", "a"), ("b", "c"), ("Ġa", "bc")], {t: i for i, t in enumerate(["Ġ", "a", "b", "c", "Ġa", "bc", "Ġabc"])}
+    rows = [(1, "abc", "b"), (1, "cab", ""), (None, "bc", "abc"), (2, None, "abc"), (3, "", ""), (4, "xa", "abc")]
+    want = [["Ġabc | Ġ b"], ["Ġ c a b | "], ["Ġ bc | Ġabc"], [" | Ġabc"], [" | "], ["Ġ x a | Ġabc"]]
+    for often in (20_000, 1, 0):                # broadcast, shuffled for one column or both
+        monkeypatch.setattr(B, "OFTEN", often)
+        got = B.encode(spark.createDataFrame(rows, "seq_id long, chain_a string, chain_b string"), merges, ids).collect()
+        text = {(r.seq_id, r.chain_a, r.chain_b): [f"{' '.join(r.tokens_a)} | {' '.join(r.tokens_b)}"] for r in got}
+        assert len(got) == len(rows) and text == dict(zip(rows, want))
+        assert all(r.ids_a == [ids.get(t) for t in r.tokens_a] and r.ids_b == [ids.get(t) for t in r.tokens_b] for r in got)
+
+
+def test_a_word_table_is_not_shuffled_by_the_jobs_of_a_phase(spark):
+    state = BT._stored(spark.createDataFrame([([i, i + 1], 3) for i in range(50)], BT.STATE))
+    assert "Exchange" not in state._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ids, r.n) for r in state.collect()) == [([i, i + 1], 3) for i in range(50)]
