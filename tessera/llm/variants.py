@@ -18,7 +18,8 @@ its words (anagrams of a common half) are joined by the word with one place blan
 deleted instead, which only words that are near share, so a key there has at most as many
 words as the alphabet has letters (times the length for deletions). Chains of forms are
 followed by doubling: as a form is at least ``FACTOR`` times as frequent, a chain has at
-most log2(n) links, and so log2 of that many rounds, each written to shared storage.
+most log2(n) links, and so log2 of that many rounds, each written to shared storage. Joins of
+words with words are told to shuffle: a table of words is small as a file, and not in memory.
 
 Cases: null and empty texts have no words; a null word takes no part; an empty table
 gives no rows; repeated rows of ``count_words`` count again; a word without a near word
@@ -146,13 +147,14 @@ def count_words(runs: DataFrame, run: Column | str, least_length: int = 5, least
 
 
 def _verified(signed: DataFrame) -> DataFrame:
-    """Near pairs (word, n, other, other_n) among words that share a key on fitting sides; repeats possible."""
+    """Near pairs (word, n, other, other_n) among words that share a key on fitting sides; repeats possible.
+    Spark sizes ``signed`` like the words it comes from, so the join is told to shuffle."""
     a = signed.where(F.col("side") != LONG).select("sig", F.col("side").alias("x"), "word", "n")
     b = signed.where(F.col("side") != SHORT).select("sig", F.col("side").alias("y"), F.col("word").alias("other"),
                                                     F.col("n").alias("other_n"))
     fits = ((F.col("x") == SHORT) & (F.col("y") == LONG)) | ((F.col("x") == SAME) & (F.col("y") == SAME) & (F.col("word") < F.col("other")))
     a, b = a.alias("a"), b.alias("b")
-    return a.join(b, (F.col("a.sig") == F.col("b.sig")) & fits & (F.levenshtein("word", "other", 1) == 1)) \
+    return a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & fits & (F.levenshtein("word", "other", 1) == 1)) \
         .select("word", "n", "other", "other_n")
 
 
@@ -182,11 +184,11 @@ def group(words: DataFrame, factor: int = FACTOR, crowd: int = CROWD) -> DataFra
     near = near_pairs(words, crowd).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"))
     is_form = -F.col("best.minus") >= factor * F.col("n")
-    formed = materialize(words.join(near, "word", "left").select(
+    formed = materialize(words.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best.other")).alias("form"),
         F.when(is_form, -F.col("best.minus")).alias("form_n")), "forms")
     roots = _follow(formed.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"),
+    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"),
                                                      "n", "n_near", "form_n")
 
 
@@ -195,7 +197,7 @@ def _follow(links: DataFrame) -> DataFrame:
     now = materialize(links, "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        step = now.join(ahead, "root", "left")
+        step = now.join(ahead.hint("merge"), "root", "left")
         if step.where("ahead IS NOT NULL").isEmpty():
             return now
         now = materialize(step.select("word", F.coalesce("ahead", "root").alias("root")), "roots")

@@ -102,6 +102,18 @@ def test_op11_edge_cases(spark, edge, none):
     assert variants.group(spark.createDataFrame([(None, 4), ("hello", 3), ("", 3)], "word string, n long")).count() == 2
 
 
+def test_op11_sends_no_table_of_words_to_all_tasks(spark, monkeypatch):
+    """Spark sizes signatures like the few words they come from: it must not be left to choose."""
+    plans, kept = [], variants.materialize
+    monkeypatch.setattr(variants, "materialize", lambda df, name: (plans.append((name, df)), kept(df, name))[1])
+    n = {"aaaaaaa" + "b" * i: 3 ** i for i in range(1, 9)}
+    got = variants.group(spark.createDataFrame(list(n.items()), "word string, n long"))
+    assert {"crowded", "forms", "roots"} <= {name for name, _ in plans}
+    for name, df in [*plans, ("result", got)]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, name
+
+
 # ---- operator 12
 
 def phrases_slowly(docs, least, longest):
