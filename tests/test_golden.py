@@ -288,6 +288,22 @@ def test_softmax_sigmoid_argmax(spark):
     assert r["s"] == pytest.approx(list(e / e.sum())) and r["a"] == 2 and r["g"] == 0.5
 
 
+def test_rank_threshold_reads_the_input_twice(spark, monkeypatch):
+    """A bucket that is refined is written once (its keys alone) and read from there."""
+    import hashlib
+    keys = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(3000)) + ["f" * 32] * 40
+    df = spark.createDataFrame([(h, 1) for h in keys], "h string, other int")
+    kept, made = KN.materialize, []
+    monkeypatch.setattr(KN, "materialize", lambda d, name: made.append(kept(d, name)) or made[-1])
+    for k in (1, 1500, 2999, 3000, 3039):
+        made.clear()
+        assert KN.rank_threshold(df, "h", k, digits=1, max_boundary_rows=5, first_digits=2) == (keys[k - 1], len(keys))
+        assert 1 <= len(made) <= 2 and made[0].columns == ["h"] and made[0].count() <= len(keys) // 16
+    made.clear()
+    same = spark.createDataFrame([("ab" * 16,)] * 60, "h string")       # a bucket with most rows isn't copied
+    assert KN.rank_threshold(same, "h", 30, max_boundary_rows=5) == ("ab" * 16, 60) and not made
+
+
 def test_rank_threshold_refines_and_is_exact(spark):
     df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("h"))
     hs = sorted(r["h"] for r in df.collect())

@@ -295,6 +295,24 @@ def test_pair_representation_by_row_equals_the_joins(spark, monkeypatch):
     assert flat(fast) == flat(RP.pair_representation(df, rows, 3))
 
 
+def test_summed_representation_equals_the_vectors(spark, monkeypatch):
+    """The sums are made where the vectors are, so the vectors don't come back to the JVM; the
+    residue matrix and its symbols read the train rows once."""
+    from tessera.operators import reps as RP
+    rows = spark.createDataFrame([("a", 0, 0.25), ("a", 2, 0.75), ("b", 1, 1.0), ("𝒳", 2, 0.5)], "symbol string, k int, value double")
+    data = [(1, "ab", "ba"), (2, "Aa?", ""), (3, "_a", "𝒳"), (4, "??", None), (5, "ab", "b_"), (None, None, None), (1, "ab", "ba")]
+    df = spark.createDataFrame(data, "seq_id long, chain_a string, chain_b string")
+    at = lambda cells: round(sum((e.k + 1) * e.value for e in cells), 9)
+    key = lambda r: (r[0] is None, r)
+    want = sorted(((r.seq_id, at(r.rep), at(r.rep_first)) for r in RP.pair_representation(df, rows, 3).collect()), key=key)
+    for cells, at_once in ((RP.CELLS, RP.CELLS_AT_ONCE), (RP.CELLS, 20), (0, 1)):
+        monkeypatch.setattr(RP, "CELLS", cells)
+        monkeypatch.setattr(RP, "CELLS_AT_ONCE", at_once)
+        got = RP.pair_representation(df, rows, 3, summed=True)
+        assert got.columns == ["seq_id", "rep_sum", "first_sum"]
+        assert sorted(((r.seq_id, round(r.rep_sum, 9), round(r.first_sum, 9)) for r in got.collect()), key=key) == want
+
+
 def test_only_the_named_columns_meet_the_encoder(spark, small_dir):
     """Nulls stay null, empty chains are empty, unknown symbols raise."""
     import pytest
