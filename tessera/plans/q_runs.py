@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import runs as R
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files as FS
 from ..sources import tables as T
 from ..sources.tables import LABEL_NAMES
@@ -121,7 +121,7 @@ def metrics_long(spark, sf):
     """Scalar-log rows of each step, over the whole of both splits with a threshold of its
     own, written to a log folder step by step; the last is written twice, as after a retry."""
     path = scratch_path(spark, "metrics-log")
-    scores = model_scores(spark, sf)
+    scores = materialize(model_scores(spark, sf).select("split", "prob", "target"), "scores")     # read by every step
     for e in (*range(len(THRESHOLDS)), len(THRESHOLDS) - 1):
         wide = M.metric_bundle(M.predict(scores, THRESHOLDS[e]), LABEL_NAMES, by=["split"]) \
             .withColumn("epoch", F.lit(e).cast("long"))

@@ -313,6 +313,14 @@ def test_summed_representation_equals_the_vectors(spark, monkeypatch):
         assert sorted(((r.seq_id, round(r.rep_sum, 9), round(r.first_sum, 9)) for r in got.collect()), key=key) == want
 
 
+def test_steps_of_the_metrics_log_read_stored_scores(spark, small_dir, monkeypatch):
+    from tessera.plans import q_runs as QR
+    kept, steps = QR.FS.append_metrics, []
+    monkeypatch.setattr(QR.FS, "append_metrics", lambda df, path, run: (steps.append(df.inputFiles()), kept(df, path, run=run))[1])
+    assert QR.metrics_long(spark, small_dir).count() > 0
+    assert len(steps) == len(QR.THRESHOLDS) + 1 and all(f and all("/scores-" in x for x in f) for f in steps)
+
+
 def test_only_the_named_columns_meet_the_encoder(spark, small_dir):
     """Nulls stay null, empty chains are empty, unknown symbols raise."""
     import pytest
